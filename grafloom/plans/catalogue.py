@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals
+from . import intervals, nested
 
-_MODULES = [intervals]
+_MODULES = [intervals, nested]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
