@@ -5,8 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import normal
 from ..sources.tables import table
 from .spans import linked_pairs, shared_amount, shared_spans
+from .split import parse_strategy, split_texts
+from .survivor import NOTHING, surviving_fields
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the chunks that exceed what their run's strategy allows."""
+
+    def sizes(batches):
+        for pdf in batches:
+            pdf["size"], pdf["overlap"] = zip(*map(parse_strategy, pdf.pop("chunking_strategy"))) if len(pdf) else ([], [])
+            yield pdf.astype({"size": "Int64", "overlap": "Int64"})
+
+    runs = table(spark, d, "experiment_runs").select("run_id", "chunking_strategy").where("run_id is not null").dropDuplicates(["run_id"])
+    runs = runs.mapInPandas(sizes, "run_id int, size int, overlap int").where("size is not null")
+    results = table(spark, d, "extraction_results").select("result_id", "run_id", "source_chunk").dropDuplicates(["result_id"])
+    return split_texts(results.join(runs, "run_id"), "result_id", "source_chunk", "size", "overlap")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d).where("piece = 0").select("result_id", "hard")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return _pieces(spark, d)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    tools = table(spark, d, "tools").select(
+        F.lit("Tool").alias("record"), F.col("tool_id").alias("group_key"), F.col("tool_rec_id").alias("rec"),
+        F.create_map(F.lit("model"), "model", F.lit("tool_type"), "tool_type").alias("fields"), "origin", "observed_at",
+    )
+    nodes = table(spark, d, "nodes").select(
+        F.lit("GraphNode").alias("record"), F.concat(F.col("graph_id").cast("string"), F.lit("|"), "label", F.lit(":"), normal(F.col("name"))).alias("group_key"),
+        F.col("ord").alias("rec"), F.col("properties").alias("fields"), "origin", "observed_at",
+    )
+    rows = tools.unionByName(nodes).join(table(spark, d, "source_trust"), "origin", "left")
+    return surviving_fields(rows, ["record", "group_key"], "rec", "fields", "trust_rank", "observed_at")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +58,31 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(docs, "doc_id", "text", members, spans)
 
 
-QUERIES = {"p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p9_found": p9_found, "p9_shared": p9_shared}
+
+_NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
+_BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
 
-SQL: dict[str, str] = {}
+SQL = {
+    "p2_found": r"""
+with sizes as (
+  select run_id, unnest(regexp_extract_all(chunking_strategy, '\d+(?:[.]\d+)?\s*[k%]?')) x from (select distinct on (run_id) * from experiment_runs)),
+limits as (
+  select run_id, max(cast(regexp_extract(x, '[0-9.]+') as double) * case when x like '%k' then 1000 else 1 end) size from sizes where x not like '%\%' escape '\' group by 1),
+r as (select distinct on (result_id) result_id, run_id, source_chunk from extraction_results)
+select result_id, case when list_max(list_transform(regexp_split_to_array(source_chunk, '\s+'), lambda w: length(w))) > size then 1 else 0 end hard
+from r join limits using (run_id) where length(source_chunk) > size""",
+    "p5_found": f"""
+with r as (
+  select 'Tool' record, tool_id group_key, tool_rec_id rec, origin, observed_at, unnest(['model', 'tool_type']) field, unnest([model, tool_type]) value from tools
+  union all
+  select 'GraphNode', graph_id || '|' || label || ':' || trim(regexp_replace(lower(name), '{_BLANKS}', ' ', 'g')), ord, origin, observed_at, unnest(map_keys(properties)), unnest(map_values(properties)) from nodes),
+ids as (
+  select 'Tool' record, tool_id group_key from tools group by all having count(distinct tool_rec_id) > 1
+  union all
+  select 'GraphNode', graph_id || '|' || label || ':' || trim(regexp_replace(lower(name), '{_BLANKS}', ' ', 'g')) from nodes group by all having count(distinct ord) > 1),
+v as (select record, group_key, field, regexp_replace(value, '^{_BLANKS}|{_BLANKS}$', '', 'g') v, trust_rank, observed_at
+  from r join ids using (record, group_key) left join source_trust using (origin))
+select record, group_key, field, arg_max(v, (coalesce(-trust_rank, -1000), observed_at)) "value" from v
+where regexp_matches(v, '[\\p{{L}}\\p{{N}}]') and lower(v) not in ({_NOTHING}) group by all""",
+}
