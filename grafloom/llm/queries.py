@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal
 from ..sources.tables import table
+from .names import maker_matches, person_clusters
 from .spans import linked_pairs, shared_amount, shared_spans
 from .split import parse_strategy, split_texts
 from .survivor import NOTHING, surviving_fields
@@ -47,6 +48,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return surviving_fields(rows, ["record", "group_key"], "rec", "fields", "trust_rank", "observed_at")
 
 
+def _persons(spark: SparkSession, d: str) -> DataFrame:
+    return person_clusters(table(spark, d, "workers"), "worker_rec_id", "site_code", "name")
+
+
+def _makers(spark: SparkSession, d: str) -> DataFrame:
+    return maker_matches(table(spark, d, "tools"), "tool_rec_id", "manufacturer", table(spark, d, "makers"), "maker_id", "name")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    persons = _persons(spark, d)
+    a, b = (persons.select("site_code", "person", F.col("worker_rec_id").alias(c)) for c in ("key_a", "key_b"))
+    workers = a.join(b, ["site_code", "person"]).where("key_a < key_b").select(F.lit("Worker").alias("kind"), "key_a", "key_b")
+    makers = _makers(spark, d).where("not exact").select(F.lit("Manufacturer").alias("kind"), F.col("tool_rec_id").alias("key_a"), F.col("maker_id").alias("key_b"))
+    return workers.unionByName(makers)
+
+
+def p6_persons(spark: SparkSession, d: str) -> DataFrame:
+    """The person of each worker record, without expanding groups to pairs."""
+    return _persons(spark, d)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     links, members, _ = shared_spans(table(spark, d, "documents"), "doc_id", "text")
     return linked_pairs(links, members)
@@ -58,7 +80,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(docs, "doc_id", "text", members, spans)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_persons": p6_persons, "p9_found": p9_found, "p9_shared": p9_shared}
 
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
 _BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
