@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal
 from ..sources.tables import table
+from .mixing import mix
 from .names import maker_matches, person_clusters
+from .packing import fill_report, pack
 from .spans import linked_pairs, shared_amount, shared_spans
 from .split import parse_strategy, split_texts
 from .survivor import NOTHING, surviving_fields
+from .tokens import token_counts
 
 
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +72,34 @@ def p6_persons(spark: SparkSession, d: str) -> DataFrame:
     return _persons(spark, d)
 
 
+def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, dict[int, int]]:
+    # A fixed table: one row for each kind of container.
+    capacities = {r["container_kind"]: r["capacity_tokens"] for r in table(spark, d, "containers").collect()}
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return pack(sizes, "doc_id", "n_tokens", capacities), capacities
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)[0]
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill_report(*_packed(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text", "source")
+    return mix(sizes, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
+
+
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     links, members, _ = shared_spans(table(spark, d, "documents"), "doc_id", "text")
     return linked_pairs(links, members)
@@ -80,7 +111,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(docs, "doc_id", "text", members, spans)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_persons": p6_persons, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_persons": p6_persons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_copies": p8_copies, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
 _BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
