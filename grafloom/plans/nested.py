@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal
 from ..operators.nested import link, nested_nodes
+from ..session import materialize
 from ..sources.tables import table
 
 #: The lists of an extraction.
@@ -42,12 +43,13 @@ def _named_place(elements: DataFrame, references: DataFrame, lists: str, parent:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = video_nodes(spark, d, ["scenes", "actions", "uses_tool"], types=["scenes", "actions", "scene", "uses_tool", "action"], attributes=["name"])
+    # Both node tables are read several times below: parse the records once.
+    nodes = materialize(video_nodes(spark, d, ["scenes", "actions", "uses_tool"], types=["scenes", "actions", "scene", "uses_tool", "action"], attributes=["name"]))
     kind, depth = F.col("type"), F.col("depth")
     scene_of = link(nodes, "extraction_id", (kind == "scene") & (depth == 2), (kind == "actions") & (depth == 1), {"pos": "owner_pos"})
     action_of = link(nodes, "extraction_id", (kind == "action") & (depth == 2), (kind == "uses_tool") & (depth == 1), {"pos": "owner_pos"})
     observed = "observed_parameters"
-    steps = execution_nodes(spark, d, types=["", "step_executions", "procedure", observed], attributes=["step_number"])
+    steps = materialize(execution_nodes(spark, d, types=["", "step_executions", "procedure", observed], attributes=["step_number"]))
     roots = steps.where("type in ('procedure', 'step_executions') and depth = 1").select("record_id").distinct()
     types = table(spark, d, "execution_records").select("record_id", "record_type").where("record_type is not null").dropDuplicates(["record_id"])
     # The record itself is the step execution, or its step_executions are; the type decides, where it is missing the shape.
