@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 COUNTS = ["true_positives", "false_positives", "false_negatives"]
 
@@ -48,13 +49,25 @@ def micro_average(metrics: DataFrame, category: str = "overall") -> DataFrame:
     return with_prf1(metrics.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS)).select(F.lit(category).alias("category"), *COUNTS))
 
 
+@F.pandas_udf(T.StringType())
+def _line(category: pd.Series, p: pd.Series, r: pd.Series, f: pd.Series, tp: pd.Series, fp: pd.Series, fn: pd.Series) -> pd.Series:
+    return pd.Series([f"{c:30s} | P={x:.3f} R={y:.3f} F1={z:.3f} | TP={i} FP={j} FN={k}" for c, x, y, z, i, j, k in zip(category, p, r, f, tp, fp, fn)])
+
+
 def format_prf1() -> Column:
-    """One metric row as a line of text."""
-    return F.format_string("%-30s | P=%.3f R=%.3f F1=%.3f | TP=%d FP=%d FN=%d", "category", "precision", "recall", "f1", *COUNTS)
+    """One metric row as a line of text. Python writes it, since Java rounds
+    the decimal form, not the binary value; metric tables are small."""
+    return _line("category", "precision", "recall", "f1", *COUNTS)
+
+
+@F.pandas_udf(T.StringType())
+def _row(category: pd.Series, p: pd.Series, r: pd.Series, f: pd.Series, tp: pd.Series, fp: pd.Series, fn: pd.Series) -> pd.Series:
+    return pd.Series([f"{c:30s} | {x:6.3f} {y:6.3f} {z:6.3f} | {i:3d} {j:3d} {k:3d}" for c, x, y, z, i, j, k in zip(category, p, r, f, tp, fp, fn)])
 
 
 def format_prf1_table(metrics: DataFrame, title: str = "Evaluation Results") -> str:
     """A metric table, a small one by nature, as text with rules and a header."""
     rule = "=" * 80
-    lines = [r[0] for r in metrics.orderBy("category").select(format_prf1()).collect()]
-    return "\n".join(["", rule, title, rule, f"{'Category':<30} | Precision, recall, F1 | Counts", "-" * 80, *lines, rule])
+    head = f"{'Category':30s} | {'P':>6s} {'R':>6s} {'F1':>6s} | {'TP':>3s} {'FP':>3s} {'FN':>3s}"
+    lines = [r[0] for r in metrics.orderBy("category").select(_row("category", "precision", "recall", "f1", *COUNTS)).collect()]
+    return "\n".join(["", rule, f"  {title}", rule, head, "-" * 80, *lines, rule])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intervals, nested, units
+from . import evaluation, graph, intervals, nested, units
 
-_MODULES = [intervals, nested, units]
+_MODULES = [evaluation, graph, intervals, nested, units]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
