@@ -153,7 +153,7 @@ def first_likelihood(variant: str, first: str) -> tuple[float, int]:
     if short(v) == short(c):
         return 0.0, 0
     if len(v) == 1:
-        return (-1.0, 0) if sound(c)[:1] == sound(v)[:1] else (IMPOSSIBLE, 0)
+        return (-1.0, 0) if c[0] == v or sound(c)[:1] == sound(v)[:1] else (IMPOSSIBLE, 0)
     if len(c) == 1:
         return IMPOSSIBLE, 0
     if variant.endswith(".") and c.startswith(v):

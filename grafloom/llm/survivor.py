@@ -28,17 +28,17 @@ def value_precedence(entries: DataFrame, group: list[str], field: str, value: st
     """(field, earlier, later): pairs of values of a field of which, within
     groups, the one was followed by the other more often than the reverse.
 
-    Learned from all entries with a time. A group may hold any share of them:
+    Learned from all entries with a time; equal times say nothing. A group may hold any share of them:
     its entries are put in order within slices of time, and only the last value
     of a slice crosses to the next.
     """
     keys = [*group, field]
     rows = entries.where(F.col(at).isNotNull()).select(*keys, F.col(value).alias("_v"), F.col(at).alias("_t"))
     rows = rows.withColumn("_b", F.floor(F.unix_timestamp(F.col("_t").cast("timestamp")) / F.lit(slice_seconds)))
-    before = F.lag("_v").over(Window.partitionBy(*keys, "_b").orderBy("_t", "_v"))
-    last = rows.groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_v")).getField("_v").alias("_l"))
+    before = F.lag(F.struct("_t", "_v")).over(Window.partitionBy(*keys, "_b").orderBy("_t", "_v"))
+    last = rows.groupBy(*keys, "_b").agg(F.max(F.struct("_t", "_v")).alias("_l"))
     last = last.withColumn("_l", F.lag("_l").over(Window.partitionBy(*keys).orderBy("_b")))
-    moves = rows.withColumn("_p", before).join(last, [*keys, "_b"], "left").withColumn("_p", F.coalesce("_p", "_l")).where("_p <> _v")
+    moves = rows.withColumn("_q", before).join(last, [*keys, "_b"], "left").withColumn("_q", F.coalesce("_q", "_l")).where("_q._t < _t").withColumn("_p", F.col("_q._v")).where("_p <> _v")
     low, high = F.least("_p", "_v"), F.greatest("_p", "_v")
     net = moves.groupBy(field, low.alias("_a"), high.alias("_z")).agg(F.sum(F.when(F.col("_p") == low, 1).otherwise(-1)).alias("_n")).where("_n <> 0")
     forward = F.col("_n") > 0
