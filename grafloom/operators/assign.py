@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.matching import MatchStrategy, cosine
 from ..functions.text import normal, tokens
+from ..session import whole_groups
 
 #: Groups with more candidates than this are assigned by a streaming pass.
 FOLD_LIMIT = 20_000
@@ -82,7 +83,7 @@ def greedy(pairs: DataFrame, group: str, threshold: float, *, fold_limit: int =
 
     folded = lists.select(group, F.explode(F.aggregate("es", start, step, lambda acc: acc["log"])).alias("l")).select(group, "l.e", "l.x", "l.score")
     large = sized.where(F.col("_n") > fold_limit).select(group, "e", "x", "score")
-    streamed = large.repartition(group).sortWithinPartitions(group, "e", F.desc("score"), "x")
+    streamed = whole_groups(large, [group], group, "e", F.desc("score"), "x")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, used, owner, best, taken = None, set(), None, 0.0, None

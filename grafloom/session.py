@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, name: str = "grafloom", memory: str = "12g") -> SparkSession:
@@ -35,6 +39,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once a context, unless they find
+    it anyway: installed, on PYTHONPATH, or in the working directory."""
+    package = Path(__file__).resolve().parent
+    root, context = package.parent, spark.sparkContext
+    found = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
+    if root in found or "site-packages" in root.parts or context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    folder = tempfile.mkdtemp(prefix="grafloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder, "grafloom_code.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a
     lost executor costs no recomputation. The files stay until the folder,
@@ -43,3 +68,15 @@ def materialize(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/grafloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """df with the rows of equal keys in one partition, sorted by order, for a
+    pass over partitions that must see groups whole.
+
+    Partitioning goes by a hash of the keys. By the keys themselves the planner
+    may leave the exchange out where a join below has the same keys, and then
+    adaptive execution may break that join's partitions up, since nothing
+    declares that it needs them.
+    """
+    return df.withColumn("_whole", F.xxhash64(*keys)).repartition("_whole").sortWithinPartitions(*order).drop("_whole")
