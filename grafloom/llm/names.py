@@ -200,9 +200,10 @@ def name_likelihood(variant: tuple, candidate: tuple[str, str]) -> tuple[float,
             glued = first.rstrip(".") + last
             if (apart := edits(v_last, glued)) < 2:
                 options.append((-1.0, apart))
-            elif v_last.startswith(first.rstrip(".")) and "-" in v_last:
-                rest = surname_likelihood(v_last[len(first.rstrip(".")) :], last)
-                options.append((rest[0] - 1.0, rest[1]))
+            elif v_last.endswith(last) or v_last.endswith(short(last)):
+                written = v_last[: -len(last if v_last.endswith(last) else short(last))]
+                likely_first = max(first_likelihood(written, first), first_likelihood(first, written)) if len(written) > 2 else (IMPOSSIBLE, 0)
+                options.append((likely_first[0] - 1.0, likely_first[1]))
         best = max(best, max(options, key=lambda o: o[0] - 2.5 * o[1]), key=lambda o: o[0] - 2.5 * o[1])
     return best
 
@@ -272,8 +273,8 @@ def person_clusters(
                         own |= {_key(k) for k in deletes(bare + last)}
                         if "-" in last:
                             own |= {_key(k) for k in deletes(bare + last.split("-")[0])}
-                    if not bare and "-" in last:
-                        own |= {_key(k) for k in deletes(last.split("-")[0])}
+                    if not bare:  # perhaps both names written together: any ending may be the surname
+                        own |= {_key(end) for form in {last, short(last)} for i in range(3, min(len(form) - 4, 40)) for end in (form[i:], short(form[i:]))}
                 keys.append(sorted(own))
             yield pdf[["block", "form", "n", "prior"]].assign(keys=keys)
 

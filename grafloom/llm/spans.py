@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, whole_groups
 
 MIN_CHARS = 200
 PHRASE_CHARS = 80
@@ -194,7 +194,7 @@ def shared_stretch(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tup
 
 def _compare(occurrences: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
     """(doc, other, start, end): spans of doc around an occurrence that other
-    has too. Occurrences come sorted by phrase; a phrase's are compared directly."""
+    has too. A phrase's occurrences are compared directly."""
     margin = min_chars - phrase_chars
     width = min_chars + margin
 
@@ -234,7 +234,7 @@ def _compare(occurrences: DataFrame, min_chars: int, phrase_chars: int) -> DataF
         compare(group, out)
         yield _spans(out)
 
-    return occurrences.sortWithinPartitions("phrase", "doc", "pos").mapInArrow(run, "doc bigint, other bigint, start int, end int")
+    return whole_groups(occurrences, ["phrase"], "phrase", "doc", "pos").mapInArrow(run, "doc bigint, other bigint, start int, end int")
 
 
 def _spans(out: tuple[list, ...]) -> pa.RecordBatch:
@@ -289,7 +289,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MI
     counts = occurrences.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     many = counts.where(F.col("n") > direct_limit).select("phrase")
     few = counts.where(F.col("n") <= direct_limit).select("phrase")
-    found = materialize(_compare(occurrences.join(few, "phrase").repartition("phrase").select("phrase", "doc", "pos", "before", "around"), min_chars, phrase_chars).distinct())
+    found = materialize(_compare(occurrences.join(few, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars, phrase_chars).distinct())
     windows = _windows(occurrences.join(many, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars)
     frequent = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("window")
     windows = materialize(windows.join(frequent, "window"))
