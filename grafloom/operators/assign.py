@@ -29,15 +29,26 @@ def pair_by_key(expected: DataFrame, extracted: DataFrame, group: str, key: str,
     return numbered(expected, "e").join(numbered(extracted, "x"), [group, "_k", "_n"]).select(group, "e", "x")
 
 
-def candidates(expected: DataFrame, extracted: DataFrame, group: str, name: str, pos: str = "pos", strategy: MatchStrategy | str = MatchStrategy.TOKEN_OVERLAP) -> DataFrame:
-    """(group, e, x, score) of all pairs of a group with a positive score.
+def _alike(e: DataFrame, x: DataFrame, keys: list[str], all_pairs: bool) -> DataFrame:
+    """Pairs of records that are the same to a strategy; unless all pairs are
+    asked for, the k-th with the k-th, which is all that assignment uses."""
+    if not all_pairs:
+        e, x = (d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(c))) for d, c in ((e, "e"), (x, "x")))
+        keys = [*keys, "_n"]
+    return e.join(x, keys).select(keys[0], "e", "x", F.lit(1.0).alias("score"))
+
+
+def candidates(expected: DataFrame, extracted: DataFrame, group: str, name: str, pos: str = "pos", strategy: MatchStrategy | str = MatchStrategy.TOKEN_OVERLAP, all_pairs: bool = True) -> DataFrame:
+    """(group, e, x, score) of the pairs of a group with a positive score.
 
     Token overlap joins on tokens, exact and normalized on the key; only
     embeddings are compared pair by pair, within their group. Two nulls score
-    1, and so do two names without tokens.
+    1, and so do two names without tokens. Without all_pairs, records that are
+    the same (two nulls, equal keys) are paired in order: greedy assignment
+    takes no other pairs of them.
     """
     e, x = expected.select(group, F.col(pos).alias("e"), F.col(name).alias("n")), extracted.select(group, F.col(pos).alias("x"), F.col(name).alias("n"))
-    nulls = e.where("n is null").drop("n").join(x.where("n is null").drop("n"), group).withColumn("score", F.lit(1.0))
+    nulls = _alike(e.where("n is null").drop("n"), x.where("n is null").drop("n"), [group], all_pairs)
     if strategy == MatchStrategy.EMBEDDING:
         found = e.withColumnRenamed("n", "a").join(x.withColumnRenamed("n", "b"), group).select(group, "e", "x", cosine(F.col("a"), F.col("b")).alias("score"))
     elif strategy == MatchStrategy.TOKEN_OVERLAP:
@@ -45,12 +56,11 @@ def candidates(expected: DataFrame, extracted: DataFrame, group: str, name: str,
         xt = x.where("n is not null").select(group, "x", tokens(F.col("n")).alias("t"))
         common = et.select(group, "e", F.size("t").alias("size"), F.explode("t").alias("k")).join(xt.select(group, "x", F.explode("t").alias("k")), [group, "k"])
         found = common.groupBy(group, "e", "x").agg((F.count("*") / F.first("size")).alias("score"))
-        empty = et.where(F.size("t") == 0).select(group, "e").join(xt.where(F.size("t") == 0).select(group, "x"), group)
-        found = found.unionByName(empty.withColumn("score", F.lit(1.0)))
+        found = found.unionByName(_alike(et.where(F.size("t") == 0).select(group, "e"), xt.where(F.size("t") == 0).select(group, "x"), [group], all_pairs))
     else:
         key = (lambda c: normal(c)) if strategy == MatchStrategy.NORMALIZED else (lambda c: c)
         keyed = [d.where("n is not null").withColumn("n", key(F.col("n"))) for d in (e, x)]
-        found = keyed[0].join(keyed[1], [group, "n"]).select(group, "e", "x", F.lit(1.0).alias("score"))
+        found = _alike(*keyed, [group, "n"], all_pairs)
     return found.where("score > 0").unionByName(nulls)
 
 

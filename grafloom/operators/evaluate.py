@@ -43,7 +43,7 @@ def entity_detection(expected: DataFrame, extracted: DataFrame, group: str, name
         sides = [d.select(group, pos, key(name).alias("_key")) for d in (expected, extracted)]
         assigned = pair_by_key(*sides, group, "_key", pos).withColumn("score", F.lit(1.0))
     else:
-        assigned = greedy(candidates(expected, extracted, group, name, pos, strategy), group, threshold)
+        assigned = greedy(candidates(expected, extracted, group, name, pos, strategy, all_pairs=False), group, threshold)
     return _log(expected, extracted, assigned, group, [name], pos)
 
 

@@ -59,7 +59,7 @@ def test_greedy_against_a_plain_loop(spark, fold_limit):
     groups = [f"g{i}" for i in range(40)]
     e, x = ({g: [name() for _ in range(rng.randint(1, 7))] for g in groups} for _ in range(2))
     de, dx = records(spark, e), records(spark, x)
-    got = greedy(candidates(de, dx, "grp", "name"), "grp", 0.5, fold_limit=fold_limit).collect()
+    got = greedy(candidates(de, dx, "grp", "name", all_pairs=fold_limit > 0), "grp", 0.5, fold_limit=fold_limit).collect()
     found = {(r["grp"], r["e"]): (r["x"], round(r["score"], 3)) for r in got}
     for g in groups:
         for i, j, s in by_hand(e[g], x[g], 0.5):
