@@ -73,8 +73,8 @@ def mix(docs: DataFrame, item: str, source: str, size: str, targets: DataFrame,
     use = materialize(numbered.select("item", "source", "n", passed.cast("bigint").alias("copies")).unionByName(rest))
     by_source = use.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("copies")).alias("used_tokens"))
     report = by_source.join(plan.select("source", "rate"), "source", "left").join(goals, "source", "left")
-    everything = use.agg(F.sum(F.col("n") * F.col("copies")).alias("all_tokens"))
-    report = report.crossJoin(everything).select(  # one row
+    report = report.withColumn("all_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))  # one row a source
+    report = report.select(
         "source", "target_share", "max_repeats", "documents", "tokens", F.coalesce("rate", F.lit(0.0)).alias("expected_copies"), "used_tokens",
         F.when(F.col("all_tokens") > 0, F.col("used_tokens") / F.col("all_tokens")).otherwise(0.0).alias("actual_share"),
     )
