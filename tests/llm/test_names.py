@@ -81,3 +81,35 @@ def test_frequent_unlisted_makers_are_not_forced_on_listed_ones(spark):
 def test_likelihood_orders():
     assert maker_likelihood("Castegard Instruments S.r.l.", "Castegard Instruments S.r.l.") == 0.0
     assert maker_likelihood("Castegard", "Castegard Instruments S.r.l.") > maker_likelihood("Castegrad", "Castegard Instruments S.r.l.") > -7
+
+
+def test_accuracy_on_made_up_people(spark):
+    """Precision and recall of pairs where the persons are known."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(7)
+    firsts = ["Philippa", "Robert", "Alexander", "Katharina", "Wilhelm", "Susanne", "Dominik", "Veronika", "Ulrich", "Isabella", "Gregor", "Heinrich"]
+    pets = {"Philippa": "Pippa", "Robert": "Bob", "Alexander": "Sascha", "Katharina": "Kathi", "Wilhelm": "Willi", "Susanne": "Susi", "Veronika": "Vroni", "Ulrich": "Uli", "Gregor": "Greg", "Heinrich": "Heiner"}
+    heads, tails = ["Gorw", "Czepp", "Nöthl", "Strömb", "Lerch", "Böff", "Pfrang", "Ilgen", "Quast", "Thalk"], ["ossen", "borough", "wick", "uwald", "mayr", "hagel", "imbeck", "entrop", "ovic", "auer"]
+
+    def typo(w):
+        i = rng.randrange(1, len(w) - 1)
+        return rng.choice([w[:i] + w[i + 1 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "x" + w[i + 1 :]])
+
+    def write(f, s):
+        return rng.choice([
+            lambda: f"{f} {s}", lambda: f"{f} {s}", lambda: f"{s}, {f}", lambda: f"{f.upper()} {s.upper()}", lambda: f"{pets.get(f, f)} {s}", lambda: f"{f[0]}. {s}", lambda: f"{f} {typo(s)}", lambda: f"{typo(f)} {s}",
+            lambda: f"{f}{s}", lambda: f"{f} {s.replace('ö', 'oe')}", lambda: f"{s} {f}", lambda: f"Dr. {f} {s} (QS)", lambda: f"{f[:4]}. {s}", lambda: f"{f} M. {s}", lambda: f"{f}.{s}".lower(),
+        ])()
+
+    rows, truth = [], {}
+    for site in range(25):
+        for f, s in {(rng.choice(firsts), rng.choice(heads) + rng.choice(tails)) for _ in range(12)}:
+            for _ in range(rng.randint(1, 8)):
+                truth.setdefault((site, f, s), []).append(len(rows))
+                rows.append((f"s{site}", write(f, s)))
+    right = {p for own in truth.values() for p in combinations(own, 2)}
+    found = {p for own in clusters(spark, rows) for p in combinations(own, 2)}
+    precision, recall = len(right & found) / len(found), len(right & found) / len(right)
+    assert precision > 0.97 and recall > 0.9, (precision, recall)
