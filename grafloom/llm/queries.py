@@ -26,8 +26,10 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
 
     runs = table(spark, d, "experiment_runs").select("run_id", "chunking_strategy").where("run_id is not null").dropDuplicates(["run_id"])
     runs = runs.mapInPandas(sizes, "run_id int, size int, overlap int").where("size is not null")
-    results = table(spark, d, "extraction_results").select("result_id", "run_id", "source_chunk").dropDuplicates(["result_id"])
-    return split_texts(results.join(runs, "run_id"), "result_id", "source_chunk", "size", "overlap")
+    results = table(spark, d, "extraction_results").select("result_id", "run_id", "source_chunk").join(runs, "run_id")
+    # Only what must be split is moved to find what was delivered again.
+    over = results.where(F.length("source_chunk") > F.col("size")).dropDuplicates(["result_id"])
+    return split_texts(over, "result_id", "source_chunk", "size", "overlap")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
