@@ -19,6 +19,8 @@ ABBREVIATIONS = frozenset(
     "e.g i.e etc vs no nr dr prof mr mrs ms approx ca min max sec std sek abb fig bzw usw inkl evtl ggf z.b d.h u.a o.ä vgl mind st ing dipl hr fr tel art bd pos cf al jan feb mär apr jun jul aug sep okt nov dez z b d h u a".split()
 )
 _BREAK = re.compile(r"\s+")
+# White space that may end a sentence, line or paragraph.
+_COARSE = re.compile(r"(?<=[.!?…\"'”»)])\s+|[^\S\n\r]*[\n\r]\s*")
 _NUMBERS = re.compile(r"(\d+(?:[.,]\d+)*)\s*(k\b|k(?=[_\W]|$)|%)?", re.IGNORECASE)
 
 
@@ -40,11 +42,12 @@ def parse_strategy(strategy: str | None) -> tuple[int | None, int]:
     return limit, min(overlap, limit // 2)
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in text where a piece may end, ascending, and the kind of each
-    boundary as its place in CUT_COST. White space belongs to what precedes it."""
+def boundaries(text: str, gaps: re.Pattern = _BREAK, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions between start and end where a piece may end, ascending, and the
+    kind of each boundary as its place in CUT_COST. White space belongs to what
+    precedes it."""
     positions, kinds = [], []
-    for m in _BREAK.finditer(text):
+    for m in gaps.finditer(text, start, len(text) if end is None else end):
         gap, at = m.group(), m.end()
         if at >= len(text) or not m.start():
             continue
@@ -75,23 +78,34 @@ def split_points(text: str, limit: int, overlap: int, *, balance: float = 6.0) -
     Every piece but the first starts overlap characters before the end of the
     one before; none is longer than limit. Dynamic programming over the
     boundaries minimises the cost of the cuts plus balance times the squared
-    relative deviation from equal sizes. A boundary inside a stretch without
-    white space ('hard') is offered only where natural ones leave no way.
+    relative deviation from equal sizes. Lines, paragraphs and sentences are
+    offered first; clauses and words only where those are further apart than a
+    piece may advance, and cuts inside a stretch without white space ('hard')
+    only where words are.
     """
     n = len(text)
     if n <= limit:
         return [(0, n, "end")]
     step = limit - overlap
-    at, kind = boundaries(text)
-    # Where natural boundaries are further apart than a piece may advance, hard ones fill the stretch.
-    edges = np.concatenate([[0], at, [n]])
+
+    def far_apart(at: np.ndarray) -> list[tuple[int, int]]:
+        edges = np.concatenate([[0], at, [n]])
+        wide = np.flatnonzero(np.diff(edges) > step)
+        return list(zip(edges[wide].tolist(), edges[wide + 1].tolist()))
+
+    at, kind = boundaries(text, _COARSE)
+    at, kind = at[kind <= _KINDS.index("sentence")], kind[kind <= _KINDS.index("sentence")]
+    for finest in ("clause", "space"):
+        finer = [boundaries(text, _BREAK, a, b) for a, b in far_apart(at)]
+        at, first = np.unique(np.concatenate([at, *(p[k <= _KINDS.index(finest)] for p, k in finer)]), return_index=True)
+        kind = np.concatenate([kind, *(k[k <= _KINDS.index(finest)] for _, k in finer)])[first]
     hard = []
-    for a, b in zip(edges[:-1][np.diff(edges) > step], edges[1:][np.diff(edges) > step]):
+    for a, b in far_apart(at):
         every = max(1, step // 8)
-        hard.extend(range(int(a) + every, int(b), every))
-        hard.extend(range(int(b) - step, int(a), -step))
-        hard.extend(range(int(a) + step, int(b), step))
-    where = np.concatenate([at, np.array(sorted({h for h in hard if 0 < h < n} - set(at.tolist())), dtype=np.int64), [n]])
+        hard.extend(range(a + every, b, every))
+        hard.extend(range(b - step, a, -step))
+        hard.extend(range(a + step, b, step))
+    where = np.concatenate([at, np.array(sorted({h for h in hard if 0 < h < n} - set(at.tolist())), dtype=np.int64), [n]]).astype(np.int64)
     what = np.concatenate([kind, np.full(len(where) - len(at) - 1, _KINDS.index("hard")), [_KINDS.index("end")]]).astype(np.int64)
     order = np.argsort(where, kind="stable")
     where, what = where[order], what[order]
