@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stripped
+from ..session import materialize
 
 # Entries that only say that nothing is known, in lower case.
 NOTHING = [
@@ -73,7 +74,7 @@ def surviving_fields(df: DataFrame, group: list[str], record_id: str, fields: st
     h = F.xxhash64("value")
     rank = F.struct("_r", "_t")
     best = entries.groupBy(*group, "field").agg(F.max(F.struct("_r", "_t", h.alias("h"), "value")).alias("_a"), F.max(F.struct(rank, F.bitwise_not(h).alias("h"))).getField("h").alias("_z"))
-    best = best.join(repeated, group).select(*group, "field", F.col("_a._r").alias("_br"), F.col("_a._t").alias("_bt"), "_a.value", (F.col("_a.h") != F.bitwise_not("_z")).alias("open"))
+    best = materialize(best.join(repeated, group).select(*group, "field", F.col("_a._r").alias("_br"), F.col("_a._t").alias("_bt"), "_a.value", (F.col("_a.h") != F.bitwise_not("_z")).alias("open")))
     decided = best.where("not open").select(*group, "field", "value")
     # What is left open: the values of the best rank and time.
     on = [*group, "field"]
