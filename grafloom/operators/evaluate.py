@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.matching import MatchStrategy, compare_values, match
+from ..functions.metrics import prf1
 from .assign import candidates, greedy, pair_by_key
 
 _SHORTCUT = (MatchStrategy.EXACT, MatchStrategy.NORMALIZED)
@@ -96,3 +97,30 @@ def level_pairs(log: DataFrame, expected: DataFrame, extracted: DataFrame, group
 
     hits = log.where("status = 'TP'").select(group, "e", f"expected_{name}", f"extracted_{name}")
     return hits.join(firsts(expected, "expected"), [group, f"expected_{name}"]).join(firsts(extracted, "extracted"), [group, f"extracted_{name}"])
+
+
+def evaluate_level(expected: DataFrame, extracted: DataFrame, group: str, fields: list[str], expected_relations: DataFrame | None = None, extracted_relations: DataFrame | None = None, roles: list[str] | None = None, *, name: str = "name", strategy: MatchStrategy | str = MatchStrategy.TOKEN_OVERLAP, threshold: float = 0.6) -> dict[str, DataFrame]:
+    """Logs and metrics of a level, for each group.
+
+    returns  entity_log, entity_metrics (category: the type of the first
+             expected record, if there is a column type, else 'Unknown'),
+             attribute_log and attribute_metrics of the pairs found (category
+             'attrs:<name>'), and, where relations of both sides and roles are
+             given, relation_log and relation_metrics; these leave out groups
+             that lack relations on either side.
+    """
+    log = entity_detection(expected, extracted, group, name, strategy, threshold)
+    kinds = expected.groupBy(group).agg((F.min_by("type", "pos") if "type" in expected.columns else F.lit("Unknown")).alias("category"))
+    with_kind = log.join(kinds, group, "left").withColumn("category", F.coalesce("category", F.lit("Unknown")))
+    attribute_log = attributes(level_pairs(log, expected, extracted, group, fields, name), fields, strategy, threshold)
+    shown = level_pairs(log, expected, extracted, group, fields, name).select(group, "e", F.concat(F.lit("attrs:"), F.coalesce(f"expected_{name}", F.lit("None"))).alias("category"))
+    attribute_log = attribute_log.join(shown, [group, "e"])
+    out = {
+        "entity_log": log, "entity_metrics": prf1(with_kind, group, "category"), "attribute_log": attribute_log, "attribute_metrics": prf1(attribute_log, group, "category"),
+    }
+    if expected_relations is not None and extracted_relations is not None and roles:
+        relations = relation_detection(expected_relations, extracted_relations, group, roles, strategy, threshold)
+        for side in (expected_relations, extracted_relations):
+            relations = relations.join(side.select(group).distinct(), group, "left_semi")
+        out |= {"relation_log": relations, "relation_metrics": prf1(relations, group)}
+    return out

@@ -8,6 +8,7 @@ missing key, an explicit null and a value of another type stay apart.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -201,3 +202,41 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows without violations, quarantined rows)."""
     clean = F.size("violations") == 0
     return checked.where(clean), checked.where(~clean)
+
+
+def _problem(value: object, f: FieldSpec, at: str) -> list[str]:
+    if f.kind in RECORDS:
+        return problems(value, f.kind, f"{at}.") if isinstance(value, dict) else [f"{at}: type"]
+    if f.kind == "str" or f.kind in ENUMS:
+        fits = isinstance(value, str)
+        return ([] if f.kind == "str" or value in ENUMS[f.kind].split() else [f"{at}: domain"]) if fits else [f"{at}: type"]
+    try:
+        if f.kind == "bool":
+            fits = isinstance(value, bool) or str(value).lower() in ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1", "0", "1.0", "0.0")
+        elif f.kind == "time":
+            fits = datetime.fromisoformat(value) is not None if isinstance(value, str) else isinstance(value, (int, float))
+        else:
+            fits = isinstance(value, (bool, int, float, str)) and (f.kind == "float" and float(value) is not None or float(value).is_integer())
+    except (ValueError, OverflowError):
+        fits = False
+    return [] if fits else [f"{at}: type"]
+
+
+def problems(value: object, record: str, path: str = "") -> list[str]:
+    """What validated() finds, for one decoded JSON value in a Python worker:
+    there it decides whether a model is asked again."""
+    if not isinstance(value, dict):
+        return ["json"]
+    out = []
+    for f in fields(record):
+        at = f"{path}{f.name}"
+        if f.name not in value:
+            out += [f"{at}: missing"] * f.required
+        elif value[f.name] is None:
+            out += [f"{at}: null"] * (f.required or f.default is not None)
+        elif f.many:
+            items = value[f.name]
+            out += [p for x in items for p in ([f"{at}: type"] if x is None else _problem(x, f, at))] if isinstance(items, list) else [f"{at}: type"]
+        else:
+            out += _problem(value[f.name], f, at)
+    return out

@@ -1,14 +1,15 @@
 """Text to records by a pluggable backend.
 
 A backend turns (text, system prompt, record type, setting) into JSON text. The
-one here works by rules and needs no network; one that calls a model over HTTP
-is for the caller to bring.
+rule backend needs no network; http_backend asks a model server, and is used
+only where it is passed.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import RECORDS, split_valid, struct_type, validated
+from ..schema import RECORDS, problems, split_valid, struct_type, validated
+from ..session import ship_package
 
 # The lines of the system prompts.
 PROMPT_ROLE = "You are an expert information extractor for industrial manufacturing knowledge."
@@ -45,23 +47,27 @@ def extract(df: DataFrame, text: str, record: str, backend: Backend, settings: E
     """df with column payload: the backend's JSON text for each text, of one
     record or (many) of a list; null where every attempt failed.
 
-    The backend is opened once for each batch of a partition and called again,
-    up to max_retries times, while it raises or returns no JSON. A null text is
-    not sent. Partitions run at the same time: repartition for more of them.
+    The backend is called again, up to max_retries times in all, while it
+    raises, returns no JSON, or returns what violates the record type; an
+    answer that still violates it at the end is kept, for the quarantine. A null
+    text is not sent. Partitions run at the same time: repartition for more.
     """
+    ship_package(df.sparkSession)
     sent = prompt or system_prompt(record, settings.language, many)
 
     def attempt(t: str | None) -> str | None:
-        for _ in range(max(1, settings.max_retries)):
-            if t is None:
-                return None
+        kept = None
+        for _ in range(max(1, settings.max_retries) if t is not None else 0):
             try:
                 answer = backend(t, sent, record, settings)
-                json.loads(answer)
-                return answer
+                value = json.loads(answer)
             except Exception:  # noqa: BLE001 - a failed request is tried again
                 continue
-        return None
+            items = value.get("items") if many and isinstance(value, dict) else [value]
+            if isinstance(items, list) and not any(problems(x, record) for x in items):
+                return answer
+            kept = answer
+        return kept
 
     @F.pandas_udf("string")
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -85,6 +91,26 @@ def extract_list(df: DataFrame, text: str, record: str, backend: Backend, settin
     return split_valid(validated(rows, "payload", record))
 
 
+# Where a local model server listens, and the key it expects.
+LOCAL_SERVER, LOCAL_KEY = "http://localhost:11434/v1", "ollama"
+
+
+def http_backend(url: str = LOCAL_SERVER, key: str = LOCAL_KEY, timeout: float = 120.0) -> Backend:
+    """A backend that asks a model over HTTP (chat completions in JSON mode).
+    Nothing uses it by itself."""
+
+    def ask(text: str, prompt: str, record: str, settings: ExtractorSettings) -> str:
+        body = {
+            "model": settings.model, "temperature": settings.temperature, "response_format": {"type": "json_object"},
+            "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": text}],
+        }
+        request = urllib.request.Request(f"{url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"]
+
+    return ask
+
+
 # A maker-like word, then a model code: what the rule backend takes for a tool.
 TOOL_PATTERN = r"([A-ZÄÖÜ][a-zäöüß]+) ([A-Z]{2}-[0-9]+)"
 

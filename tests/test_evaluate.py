@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from grafloom.functions.matching import MatchStrategy
 from grafloom.functions.metrics import format_prf1, format_prf1_table, micro_average, prf1, with_prf1
 from grafloom.operators.assign import candidates, greedy
-from grafloom.operators.evaluate import attributes, entity_detection, level_pairs, relation_detection
+from grafloom.operators.evaluate import attributes, entity_detection, evaluate_level, level_pairs, relation_detection
 
 
 def records(spark, groups):
@@ -135,3 +135,15 @@ def test_embeddings(spark):
     x = spark.createDataFrame([("g", 0, [0.0, 2.0]), ("g", 1, [3.0, 0.1])], "grp string, pos int, v array<double>")
     found = greedy(candidates(e, x, "grp", "v", strategy=MatchStrategy.EMBEDDING), "grp", 0.9)
     assert sorted((r["e"], r["x"]) for r in found.select("e", "x").where(F.col("x").isNotNull()).collect()) == [(0, 1), (1, 0)]
+
+
+def test_a_whole_level(spark):
+    df = spark.createDataFrame([("g", 0, "TIG torch", "welding", "Tool"), ("h", 0, "saw", None, "Tool")], "grp string, pos int, name string, tool_type string, type string")
+    r = orders(spark, [("clean", "weld")])
+    out = evaluate_level(df, df.where("grp = 'g'"), "grp", ["tool_type"], r, r, ["before", "after"])
+    assert {(m["grp"], m["category"]): m["f1"] for m in out["entity_metrics"].collect()} == {("g", "Tool"): 1.0, ("h", "Tool"): 0.0}
+    assert [(m["category"], m["true_positives"]) for m in out["attribute_metrics"].collect()] == [("attrs:TIG torch", 1)]
+    assert [m["f1"] for m in out["relation_metrics"].collect()] == [1.0]
+    assert evaluate_level(df, df, "grp", ["tool_type"], r, r.limit(0), ["before", "after"])["relation_metrics"].count() == 0
+    assert "relation_log" not in evaluate_level(df.drop("type"), df, "grp", ["tool_type"])
+    assert {m["category"] for m in evaluate_level(df.drop("type"), df, "grp", ["tool_type"])["entity_metrics"].collect()} == {"Unknown"}

@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from grafloom.schema import RECORDS, fields, split_valid, struct_type, validated
-from grafloom.sources.extract import ExtractorSettings, dump_json, extract, extract_list, extract_records, rule_backend, system_prompt
+from grafloom.schema import RECORDS, fields, problems, split_valid, struct_type, validated
+from grafloom.sources.extract import ExtractorSettings, dump_json, extract, extract_list, extract_records, http_backend, rule_backend, system_prompt
 
 
 def check(spark, record, *payloads, **more):
@@ -97,3 +97,46 @@ def test_runs(spark):
 def test_empty_table(spark, name):
     df = spark.createDataFrame([], "payload string")
     assert validated(df, "payload", name).count() == 0
+
+
+def test_both_checks_agree(spark):
+    values = [
+        {"name": "a", "step_number": "5", "is_critical": "yes"}, {"name": "a", "step_number": 5.5}, {"name": 5}, {"name": None}, {"name": "a", "is_critical": None}, {"step_type": "bogus", "is_critical": 3}, [], {"name": "a", "step_number": True},
+    ]
+    assert [sorted(r["violations"]) for r in check(spark, "Step", *values)] == [sorted(problems(v, "Step")) for v in values]
+    values = [{"step": {}, "executed_by": "Hans", "tools_used": [{"name": None}, 3]}, {"step": {"name": "w"}, "executed_by": {"name": "H"}, "started_at": "2024-10-11T14:30:00", "status": "odd"}, {"step": {"name": "w"}, "executed_by": {"name": "H"}, "started_at": "when", "tools_used": {}}]
+    assert [sorted(r["violations"]) for r in check(spark, "StepExecution", *values)] == [sorted(problems(v, "StepExecution")) for v in values]
+
+
+def test_a_violation_is_asked_again(spark):
+    def learns(text, prompt, record, settings, calls=[0]):  # noqa: B006 - counts the calls of a worker
+        calls[0] += 1
+        return json.dumps({"name": text, "role": "operator" if calls[0] > 1 else "boss"})
+
+    df = spark.createDataFrame([("a",)], "text string")
+    good, bad = extract_records(df, "text", "Worker", learns)
+    assert (good.count(), bad.count()) == (1, 0)
+
+
+def test_model_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            content = json.dumps({"items": [{"name": asked["messages"][1]["content"], "model": asked["model"]}]})
+            answer = json.dumps({"choices": [{"message": {"content": content}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = spark.createDataFrame([("a torch",)], "text string")
+    good, _ = extract_list(df, "text", "Tool", http_backend(f"http://127.0.0.1:{server.server_port}", timeout=10), ExtractorSettings(model="m"))
+    assert [(r["record"]["name"], r["record"]["model"]) for r in good.collect()] == [("a torch", "m")]
+    server.shutdown()
