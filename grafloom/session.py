@@ -70,6 +70,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what materialize() wrote for any session, once nothing reads it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "grafloom-*")) or []:
+        system.delete(status.getPath(), True)
+
+
 def whole_groups(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """df with the rows of equal keys in one partition, sorted by order, for a
     pass over partitions that must see groups whole.
