@@ -118,7 +118,18 @@ QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
 _BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
 
+#: Every window of 200 characters of every text, and those that stand in more than one document.
+_WINDOWS = """
+t as (select distinct doc_id, text from documents where length(text) >= 200),
+w as (select doc_id, i, md5(substr(text, i + 1, 200)) h from (select doc_id, text, unnest(range(length(text) - 199)) i from t)),
+s as (select h from w group by h having min(doc_id) < max(doc_id)), k as (select distinct w.* from w join s using (h))"""
+
 SQL = {
+    "p9_found": f"with {_WINDOWS}, d as (select distinct h, doc_id from k) select distinct a.doc_id doc_a, b.doc_id doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id",
+    "p9_shared": f"""with {_WINDOWS}, g as (select doc_id, lead(i) over (partition by doc_id order by i) - i gap from k),
+c as (select doc_id, count(*) filter (gap is null or gap > 200) n_spans, cast(sum(least(coalesce(gap, 200), 200)) as bigint) shared_chars from g group by 1),
+n as (select doc_id, max(coalesce(length(text), 0)) n_chars from documents group by 1)
+select doc_id, n_chars, coalesce(n_spans, 0) n_spans, coalesce(shared_chars, 0) shared_chars, case when n_chars > 0 then coalesce(shared_chars, 0) / n_chars else 0.0 end shared_part from n left join c using (doc_id)""",
     "p2_found": r"""
 with sizes as (
   select run_id, unnest(regexp_extract_all(chunking_strategy, '\d+(?:[.]\d+)?\s*[k%]?')) x from (select distinct on (run_id) * from experiment_runs)),
