@@ -1,18 +1,22 @@
-from pathlib import Path
-
 from pyspark.sql import functions as F
 
 from grafloom.session import clear_scratch, materialize, shared_dir, whole_groups
 
 
-def test_written_tables_and_their_removal(spark):
-    df = materialize(spark.range(5).withColumn("x", F.lit(None).cast("string")))
-    assert df.count() == 5 and df.columns == ["id", "x"]
-    folder = Path(shared_dir(spark).removeprefix("file://"))
-    assert list(folder.glob("grafloom-*"))
-    clear_scratch(spark)
-    assert not list(folder.glob("grafloom-*"))
-    assert materialize(spark.range(0)).count() == 0
+def test_written_tables_and_their_removal(spark, tmp_path):
+    before = shared_dir(spark)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
+    try:
+        assert shared_dir(spark) == f"file://{tmp_path}"
+        df = materialize(spark.range(5).withColumn("x", F.lit(None).cast("string")))
+        assert df.count() == 5 and df.columns == ["id", "x"]
+        (tmp_path / "kept").mkdir()
+        assert [p.name[:9] for p in tmp_path.iterdir() if p.name != "kept"] == ["grafloom-"]
+        clear_scratch(spark)
+        assert [p.name for p in tmp_path.iterdir()] == ["kept"]
+        assert materialize(spark.range(0)).count() == 0
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
 
 
 def test_groups_stay_whole_above_a_join(spark):
