@@ -27,15 +27,20 @@ def local_session(cores: int = 8, name: str = "grafloom", memory: str = "12g") -
     )
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; only where that is unset (tests, a
     single machine), a temporary one, which is removed at the end."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="grafloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        path = f"file://{path}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_DIRS:
+            folder = tempfile.mkdtemp(prefix="grafloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _OWN_DIRS[application] = f"file://{folder}"
+        path = _OWN_DIRS[application]
     return path.rstrip("/")
 
 

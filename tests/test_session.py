@@ -1,22 +1,22 @@
 from pyspark.sql import functions as F
 
-from grafloom.session import clear_scratch, materialize, shared_dir, whole_groups
+from grafloom import session
 
 
-def test_written_tables_and_their_removal(spark, tmp_path):
-    before = shared_dir(spark)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/")
-    try:
-        assert shared_dir(spark) == f"file://{tmp_path}"
-        df = materialize(spark.range(5).withColumn("x", F.lit(None).cast("string")))
-        assert df.count() == 5 and df.columns == ["id", "x"]
-        (tmp_path / "kept").mkdir()
-        assert [p.name[:9] for p in tmp_path.iterdir() if p.name != "kept"] == ["grafloom-"]
-        clear_scratch(spark)
-        assert [p.name for p in tmp_path.iterdir()] == ["kept"]
-        assert materialize(spark.range(0)).count() == 0
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+def test_written_tables_and_their_removal(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(session._OWN_DIRS, spark.sparkContext.applicationId, f"file://{tmp_path}/")
+    assert session.shared_dir(spark) == f"file://{tmp_path}"
+    df = session.materialize(spark.range(5).withColumn("x", F.lit(None).cast("string")))
+    assert df.count() == 5 and df.columns == ["id", "x"]
+    (tmp_path / "kept").mkdir()
+    assert [p.name[:9] for p in tmp_path.iterdir() if p.name != "kept"] == ["grafloom-"]
+    session.clear_scratch(spark)
+    assert [p.name for p in tmp_path.iterdir()] == ["kept"]
+    assert session.materialize(spark.range(0)).count() == 0
+
+
+def test_own_folder_is_kept_for_the_session(spark):
+    assert session.shared_dir(spark) == session.shared_dir(spark) != ""
 
 
 def test_groups_stay_whole_above_a_join(spark):
@@ -29,5 +29,5 @@ def test_groups_stay_whole_above_a_join(spark):
         seen = [k for pdf in batches for k in pdf["k"]]
         yield pd.DataFrame({"k": [a for a, b in zip(seen, [None, *seen]) if a != b]})
 
-    passed = whole_groups(keys.join(small, "k"), ["k"], "k", "id").mapInPandas(groups, "k bigint")
+    passed = session.whole_groups(keys.join(small, "k"), ["k"], "k", "id").mapInPandas(groups, "k bigint")
     assert sorted(r["k"] for r in passed.collect()) == list(range(10))
