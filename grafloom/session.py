@@ -70,16 +70,16 @@ def materialize(df: DataFrame) -> DataFrame:
     lost executor costs no recomputation. The files stay until the folder,
     which is scratch space, is cleared."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grafloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/grafloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove what materialize() wrote for any session, once nothing reads it."""
+    """Remove what materialize() wrote in this application, once nothing reads it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "grafloom-*")) or []:
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"grafloom-{spark.sparkContext.applicationId}-*")) or []:
         system.delete(status.getPath(), True)
 
 
