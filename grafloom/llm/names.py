@@ -149,7 +149,9 @@ def first_likelihood(variant: str, first: str) -> tuple[float, int]:
     """Log likelihood that first is written as variant, and the typos in it."""
     v, c = variant.rstrip("."), first.rstrip(".")
     if not v:
-        return -2.0, 0
+        return -2.0 if c else 0.0, 0
+    if not c:
+        return IMPOSSIBLE, 0
     if short(v) == short(c):
         return 0.0, 0
     if len(v) == 1:
@@ -230,7 +232,8 @@ def person_clusters(
     added surnames, and missing first names. A spelling is attached to the
     candidate of greater prior with the greatest posterior, unless that it is a
     person of its own (novelty, and typos repeated as often as the spelling) is
-    more likely. Attachments are followed to their end.
+    more likely. A surname alone comes after every spelling with a first name,
+    however frequent it is. Attachments are followed to their end.
 
     df        one row for each record_id (repeats count once)
     returns   record_id, block, person (the canonical form)
@@ -280,10 +283,12 @@ def person_clusters(
 
     forms = materialize(scored.mapInPandas(priors, f"block {types['block']}, form string, n bigint, prior double, keys array<bigint>"))
     keyed = forms.select("block", F.explode("keys").alias("key"), "form", "n", "prior")
-    # An abbreviated or missing first name can only stand for a fuller form.
+    # A missing first name can only stand for a fuller form or another surname alone.
     variants = keyed.select("block", "key", F.col("form").alias("v"), F.col("n").alias("vn"), F.col("prior").alias("vp"))
-    candidates = keyed.where("prior > -9").select("block", "key", F.col("form").alias("c"), F.col("prior").alias("cp"))
-    pairs = variants.join(candidates, ["block", "key"]).where((F.col("cp") > F.col("vp")) | ((F.col("cp") == F.col("vp")) & (F.col("c") < F.col("v")))).drop("key").distinct()
+    candidates = keyed.select("block", "key", F.col("form").alias("c"), F.col("prior").alias("cp"))
+    named_v, named_c = (~F.col(x).startswith("|") for x in "vc")
+    greater = (F.col("cp") > F.col("vp")) | ((F.col("cp") == F.col("vp")) & (F.col("c") < F.col("v")))
+    pairs = variants.join(candidates, ["block", "key"]).where((named_c & ~named_v) | ((named_c == named_v) & greater)).drop("key").distinct()
 
     def attach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -298,7 +303,7 @@ def person_clusters(
 
     attached = pairs.mapInPandas(attach, f"block {types['block']}, v string, c string, posterior double")
     parent = materialize(attached.groupBy("block", "v").agg(F.max(F.struct("posterior", "c")).getField("c").alias("c")))
-    while True:  # priors rise along a path, so paths end; each round halves what is left of them
+    while True:  # first names appear and priors rise along a path, so paths end; each round halves what is left of them
         up = parent.select("block", F.col("v").alias("c"), F.col("c").alias("top"))
         longer = materialize(parent.join(up, ["block", "c"], "left").select("block", "v", F.coalesce("top", "c").alias("c"), F.col("top").isNotNull().alias("moved")))
         moved, parent = longer.where("moved").limit(1).count(), longer.drop("moved")

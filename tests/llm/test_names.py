@@ -49,6 +49,20 @@ def test_only_variants_and_nothing(spark):
     assert person_clusters(df, "rec", "site", "name").count() == 1
 
 
+def test_surnames_alone_are_candidates(spark):
+    # no size of the input decides whether surnames alone are compared
+    assert clusters(spark, [("s", "Huber"), ("s", "Huber"), ("s", "Hubber")]) == [[0, 1, 2]]
+    assert clusters(spark, [("s", "Huber")] * 60 + [("s", "Hubber"), ("t", "Hubber")]) == [[*range(61)], [61]]
+
+
+def test_surname_alone_outranks_an_initial(spark):
+    for n in (50, 60):
+        assert clusters(spark, [("s", "Huber")] * n + [("s", "A. Huber")]) == [[*range(n + 1)]]
+    # two initials stay two persons, whoever the surname goes to
+    sizes = sorted(map(len, clusters(spark, [("s", "Huber")] * 60 + [("s", "A. Huber"), ("s", "B. Huber")])))
+    assert sizes == [1, 61]
+
+
 def test_very_long_and_many(spark):
     rows = [("s", "Anna " + "x" * 3000), ("s", "Anna " + "x" * 3000)] + [("s", f"Person Nr{i:03d}x") for i in range(30)]
     assert len(clusters(spark, rows)) >= 2
