@@ -110,12 +110,27 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def execution_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Violations of execution payloads as they come, by kind."""
+    """Violations of step payloads that SQL can tell as well; the rest is in
+    execution_violations_all."""
     e = table(spark, d, "execution_records").dropDuplicates(["record_id"]).where("record_type = 'StepExecution'")
     checked = validated(e.select("record_id", "payload"), "payload", "StepExecution", depth=1)
     return checked.select("record_id", F.explode("violations").alias("violation")).where("violation = 'json' or violation like '%missing' or violation like 'status%'")
 
 
+def execution_violations_all(spark: SparkSession, d: str) -> DataFrame:
+    """All violations of execution payloads of both record types, at full depth.
+    A record without a declared type has that as a violation, and is checked as
+    what its payload looks like."""
+    e = table(spark, d, "execution_records").dropDuplicates(["record_id"])
+    declared = F.coalesce(F.col("record_type").isin("StepExecution", "ProcedureExecution"), F.lit(False))
+    untyped = F.when(F.col("record_type").isNull(), "record_type: missing").when(~declared, "record_type: domain")
+    of_procedure = F.try_variant_get(F.try_parse_json("payload"), "$.procedure", "variant").isNotNull()
+    kind = F.when(declared, F.col("record_type")).when(of_procedure, "ProcedureExecution").otherwise("StepExecution")
+    rows = e.select("record_id", "payload", kind.alias("kind"), untyped.alias("violation"))
+    checked = [validated(rows.where(F.col("kind") == k).select("record_id", "payload"), "payload", k, depth=n).select("record_id", F.explode("violations").alias("violation")) for k, n in (("StepExecution", 1), ("ProcedureExecution", 3))]
+    return rows.where("violation is not null").select("record_id", "violation").unionByName(checked[0]).unionByName(checked[1])
+
+
 def worker_violations(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "workers").dropDuplicates(["worker_rec_id"])
     checked = validated(w.select("worker_rec_id", F.to_json(F.struct("name", "role", "expertise_level", "certifications")).alias("payload")), "payload", "Worker")
@@ -149,7 +164,7 @@ QUERIES = {
     "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "find_node": find_node, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
-    "graph_summary": graph_summary, "schema_violations": schema_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
+    "graph_summary": graph_summary, "schema_violations": schema_violations, "execution_violations": execution_violations, "execution_violations_all": execution_violations_all, "worker_violations": worker_violations,
     "json_dump": json_dump, "extract_entities": extract_entities, "run_results": run_results,
 }
 
