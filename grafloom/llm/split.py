@@ -76,12 +76,14 @@ def split_points(text: str, limit: int, overlap: int, *, balance: float = 6.0) -
     """(start, end, kind of boundary at the end) of the pieces of text.
 
     Every piece but the first starts overlap characters before the end of the
-    one before; none is longer than limit. Dynamic programming over the
+    one before; none is longer than limit. Dynamic programming over all
     boundaries minimises the cost of the cuts plus balance times the squared
-    relative deviation from equal sizes. Lines, paragraphs and sentences are
-    offered first; clauses and words only where those are further apart than a
-    piece may advance, and cuts inside a stretch without white space ('hard')
-    only where words are.
+    relative deviation from equal sizes. It runs over lines, paragraphs and
+    sentences first, with clauses and words only where those are further apart
+    than a piece may advance; then again with all clauses, or all words, unless
+    what it found costs no more than any way with one of these must. Cuts inside
+    a stretch without white space ('hard') are offered only where words are too
+    far apart.
     """
     n = len(text)
     if n <= limit:
@@ -105,8 +107,25 @@ def split_points(text: str, limit: int, overlap: int, *, balance: float = 6.0) -
         hard.extend(range(a + every, b, every))
         hard.extend(range(b - step, a, -step))
         hard.extend(range(a + step, b, step))
-    where = np.concatenate([at, np.array(sorted({h for h in hard if 0 < h < n} - set(at.tolist())), dtype=np.int64), [n]]).astype(np.int64)
-    what = np.concatenate([kind, np.full(len(where) - len(at) - 1, _KINDS.index("hard")), [_KINDS.index("end")]]).astype(np.int64)
+    hard = np.array(sorted({h for h in hard if 0 < h < n} - set(at.tolist())), dtype=np.int64)
+    least, pieces = _cheapest(n, limit, overlap, balance, at, kind, hard)
+    # What the other cuts of a way cost at least: of every kind there may be, the cheapest.
+    others = (math.ceil((n - overlap) / step) - 2) * min([CUT_COST["clause"], *(CUT_COST[_KINDS[k]] for k in set(kind.tolist()))])
+    if least > CUT_COST["clause"] + others:
+        every_at, every_kind = boundaries(text)
+        finest = "clause" if least <= CUT_COST["space"] + others else "space"
+        more = every_kind <= _KINDS.index(finest)
+        at, first = np.unique(np.concatenate([at, every_at[more]]), return_index=True)
+        kind = np.concatenate([kind, every_kind[more]])[first]
+        _, pieces = _cheapest(n, limit, overlap, balance, at, kind, hard)
+    return pieces
+
+
+def _cheapest(n: int, limit: int, overlap: int, balance: float, at: np.ndarray, kind: np.ndarray, hard: np.ndarray) -> tuple[float, list[tuple[int, int, str]]]:
+    """(cost, pieces) of the cheapest way to cut n characters at these boundaries."""
+    step = limit - overlap
+    where = np.concatenate([at, hard, [n]]).astype(np.int64)
+    what = np.concatenate([kind, np.full(len(hard), _KINDS.index("hard")), [_KINDS.index("end")]]).astype(np.int64)
     order = np.argsort(where, kind="stable")
     where, what = where[order], what[order]
     cost = np.array([CUT_COST[k] for k in _KINDS])[what]
@@ -132,7 +151,7 @@ def split_points(text: str, limit: int, overlap: int, *, balance: float = 6.0) -
     for i in reversed(cuts):
         pieces.append((max(0, before - overlap), int(ends[i]), _KINDS[what[i - 1]]))
         before = int(ends[i])
-    return pieces
+    return float(best[-1]), pieces
 
 
 def split_texts(df: DataFrame, record_id: str, text: str, limit: str | Column, overlap: str | Column) -> DataFrame:

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,6 +69,36 @@ def test_no_hard_cut_where_a_natural_way_exists(text, limit):
         assert all(k != "hard" for _, _, k in check(text, limit, overlap))
 
 
+def cost_of(pieces, overlap, even):
+    ends = [0, *(b for _, b, _ in pieces)]
+    return sum(CUT_COST[k] for *_, k in pieces) + sum(6.0 * ((b - a - (overlap if a == 0 else 0)) / even - 1) ** 2 for a, b in zip(ends, ends[1:]))
+
+
+def least_cost(text, limit, overlap, even):
+    """Of all ways to cut at any boundary, one by one; None if there is none."""
+    at, kind = boundaries(text)
+    best = {0: 0.0}
+    for e, c in [*zip(at.tolist(), (list(CUT_COST.values())[k] for k in kind)), (len(text), 0.0)]:
+        ways = [best[s] + 6.0 * ((e - s - (overlap if s == 0 else 0)) / even - 1) ** 2 for s in best if e - s <= (limit if s == 0 else limit - overlap)]
+        if ways:
+            best[e] = min(ways) + c
+    return best.get(len(text))
+
+
+def test_cheapest_of_all_boundaries():
+    rng = random.Random(5)
+    better = 0
+    for i in range(150):
+        text = "".join("word" * rng.randint(1, 2) + rng.choice([" "] * rng.choice([6, 40]) + [", ", ". Then ", "\n", "\n\n"]) for _ in range(rng.randint(20, 150)))
+        limit, overlap = rng.choice([(120, 0), (200, 20), (300, 60)])
+        even = (len(text) - overlap) / math.ceil((len(text) - overlap) / (limit - overlap))
+        pieces = check(text, limit, overlap)
+        if len(text) > limit and (least := least_cost(text, limit, overlap, even)) is not None:
+            assert cost_of(pieces, overlap, even) == pytest.approx(least), i
+            better += any(k in ("clause", "space") for *_, k in pieces)
+    assert better > 5
+
+
 def test_long_texts_are_cut_whole():
     assert check("x" * 300_000, 800, 80)[0][2] == "hard"
     assert len(check("lorem ipsum dolor. " * 20_000, 800, 80)) > 500
