@@ -11,7 +11,7 @@ from ..operators.graph import (
     ENTITY_SECTIONS, RELATION_SECTIONS, actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_nodes, ordered_actions, outgoing, tools_for_action,
 )
 from ..operators.runs import record_run
-from ..schema import ENUMS, validated
+from ..schema import ENUMS, fields, validated
 from ..session import materialize
 from ..sources.extract import dump_json, extract_list, rule_backend
 from ..sources.tables import table
@@ -104,7 +104,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
 def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     """What is wrong with parameters as JSON records: names, domains, types."""
     p = table(spark, d, "process_parameters").dropDuplicates(["param_id"])
-    payload = F.to_json(F.struct("name", "parameter_type", F.col("unit").alias("unit"), F.when(~F.isnan("min_value"), F.col("min_value")).alias("min_value"), F.col("source_system").alias("description")))
+    payload = F.to_json(F.struct(*(f.name for f in fields("ProcessParameter"))))
     checked = validated(p.select("param_id", payload.alias("payload")), "payload", "ProcessParameter")
     return checked.select("param_id", F.size("violations").cast("bigint").alias("n_violations"), F.array_join("violations", "; ").alias("violations"), F.col("record.name").alias("name"))
 
