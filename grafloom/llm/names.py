@@ -412,8 +412,8 @@ def maker_matches(df: DataFrame, record_id: str, name: str, makers: DataFrame, m
 
     variants = counts.mapInPandas(keyed("name", False), "name string, n bigint, brand string, words array<string>, keys array<bigint>")
     known = listed.mapInPandas(keyed("listed", True), "maker bigint, listed string, m bigint, brand string, words array<string>, keys array<bigint>")
-    # Frequent first words that no listed maker has: makers that are not listed.
-    common = known.select(F.explode(F.slice("words", F.lit(2), F.lit(10))).alias("brand")).distinct()
+    # Frequent first words that no listed maker has, nor is written together as: makers that are not listed.
+    common = known.select(F.explode(F.slice("words", F.lit(2), F.lit(10))).alias("brand")).union(known.select(F.array_join("words", ""))).distinct()
     unlisted = variants.where("length(brand) > 3").groupBy("brand").agg(F.sum("n").alias("u")).where(F.col("u") >= frequent).join(known.select("brand").distinct(), "brand", "left_anti").join(common, "brand", "left_anti")
     pairs = variants.select("name", "brand", F.explode("keys").alias("key")).join(known.select("maker", "listed", "m", F.explode("keys").alias("key")), "key").drop("key").distinct()
     pairs = pairs.join(unlisted, "brand", "left")

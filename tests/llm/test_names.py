@@ -92,6 +92,12 @@ def test_frequent_unlisted_makers_are_not_forced_on_listed_ones(spark):
     assert makers_of(spark, "Brixulx Schweißtechnik AG") == {0: (1, False)}
 
 
+def test_listed_makers_written_together_are_no_rivals(spark):
+    glued = ["Brixuloschweisstechnik"] * 30
+    assert makers_of(spark, *glued) == {i: (1, False) for i in range(30)}
+    assert makers_of(spark, *glued, "Brixulo Schweißtechnik AG") == {i: (1, i == 30) for i in range(31)}
+
+
 def test_likelihood_orders():
     assert maker_likelihood("Castegard Instruments S.r.l.", "Castegard Instruments S.r.l.") == 0.0
     assert maker_likelihood("Castegard", "Castegard Instruments S.r.l.") > maker_likelihood("Castegrad", "Castegard Instruments S.r.l.") > -7
