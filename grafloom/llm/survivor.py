@@ -46,6 +46,26 @@ def value_precedence(entries: DataFrame, group: list[str], field: str, value: st
     return net.select(field, F.when(forward, F.col("_a")).otherwise(F.col("_z")).alias("earlier"), F.when(forward, F.col("_z")).otherwise(F.col("_a")).alias("later"))
 
 
+def closed_precedence(learned: DataFrame, among: DataFrame, field: str) -> DataFrame:
+    """(field, earlier, later): what learned precedences say of the values in
+    among (field, value), directly or over any others between. Where a path
+    leads back as well, only what was learned directly stays."""
+    keys = [field, "earlier", "later"]
+    among = materialize(among.select(field, "value").distinct())
+    if among.isEmpty():
+        return learned
+    learned = materialize(learned)
+    reached = frontier = materialize(learned.join(among.withColumnRenamed("value", "earlier"), [field, "earlier"], "left_semi").select(*keys))
+    step = learned.select(field, F.col("earlier").alias("later"), F.col("later").alias("_next"))
+    while not frontier.isEmpty():  # each round one precedence further, until nothing new is reached
+        onward = frontier.join(step, [field, "later"]).where("earlier <> _next").select(field, "earlier", F.col("_next").alias("later")).distinct()
+        frontier = materialize(onward.join(reached, keys, "left_anti"))
+        reached = reached.unionByName(frontier)
+    reached = reached.join(among.withColumnRenamed("value", "later"), [field, "later"], "left_semi").select(*keys)
+    back = reached.select(field, F.col("later").alias("earlier"), F.col("earlier").alias("later"))
+    return learned.select(*keys).unionByName(reached.join(back, keys, "left_anti")).distinct()
+
+
 def surviving_fields(df: DataFrame, group: list[str], record_id: str, fields: str | Column, trust: str, at: str) -> DataFrame:
     """The value that survives in each field of each group.
 
@@ -53,7 +73,8 @@ def surviving_fields(df: DataFrame, group: list[str], record_id: str, fields: st
     latest time, among the records where the field has a value. Where that
     leaves several values, because times are missing or equal, currency
     decides: values last seen earlier in the group are outdated, and so are
-    values that learned precedence puts before another candidate; of the
+    values that learned precedence, closed over others between, puts before
+    another candidate; of the
     topologically latest ones the most frequent survives, then the greatest
     in order of text.
 
@@ -82,7 +103,7 @@ def surviving_fields(df: DataFrame, group: list[str], record_id: str, fields: st
     seen = entries.join(unsettled, on)
     top = (F.col("_r") == F.col("_br")) & F.col("_t").eqNullSafe(F.col("_bt"))
     candidates = seen.groupBy(*on, "value").agg(F.max(top).alias("_top"), F.max("_t").alias("_seen"), F.count_if(top).alias("_n")).where("_top")
-    learned = value_precedence(entries, group, "field", "value", "_t")
+    learned = closed_precedence(value_precedence(entries, group, "field", "value", "_t"), candidates, "field")
     latest = candidates.groupBy(*on).agg(F.max("_seen").alias("_latest"))
     succeeded = (
         candidates.select(*on, F.col("value").alias("earlier"), F.col("_seen").alias("_s1")).join(learned, ["field", "earlier"])

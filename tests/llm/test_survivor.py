@@ -55,6 +55,19 @@ def test_currency_where_times_are_missing(spark):
     assert (got["u", "m"], got["n", "m"], got["e", "m"]) == ("w", "p", "q")
 
 
+def test_currency_over_values_between(spark):
+    def followed(name, a, b):
+        return [(name, 1, {"m": a}, 3, 1), (name, 2, {"m": b}, 3, 40)]
+
+    chain = followed("h", "tube", "relay") + followed("i", "relay", "chip") + followed("j", "chip", "cloud")
+    undated = [("u", 1, {"m": "tube"}, 1, None), ("u", 2, {"m": "tube"}, 1, None), ("u", 3, {"m": "cloud"}, 1, None), ("v", 1, {"m": "tube"}, 1, 7), ("v", 2, {"m": "chip"}, 1, 7)]
+    got = survive(spark, chain + undated)
+    assert (got["u", "m"], got["v", "m"]) == ("cloud", "chip")
+    # a way back: only what was learned directly counts, else the more frequent
+    got = survive(spark, chain + followed("k", "cloud", "tube") + undated)
+    assert (got["u", "m"], got["v", "m"]) == ("tube", "tube")
+
+
 def test_precedence_over_slices(spark):
     rows = [("g", "f", v, at(d)) for v, d in (("a", 0), ("b", 1), ("a", 90), ("c", 200), ("c", 201))] + [("h", "f", "a", None)]
     df = spark.createDataFrame(rows, "grp string, field string, value string, at timestamp")
