@@ -40,6 +40,11 @@ def graph_properties(spark: SparkSession, d: str) -> DataFrame:
     return graphs(spark, d)[0].select("graph_id", "node_id", F.explode("properties").alias("key", "value")).where("key <> 'provenance'")
 
 
+def graph_properties_all(spark: SparkSession, d: str) -> DataFrame:
+    """With the provenance of actions as JSON text, which SQL cannot print."""
+    return graphs(spark, d)[0].select("graph_id", "node_id", F.explode("properties").alias("key", "value"))
+
+
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return graphs(spark, d)[1].select("graph_id", "edge_id", "type", "src", "dst")
 
@@ -161,7 +166,7 @@ def run_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
+    "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_properties_all": graph_properties_all, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "find_node": find_node, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "execution_violations": execution_violations, "execution_violations_all": execution_violations_all, "worker_violations": worker_violations,
