@@ -150,6 +150,12 @@ def json_dump(spark: SparkSession, d: str) -> DataFrame:
     return back.select("r.origin", "r.trust_rank")
 
 
+def json_dump_extractions(spark: SparkSession, d: str) -> DataFrame:
+    """Whole video extractions, nested records included, as JSON, read back."""
+    t = table(spark, d, "video_extractions")
+    return dump_json(t, *t.columns).select(F.from_json("json", t.schema).alias("r")).select("r.*")
+
+
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     """Tools that the rule backend finds in chunk texts."""
     chunks = table(spark, d, "extraction_results").dropDuplicates(["result_id"]).where("source_chunk is not null").select("result_id", "source_chunk")
@@ -170,7 +176,7 @@ QUERIES = {
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "find_node": find_node, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "execution_violations": execution_violations, "execution_violations_all": execution_violations_all, "worker_violations": worker_violations,
-    "json_dump": json_dump, "extract_entities": extract_entities, "run_results": run_results,
+    "json_dump": json_dump, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
 }
 
 # The same in SQL. Mentions of nodes (g, label, name, ord, and properties as rows

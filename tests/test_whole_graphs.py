@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from twins import DATA
 
 from grafloom.plans.catalogue import QUERIES
 from grafloom.schema import struct_type
@@ -15,3 +16,9 @@ def test_provenance_is_a_property(spark, tmp_path):
     got = {(r["node_id"], r["key"]): r["value"] for r in QUERIES["graph_properties_all"](spark, str(tmp_path)).collect()}
     assert got["Action:weld", "provenance"] == '{"video_id":"v","confidence":0.95}'
     assert ("Action:cool", "provenance") not in got
+
+
+def test_nested_records_come_back(spark):
+    t = spark.read.parquet(f"{DATA}/video_extractions.parquet")
+    back = QUERIES["json_dump_extractions"](spark, str(DATA))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, t.collect()))
