@@ -11,24 +11,24 @@ HOUR_MS = 3_600_000
 
 
 def whole_ms(seconds: Column) -> Column:
-    """Seconds as whole milliseconds; null if missing, not a number or beyond
-    what a 64-bit count of milliseconds holds."""
-    ms = seconds * F.lit(1000.0)
-    return F.when(~F.isnan(ms) & (F.abs(ms) < 9.0e15), F.round(ms)).cast("bigint")
+    """Seconds as whole milliseconds; null if missing, not a number, infinite or
+    beyond what a 64-bit count of milliseconds holds."""
+    return F.round(seconds * F.lit(1000.0)).try_cast("bigint")
 
 
 def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, slice_width: int = HOUR_MS) -> DataFrame:
     """Periods covered without interruption and the gaps between, for each key.
 
-    Starts and ends are ranked independently within a key. Where the i-th end
-    comes while exactly i starts have been seen, the next-ranked start exceeds
-    the current-ranked end: a gap opens. The boundaries so found alternate, and
-    each paired with the next gives a period or a gap. Touching intervals
-    continue a period.
+    Starts and ends are ranked independently within a key. After the i-th end
+    there is a gap exactly if the start of rank i + 1 is later. Starts behind a
+    gap and ends before one alternate; each paired with the next of the other
+    kind gives a period or a gap. Touching intervals continue a period.
 
     One key may hold any share of the rows: the axis is cut into slices, ranks
-    are counted within a slice, and only one summary row a slice (the rank
-    difference carried in, the first boundary) crosses slices.
+    are counted within a slice, to which the counts of earlier slices are added
+    (one summary row a slice crosses over). Ranks that are to be compared and
+    lie in different slices need no look at the times: the later slice is later.
+    So the boundaries are moved once.
 
     df        keys, and the bigint columns start and end
     returns   keys, kind ('period' or 'gap'), start, end
@@ -39,23 +39,33 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, sl
     """
     k = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(c).alias(n) for c, n in zip(keys, k)), F.col(start).alias("_s"), F.col(end).alias("_e")).where("_e > _s")
-    events = rows.select(
-        *k, F.explode(F.array(F.struct(F.col("_s").alias("t"), F.lit(1).alias("d")), F.struct(F.col("_e").alias("t"), F.lit(-1).alias("d")))).alias("_v")
-    ).select(*k, F.floor(F.col("_v.t") / F.lit(slice_width)).cast("bigint").alias("_b"), "_v.t", F.col("_v.d").cast("bigint").alias("d"))
-    # Rank difference carried into each slice, as a row in front of its events.
+    ends = F.array(*(F.struct(F.col(c).alias("t"), F.lit(is_end).alias("end")) for c, is_end in (("_s", False), ("_e", True))))
+    bounds = rows.select(*k, F.explode(ends).alias("_v")).select(*k, F.floor(F.col("_v.t") / F.lit(slice_width)).cast("bigint").alias("_b"), "_v.t", "_v.end")
+    # Of each slice, the numbers of starts and of ends, and of those before it.
     earlier = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        events.groupBy(*k, "_b").agg(F.sum("d").alias("d"))
-        .select(*k, "_b", F.lit(None).cast("bigint").alias("t"), F.coalesce(F.sum("d").over(earlier), F.lit(0)).alias("d"))
-    )
-    in_order = Window.partitionBy(*k, "_b").orderBy(F.asc_nulls_first("t"), F.desc("d"))
-    ranked = carried.unionByName(events).withColumn("_open", F.sum("d").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    bounds = ranked.where("t is not null and ((d = 1 and _open = 1) or (d = -1 and _open = 0))").select(*k, "_b", "t", "d")
-    inside = bounds.withColumn("_next", F.lead("t").over(Window.partitionBy(*k, "_b").orderBy("t", "d")))
-    firsts = bounds.groupBy(*k, "_b").agg(F.min("t").alias("_f")).select(*k, "_b", F.lead("_f").over(Window.partitionBy(*k).orderBy("_b")).alias("_f"))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c)
+    counted = bounds.groupBy(*k, "_b").agg(F.count_if(~F.col("end")).alias("_ns"), F.count_if("end").alias("_ne")).select(*k, "_b", before("_ns"), before("_ne"), F.col("_ns").alias("_ms"), F.col("_ne").alias("_me"))
+    # A slice's summary comes as a row in front of its bounds.
+    head = counted.select(*k, "_b", F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("boolean").alias("end"), F.struct("_ns", "_ne", "_ms", "_me").alias("_c"))
+    together = head.unionByName(bounds, allowMissingColumns=True)
+    own = Window.partitionBy(*k, "_b").orderBy(F.asc_nulls_first("end"), "t").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = together.withColumns({"_c": F.first("_c", ignorenulls=True).over(own), "_n": F.count("*").over(own) - 1}).where("t is not null")
+    ranked = ranked.withColumn("_rank", F.when(F.col("end"), F.col("_n") - F.col("_c._ms")).otherwise(F.col("_n")))
+    # i: the rank of an end, and of the end that a start of rank i + 1 follows.
+    ranked = ranked.withColumn("_i", F.when(F.col("end"), F.col("_rank") + F.col("_c._ne")).otherwise(F.col("_rank") + F.col("_c._ns") - 1))
+    ahead = Window.partitionBy(*k, "_b").orderBy("_i", "end")
+    pair = {"_before": F.lag(F.struct("_i", "t", "end")).over(ahead), "_after": F.lead(F.struct("_i", "t", "end")).over(ahead)}
+    met = ranked.withColumns(pair)
+    # Sorted by i, a start stands just before the end it may follow.
+    first, last = (F.col(f"_c.{a}") + F.col(f"_c.{b}") for a, b in (("_ne", "_me"), ("_ns", "_ms")))
+    opens = F.when(F.col("_i") <= F.col("_c._ne"), True).when(F.col("_i") > first, False).otherwise(F.col("t") > F.col("_after.t"))
+    closes = F.when(F.col("_i") + 1 <= F.col("_c._ns"), False).when(F.col("_i") + 1 > last, True).otherwise(F.col("_before.t") > F.col("t"))
+    edges = met.where(F.when(F.col("end"), closes).otherwise(opens)).select(*k, "_b", "t", "end")
+    inside = edges.withColumn("_next", F.lead("t").over(Window.partitionBy(*k, "_b").orderBy("t", "end")))
+    firsts = edges.groupBy(*k, "_b").agg(F.min("t").alias("_f")).select(*k, "_b", F.lead("_f").over(Window.partitionBy(*k).orderBy("_b")).alias("_f"))
     firsts = firsts.select(*(F.col(c).alias(f"r{c}") for c in [*k, "_b"]), "_f")
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"r{c}")) for c in [*k, "_b"]))
     return (
         inside.join(firsts, same, "left").withColumn("_next", F.coalesce("_next", "_f")).where("_next is not null")
-        .select(*(F.col(n).alias(c) for c, n in zip(keys, k)), F.when(F.col("d") == 1, "period").otherwise("gap").alias("kind"), F.col("t").alias("start"), F.col("_next").alias("end"))
+        .select(*(F.col(n).alias(c) for c, n in zip(keys, k)), F.when(F.col("end"), "gap").otherwise("period").alias("kind"), F.col("t").alias("start"), F.col("_next").alias("end"))
     )

@@ -55,9 +55,7 @@ def read_record(text: str | None) -> dict | None:
         return None
     value: object = text
     try:
-        for _ in range(5):
-            if not isinstance(value, str):
-                break
+        while isinstance(value, str):  # each round takes a quoting off, so the text gets shorter
             value = _decoded(value)
     except (ValueError, RecursionError):
         return None

@@ -11,7 +11,7 @@ from ..operators.graph import (
     ENTITY_SECTIONS, RELATION_SECTIONS, actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_nodes, ordered_actions, outgoing, tools_for_action,
 )
 from ..operators.runs import record_run
-from ..schema import ENUMS, fields, validated
+from ..schema import ENUMS, RECORDS, fields, validated
 from ..session import materialize
 from ..sources.extract import dump_json, extract_list, rule_backend
 from ..sources.tables import table
@@ -114,26 +114,38 @@ def schema_violations(spark: SparkSession, d: str) -> DataFrame:
     return checked.select("param_id", F.size("violations").cast("bigint").alias("n_violations"), F.array_join("violations", "; ").alias("violations"), F.col("record.name").alias("name"))
 
 
-def execution_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Violations of step payloads that SQL can tell as well; the rest is in
-    execution_violations_all."""
-    e = table(spark, d, "execution_records").dropDuplicates(["record_id"]).where("record_type = 'StepExecution'")
-    checked = validated(e.select("record_id", "payload"), "payload", "StepExecution", depth=1)
-    return checked.select("record_id", F.explode("violations").alias("violation")).where("violation = 'json' or violation like '%missing' or violation like 'status%'")
-
-
-def execution_violations_all(spark: SparkSession, d: str) -> DataFrame:
-    """All violations of execution payloads of both record types, at full depth.
-    A record without a declared type has that as a violation, and is checked as
-    what its payload looks like."""
+def _executions(spark: SparkSession, d: str) -> DataFrame:
+    """Execution payloads with the record type they are checked as: the declared
+    one, or what the payload looks like where none is declared."""
     e = table(spark, d, "execution_records").dropDuplicates(["record_id"])
     declared = F.coalesce(F.col("record_type").isin("StepExecution", "ProcedureExecution"), F.lit(False))
     untyped = F.when(F.col("record_type").isNull(), "record_type: missing").when(~declared, "record_type: domain")
     of_procedure = F.try_variant_get(F.try_parse_json("payload"), "$.procedure", "variant").isNotNull()
     kind = F.when(declared, F.col("record_type")).when(of_procedure, "ProcedureExecution").otherwise("StepExecution")
-    rows = e.select("record_id", "payload", kind.alias("kind"), untyped.alias("violation"))
-    checked = [validated(rows.where(F.col("kind") == k).select("record_id", "payload"), "payload", k, depth=n).select("record_id", F.explode("violations").alias("violation")) for k, n in (("StepExecution", 1), ("ProcedureExecution", 3))]
-    return rows.where("violation is not null").select("record_id", "violation").unionByName(checked[0]).unionByName(checked[1])
+    return e.select("record_id", "payload", kind.alias("kind"), untyped.alias("violation"))
+
+
+def _violations_of(rows: DataFrame, kind: str) -> DataFrame:
+    checked = validated(rows.where(F.col("kind") == kind).select("record_id", "payload"), "payload", kind)
+    return checked.select("record_id", F.explode("violations").alias("violation"))
+
+
+def step_violations(spark: SparkSession, d: str) -> DataFrame:
+    """All violations of payloads that are steps as they were done."""
+    return _violations_of(_executions(spark, d), "StepExecution")
+
+
+def procedure_violations(spark: SparkSession, d: str) -> DataFrame:
+    """All violations of payloads that are procedures as they were done, down to
+    the step of the step execution that a quality check is about."""
+    return _violations_of(_executions(spark, d), "ProcedureExecution")
+
+
+def execution_violations(spark: SparkSession, d: str) -> DataFrame:
+    """All violations of execution payloads of both record types. A record
+    without a declared type has that as a violation too."""
+    rows = _executions(spark, d)
+    return rows.where("violation is not null").select("record_id", "violation").unionByName(_violations_of(rows, "StepExecution")).unionByName(_violations_of(rows, "ProcedureExecution"))
 
 
 def worker_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +187,7 @@ QUERIES = {
     "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_properties_all": graph_properties_all, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "find_node": find_node, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
-    "graph_summary": graph_summary, "schema_violations": schema_violations, "execution_violations": execution_violations, "execution_violations_all": execution_violations_all, "worker_violations": worker_violations,
+    "graph_summary": graph_summary, "schema_violations": schema_violations, "step_violations": step_violations, "procedure_violations": procedure_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
     "json_dump": json_dump, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
 }
 
@@ -247,8 +259,69 @@ select f.graph_id, f.query, e.{there} node_id, n.name from found f join edges2 e
 
 
 _MENTIONS = "m as (select distinct on (graph_id, ord) * from nodes)"
-_PTYPES = ", ".join(f"'{x}'" for x in ENUMS["parameter_type"].split())
-_STATUS = ", ".join(f"'{x}'" for x in ENUMS["execution_status"].split())
+_PTYPES = ", ".join(f"'{x}'" for x in ENUMS["parameter_type"])
+
+
+def _checked_sql(*records: str) -> str:
+    """Violations of execution payloads, from one list of JSON objects for each
+    place where the types nest."""
+    ctes, found = [], []
+
+    def wrong(source: str, at: str, what: str, test: str) -> None:
+        found.append(f"select record_id, '{at}: {what}' violation from {source} where {test}")
+
+    def fits(kind: str, j: str) -> str:
+        text, of = f"json_extract_string({j}, '$')", f"json_type({j})"
+        number = f"({of} in ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') or {of} = 'VARCHAR' and try_cast({text} as double) is not null)"
+        if kind == "str" or kind in ENUMS:
+            return f"{of} = 'VARCHAR'"
+        if kind == "float":
+            return number
+        if kind == "int":
+            return f"({of} in ('BIGINT', 'UBIGINT', 'BOOLEAN') or {of} = 'DOUBLE' and try_cast({text} as double) = floor(try_cast({text} as double)) or {of} = 'VARCHAR' and regexp_full_match(trim({text}), '[+-]?[0-9]+([.]0+)?'))"
+        if kind == "bool":
+            return f"{of} not in ('OBJECT', 'ARRAY') and lower({text}) in ('true', 't', 'yes', 'y', 'on', '1', '1.0', 'false', 'f', 'no', 'n', 'off', '0', '0.0')"
+        return f"({of} in ('BIGINT', 'UBIGINT', 'DOUBLE') or {of} = 'VARCHAR' and try_cast({text} as timestamp) is not null)"
+
+    def walk(record: str, source: str, path: str) -> None:
+        for f in fields(record):
+            at, j = f"{path}{f.name}", f"json_extract(j, '$.{f.name}')"
+            if f.required:
+                wrong(source, at, "missing", f"{j} is null")
+            if f.required or f.default is not None:
+                wrong(source, at, "null", f"json_type({j}) = 'NULL'")
+            here = source
+            if f.many:
+                wrong(source, at, "type", f"json_type({j}) not in ('ARRAY', 'NULL')")
+                here = f"x{len(ctes)}"
+                ctes.append(f"{here} as (select record_id, unnest(cast({j} as json[])) j from {source} where json_type({j}) = 'ARRAY')")
+                j = "j"
+            elif f.kind in RECORDS:
+                here = f"x{len(ctes)}"
+                ctes.append(f"{here} as (select record_id, {j} j from {source} where json_type({j}) <> 'NULL')")
+                j = "j"
+            if f.kind in RECORDS:
+                wrong(here, at, "type", "coalesce(json_type(j), 'NULL') <> 'OBJECT'")
+                inner = f"x{len(ctes)}"
+                ctes.append(f"{inner} as (select record_id, j from {here} where json_type(j) = 'OBJECT')")
+                walk(f.kind, inner, f"{at}.")
+                continue
+            wrong(here, at, "type", f"coalesce(not ({fits(f.kind, j)}), true)" if f.many else f"json_type({j}) <> 'NULL' and not ({fits(f.kind, j)})")
+            if f.kind in ENUMS:
+                wrong(here, at, "domain", f"json_type({j}) = 'VARCHAR' and json_extract_string({j}, '$') not in ({', '.join(repr(x) for x in ENUMS[f.kind])})")
+
+    for record in records:
+        ctes.append(f"k{record} as (select record_id, o from e where kind = '{record}')")
+        found.append(f"select record_id, 'json' violation from k{record} where o is null")
+        ctes.append(f"o{record} as (select record_id, o j from k{record} where o is not null)")
+        walk(record, f"o{record}", "")
+    if len(records) > 1:
+        found += ["select record_id, 'record_type: missing' from e where record_type is null", "select record_id, 'record_type: domain' from e where record_type not in ('StepExecution', 'ProcedureExecution')"]
+    return f"""with r as (select distinct on (record_id) record_id, record_type, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload::json end o from execution_records),
+e as (select record_id, record_type, o, case when record_type in ('StepExecution', 'ProcedureExecution') then record_type when json_extract(o, '$.procedure') is not null then 'ProcedureExecution' else 'StepExecution' end kind from r),
+{', '.join(ctes)}
+{' union all '.join(found)}"""
+
 
 SQL = {
     "graph_nodes": f"""{_G} select n.graph_id, n.node_id, label, name, (select count(*) from props2 p where p.graph_id = n.graph_id and p.node_id = n.node_id) + (select count(*) from prov p where p.graph_id = n.graph_id and p.node_id = n.node_id) n_properties from nodes2 n""",
@@ -282,19 +355,12 @@ from nodes2 n left join props2 p on p.graph_id = n.graph_id and p.node_id = n.no
     "schema_violations": f"""with p as (select distinct on (param_id) param_id, name, parameter_type from process_parameters),
 x as (select param_id, name, list_filter([case when name is null then 'name: missing' end, case when parameter_type not in ({_PTYPES}) then 'parameter_type: domain' end], lambda z: z is not null) l from p)
 select param_id, cast(len(l) as bigint) n_violations, array_to_string(l, '; ') violations, name from x""",
-    "execution_violations": f"""with e as (select distinct on (record_id) record_id, payload from execution_records where record_type = 'StepExecution'),
-j as (select record_id, case when json_valid(payload) and json_type(payload) = 'OBJECT' then payload::json end p from e),
-x as (select record_id, unnest(case when p is null then ['json'] else [
-  case when json_extract(p, '$.step') is null then 'step: missing' end, case when json_extract(p, '$.executed_by') is null then 'executed_by: missing' end,
-  case when json_type(json_extract(p, '$.step')) = 'OBJECT' and json_extract(p, '$.step.name') is null then 'step.name: missing' end,
-  case when json_type(json_extract(p, '$.executed_by')) = 'OBJECT' and json_extract(p, '$.executed_by.name') is null then 'executed_by.name: missing' end,
-  case when json_type(json_extract(p, '$.status')) = 'VARCHAR' and json_extract_string(p, '$.status') not in ({_STATUS}) then 'status: domain' when json_type(json_extract(p, '$.status')) not in ('VARCHAR', 'NULL') then 'status: type' end] end) violation from j),
-o as (select record_id, unnest(list_transform(list_filter(cast(json_extract(p, '$.observed_parameters') as json[]), lambda z: json_type(z) = 'OBJECT' and json_extract(z, '$.name') is null), lambda z: 'observed_parameters.name: missing')) violation from j where json_type(json_extract(p, '$.observed_parameters')) = 'ARRAY'),
-t as (select record_id, unnest(list_transform(list_filter(cast(json_extract(p, '$.tools_used') as json[]), lambda z: json_type(z) = 'OBJECT' and json_extract(z, '$.name') is null), lambda z: 'tools_used.name: missing')) violation from j where json_type(json_extract(p, '$.tools_used')) = 'ARRAY')
-select * from x where violation is not null union all select * from o union all select * from t""",
+    "step_violations": _checked_sql("StepExecution"),
+    "procedure_violations": _checked_sql("ProcedureExecution"),
+    "execution_violations": _checked_sql("StepExecution", "ProcedureExecution"),
     "worker_violations": f"""with w as (select distinct on (worker_rec_id) * from workers)
-select worker_rec_id, array_to_string(list_filter([case when name is null then 'name: missing' end, case when role not in ({", ".join(repr(x) for x in ENUMS["role"].split())}) then 'role: domain' end,
-  case when expertise_level not in ({", ".join(repr(x) for x in ENUMS["expertise"].split())}) then 'expertise_level: domain' end], lambda z: z is not null), '; ') violations, cast(coalesce(len(certifications), 0) as bigint) n_certifications from w""",
+select worker_rec_id, array_to_string(list_filter([case when name is null then 'name: missing' end, case when role not in ({", ".join(repr(x) for x in ENUMS["role"])}) then 'role: domain' end,
+  case when expertise_level not in ({", ".join(repr(x) for x in ENUMS["expertise"])}) then 'expertise_level: domain' end], lambda z: z is not null), '; ') violations, cast(coalesce(len(certifications), 0) as bigint) n_certifications from w""",
     "json_dump": "select origin, trust_rank from source_trust",
     "extract_entities": """with r as (select distinct on (result_id) result_id, source_chunk from extraction_results where source_chunk is not null),
 m as (select result_id, regexp_extract_all(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+') l from r)

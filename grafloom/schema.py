@@ -7,6 +7,7 @@ missing key, an explicit null and a value of another type stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 from functools import lru_cache
@@ -17,22 +18,22 @@ from pyspark.sql import types as T
 
 # Value domains.
 ENUMS = {
-    "role": "operator supervisor quality_inspector maintenance trainee welding_engineer",
-    "expertise": "apprentice skilled expert master",
-    "step_type": "preparation execution inspection cleanup documentation safety_check",
-    "procedure_status": "draft approved active deprecated archived",
-    "procedure_domain": "welding assembly inspection maintenance surface_treatment bending laser_cutting",
-    "parameter_type": "temperature pressure speed current voltage flow_rate force time distance",
-    "requirement_type": "dimensional visual destructive_test non_destructive_test documentation traceability",
-    "execution_status": "completed failed skipped partially_completed interrupted",
-    "check_result": "pass fail conditional not_inspected",
-    "feedback_type": "question issue suggestion observation",
-    "severity": "info warning critical",
-    "overall_status": "completed completed_with_deviations failed aborted",
-    "overall_result": "accepted accepted_with_conditions rejected pending_review",
-    "action_type": "preparation manipulation inspection measurement assembly disassembly cleaning safety_check documentation other",
-    "object_role": "input output target support unknown",
-}
+    "role": ["operator", "supervisor", "quality_inspector", "maintenance", "trainee", "welding_engineer"],
+    "expertise": ["apprentice", "skilled", "expert", "master"],
+    "step_type": ["preparation", "execution", "inspection", "cleanup", "documentation", "safety_check"],
+    "procedure_status": ["draft", "approved", "active", "deprecated", "archived"],
+    "procedure_domain": ["welding", "assembly", "inspection", "maintenance", "surface_treatment", "bending", "laser_cutting"],
+    "parameter_type": ["temperature", "pressure", "speed", "current", "voltage", "flow_rate", "force", "time", "distance"],
+    "requirement_type": ["dimensional", "visual", "destructive_test", "non_destructive_test", "documentation", "traceability"],
+    "execution_status": ["completed", "failed", "skipped", "partially_completed", "interrupted"],
+    "check_result": ["pass", "fail", "conditional", "not_inspected"],
+    "feedback_type": ["question", "issue", "suggestion", "observation"],
+    "severity": ["info", "warning", "critical"],
+    "overall_status": ["completed", "completed_with_deviations", "failed", "aborted"],
+    "overall_result": ["accepted", "accepted_with_conditions", "rejected", "pending_review"],
+    "action_type": ["preparation", "manipulation", "inspection", "measurement", "assembly", "disassembly", "cleaning", "safety_check", "documentation", "other"],
+    "object_role": ["input", "output", "target", "support", "unknown"],
+}
 
 # Record -> (what it is, own fields). A field is name:type; '!'
 # marks a required one, '=' a default, '[...]' a list; str int float bool time
@@ -108,13 +109,30 @@ def struct_type(record: str) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.data_type) for f in fields(record)])
 
 
+@lru_cache(maxsize=None)
+def full_depth(record: str) -> int:
+    """How deep records nest in a record."""
+    return max((1 + full_depth(f.kind) for f in fields(record) if f.kind in RECORDS), default=0)
+
+
 def _is(kind: Column, *names: str) -> Column:
     return F.coalesce(kind.rlike(f"^({'|'.join(names)})"), F.lit(False))
 
 
-def _scalar(v: Column, kind: str) -> tuple[Column, Column]:
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+_NONE = "array<string>"
+
+
+def _checked(value: Column, violations: Column) -> Column:
+    return F.struct(value.alias("v"), violations.alias("bad"))
+
+
+def _scalar(v: Column, of: Column, kind: str) -> tuple[Column, Column]:
     """(value, fits) of a VARIANT that is not null: what a lax reader accepts."""
-    of = F.schema_of_variant(v)
     text = F.try_variant_get(v, "$", "string")
     number = F.try_variant_get(v, "$", "double")
     if kind == "str" or kind in ENUMS:
@@ -135,67 +153,71 @@ def _scalar(v: Column, kind: str) -> tuple[Column, Column]:
     return value, value.isNotNull()
 
 
-def _field(v: Column, f: FieldSpec, path: str, depth: int) -> tuple[Column, Column]:
-    """(value, violations) of one field of the VARIANT object v."""
-    raw = F.try_variant_get(v, f"$.{f.name}", "variant")
-    of = F.schema_of_variant(raw)
-    absent, null = raw.isNull(), F.coalesce(of == "VOID", F.lit(False))
-    none = F.array().cast("array<string>")
+def _field(v: Column, f: FieldSpec, path: str, depth: int) -> Column:
+    """struct(v, bad): value and violations of one field of the VARIANT object v."""
     at = f"{path}{f.name}"
     strict = f.default is not None  # has a default other than null: an explicit null is wrong
+    none, shape = F.array().cast(_NONE), f.data_type.simpleString()
 
     def wrong(what: str) -> Column:
         return F.array(F.lit(f"{at}: {what}"))
 
-    if f.many:
-        items = F.try_variant_get(raw, "$", "array<variant>")
+    def check(raw: Column) -> Column:
+        if not f.many:
+            return _value(raw, f, at, depth)
         element = FieldSpec(f.name, f.kind, False, False, None)
-        value = F.transform(items, lambda x: _value(x, element, at, depth)[0])
-        inner = F.flatten(F.transform(items, lambda x: _value(x, element, at, depth)[1]))
-        violations = F.when(_is(of, "ARRAY"), inner).otherwise(wrong("type"))
-        default = F.array().cast(f.data_type.simpleString()) if strict else F.lit(None).cast(f.data_type.simpleString())
-        value = F.when(_is(of, "ARRAY"), value).when(absent, default)
-    else:
-        value, violations = _value(raw, f, at, depth)
-        if strict:
-            value = F.when(absent, F.lit(f.default).cast(f.data_type)).otherwise(value)
-    missing = wrong("missing") if f.required else none
-    nulled = wrong("null") if f.required or strict else none
-    return value, F.when(absent, missing).when(null, nulled).otherwise(violations)
-
-
-def _value(v: Column, f: FieldSpec, at: str, depth: int) -> tuple[Column, Column]:
-    none = F.array().cast("array<string>")
+        items = F.transform(F.try_variant_get(raw, "$", "array<variant>"), lambda x: _value(x, element, at, depth))
+        each = _with(items, lambda i: _checked(F.transform(i, lambda x: x["v"]), F.flatten(F.transform(i, lambda x: x["bad"]))))
+        return F.when(_is(F.schema_of_variant(raw), "ARRAY"), each).otherwise(_checked(F.lit(None).cast(shape), wrong("type")))
+
+    default = F.lit(None).cast(shape) if not strict else F.array().cast(shape) if f.many else F.lit(f.default).cast(shape)
+    absent = _checked(default, wrong("missing") if f.required else none)
+    null = _checked(F.lit(None).cast(shape), wrong("null") if f.required or strict else none)
+    return _with(
+        F.try_variant_get(v, f"$.{f.name}", "variant"),
+        lambda raw: F.when(raw.isNull(), absent).when(F.coalesce(F.schema_of_variant(raw) == "VOID", F.lit(False)), null).otherwise(check(raw)),
+    )
+
+
+def _value(v: Column, f: FieldSpec, at: str, depth: int) -> Column:
+    none, shape = F.array().cast(_NONE), FieldSpec(f.name, f.kind, False, False, None).data_type.simpleString()
     if f.kind in RECORDS:
-        value, violations = (F.lit(None).cast(struct_type(f.kind)), none) if depth == 0 else _record(v, f.kind, f"{at}.", depth - 1)
-        return value, F.when(_is(F.schema_of_variant(v), "OBJECT"), violations).otherwise(F.array(F.lit(f"{at}: type")))
-    value, fits = _scalar(v, f.kind)
-    violations = F.when(~fits, F.array(F.lit(f"{at}: type")))
-    if f.kind in ENUMS:
-        violations = violations.when(~value.isin(ENUMS[f.kind].split()), F.array(F.lit(f"{at}: domain")))
-    return value, violations.otherwise(none)
+        inside = _checked(F.lit(None).cast(shape), none) if depth == 0 else _record(v, f.kind, f"{at}.", depth - 1)
+        return F.when(_is(F.schema_of_variant(v), "OBJECT"), inside).otherwise(_checked(F.lit(None).cast(shape), F.array(F.lit(f"{at}: type"))))
+
+    def scalar(b: Column) -> Column:
+        value, fits = _scalar(b["v"], b["of"], f.kind)
+        violations = F.when(~fits, F.array(F.lit(f"{at}: type")))
+        if f.kind in ENUMS:
+            violations = violations.when(~value.isin(ENUMS[f.kind]), F.array(F.lit(f"{at}: domain")))
+        return _checked(value, violations.otherwise(none))
+
+    return _with(F.struct(v.alias("v"), F.schema_of_variant(v).alias("of")), scalar)
 
 
-def _record(v: Column, record: str, path: str, depth: int) -> tuple[Column, Column]:
-    built = [(f.name, *_field(v, f, path, depth)) for f in fields(record)]
-    value = F.when(_is(F.schema_of_variant(v), "OBJECT"), F.struct(*(x.alias(n) for n, x, _ in built)))
-    return value, F.flatten(F.array(*(bad for _, _, bad in built)))
+def _record(v: Column, record: str, path: str, depth: int) -> Column:
+    """struct(v, bad) of the VARIANT object v."""
+    names = [f.name for f in fields(record)]
+    built = F.struct(*(_field(v, f, path, depth).alias(f.name) for f in fields(record)))
+    return _with(built, lambda b: _checked(F.struct(*(b[n]["v"].alias(n) for n in names)), F.flatten(F.array(*(b[n]["bad"] for n in names)))))
 
 
-def validated(df: DataFrame, payload: str, record: str, *, depth: int = 2) -> DataFrame:
+def validated(df: DataFrame, payload: str, record: str, *, depth: int | None = None) -> DataFrame:
     """df with columns record (a struct with the declared types and defaults)
     and violations (array of 'field: missing | null | type | domain').
 
     payload is JSON text. Text that is no JSON object has the single violation
-    'json' and a null record; a null payload likewise. Records nested deeper
-    than depth are checked for being objects, but not inside, and are null.
-    Unknown keys are ignored.
+    'json' and a null record; a null payload likewise. Records are checked as
+    deep as their type nests; with a given depth, those nested deeper are
+    checked for being objects, but not inside, and are null. Unknown keys are
+    ignored.
     """
-    rows = df.withColumn("_v", F.try_parse_json(F.col(payload)))
-    value, violations = _record(F.col("_v"), record, "", depth)
-    is_object = _is(F.schema_of_variant("_v"), "OBJECT")
-    rows = rows.withColumns({"record": F.when(is_object, value), "violations": F.when(is_object, violations).otherwise(F.array(F.lit("json")))})
-    return rows.drop("_v")
+    kept = [c for c in df.columns if c not in ("record", "violations")]  # columns of these names are replaced
+    rows = df.select(*kept, F.try_parse_json(F.col(payload)).alias("_v"))
+    checked = _record(F.col("_v"), record, "", full_depth(record) if depth is None else depth)
+    no_object = _checked(F.lit(None).cast(struct_type(record)), F.array(F.lit("json")))
+    rows = rows.withColumn("_c", F.when(_is(F.schema_of_variant("_v"), "OBJECT"), checked).otherwise(no_object))
+    return rows.select(*kept, F.col("_c.v").alias("record"), F.col("_c.bad").alias("violations"))
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +231,7 @@ def _problem(value: object, f: FieldSpec, at: str) -> list[str]:
         return problems(value, f.kind, f"{at}.") if isinstance(value, dict) else [f"{at}: type"]
     if f.kind == "str" or f.kind in ENUMS:
         fits = isinstance(value, str)
-        return ([] if f.kind == "str" or value in ENUMS[f.kind].split() else [f"{at}: domain"]) if fits else [f"{at}: type"]
+        return ([] if f.kind == "str" or value in ENUMS[f.kind] else [f"{at}: domain"]) if fits else [f"{at}: type"]
     try:
         if f.kind == "bool":
             fits = isinstance(value, bool) or str(value).lower() in ("true", "false", "t", "f", "yes", "no", "y", "n", "on", "off", "1", "0", "1.0", "0.0")

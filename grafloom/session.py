@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +30,22 @@ def local_session(cores: int = 8, name: str = "grafloom", memory: str = "12g") -
 
 
 _OWN_DIRS: dict[str, str] = {}
+#: Folders that scratch() opened, innermost last.
+_OPEN: list[str] = []
+
+
+def is_local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests, a
-    single machine), a temporary one, which is removed at the end."""
+    """The folder in spark.checkpoint.dir. Only where that is unset and the
+    master is local (tests, a single machine), a temporary one, which is removed
+    at the end; executors of a cluster could not read it."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         application = spark.sparkContext.applicationId
         if application not in _OWN_DIRS:
             folder = tempfile.mkdtemp(prefix="grafloom-")
@@ -48,14 +59,16 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the Python workers, once a context, unless they find
-    it anyway: installed, on PYTHONPATH, or in the working directory."""
+    """Give this package to the Python workers, once a context. Workers of a
+    local master see what the driver sees; an installed package is on every
+    machine. Where the driver runs says nothing about other machines."""
     package = Path(__file__).resolve().parent
     root, context = package.parent, spark.sparkContext
-    found = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
-    if root in found or "site-packages" in root.parts or context.applicationId in _SHIPPED:
+    if context.applicationId in _SHIPPED or "site-packages" in root.parts:
         return
     _SHIPPED.add(context.applicationId)
+    if is_local(spark) and root in {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}:
+        return
     folder = tempfile.mkdtemp(prefix="grafloom-code-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = Path(folder, "grafloom_code.zip")
@@ -65,21 +78,46 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(archive))
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def scratch_path(spark: SparkSession) -> str:
+    """A new path for an intermediate result in the shared folder."""
+    folder = _OPEN[-1] if _OPEN else f"{shared_dir(spark)}/grafloom-{spark.sparkContext.applicationId}"
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a
-    lost executor costs no recomputation. The files stay until the folder,
-    which is scratch space, is cleared."""
+    lost executor costs no recomputation. The files stay until scratch() or
+    clear_scratch() removes them."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/grafloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark)
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is materialized inside goes to a folder of its own, which is removed
+    at the end: for a query whose result has been written or fetched by then."""
+    path = f"{shared_dir(spark)}/grafloom-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    _OPEN.append(path)
+    try:
+        yield path
+    finally:
+        _OPEN.remove(path)
+        _remove(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove what materialize() wrote in this application, once nothing reads it."""
+    """Remove all that materialize() wrote in this application, once nothing
+    reads it."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"grafloom-{spark.sparkContext.applicationId}-*")) or []:
+    for status in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, f"grafloom-{spark.sparkContext.applicationId}*")) or []:
         system.delete(status.getPath(), True)
 
 

@@ -9,7 +9,7 @@ from ..schema import split_valid, validated
 from ..session import ship_package
 
 
-def read_gold(spark: SparkSession, path: str, record: str, *, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+def read_gold(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
     """(gold rows, quarantined rows) of JSON lines under path.
 
     A line is {"key": ..., "text": ..., "expected": one record or a list of
@@ -25,7 +25,7 @@ def read_gold(spark: SparkSession, path: str, record: str, *, depth: int = 3) ->
     rows = lines.where(expected.isNotNull()).select(
         F.try_variant_get("v", "$.key", "string").alias("key"), F.try_variant_get("v", "$.text", "string").alias("text"), F.posexplode(F.transform(items, lambda x: F.to_json(x))).alias("pos", "payload")
     )
-    return split_valid(validated(rows, "payload", record, depth=depth))
+    return split_valid(validated(rows, "payload", record))
 
 
 def write_records(df: DataFrame, path: str, *columns: str) -> None:

@@ -60,3 +60,10 @@ def test_deep_and_wide(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, '{"a": {}}', "x", 7)], "pos bigint, payload string, type string, rid int")
     assert nested_nodes(df.withColumnRenamed("pos", "key"), "key", "payload").count() == 2
+
+
+def test_payload_quoted_many_times():
+    text = json.dumps({"a": 1})
+    for _ in range(9):
+        text = json.dumps(text)
+    assert read_record(text) == {"a": 1} and read_record(json.dumps("x")) is None

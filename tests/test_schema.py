@@ -140,3 +140,18 @@ def test_model_over_http(spark):
     good, _ = extract_list(df, "text", "Tool", http_backend(f"http://127.0.0.1:{server.server_port}", timeout=10), ExtractorSettings(model="m"))
     assert [(r["record"]["name"], r["record"]["model"]) for r in good.collect()] == [("a torch", "m")]
     server.shutdown()
+
+
+def test_nested_records_are_checked_to_their_full_depth(spark):
+    from grafloom.schema import full_depth
+
+    good = {"procedure": {"name": "p"}, "executed_by": [{"name": "h"}]}
+    step = {"step": {"description": "no name"}, "executed_by": {"name": "h"}}
+    check = {"inspector": {"name": "i"}, "requirement": {"name": "q"}, "step_execution": step}
+    bad = good | {"quality_checks": [check, None], "feedback": [{"step_execution": step, "reported_by": {"name": "h"}, "feedback_type": "issue", "content": "c"}]}
+    df = spark.createDataFrame([(1, json.dumps(bad), "kept", "gone")], "id int, payload string, x string, record string")
+    row = validated(df, "payload", "ProcedureExecution").first()
+    assert sorted(row["violations"]) == sorted(problems(bad, "ProcedureExecution")) == ["feedback.step_execution.step.name: missing", "quality_checks.step_execution.step.name: missing", "quality_checks: type"]
+    assert row["record"]["quality_checks"][0]["step_execution"]["executed_by"]["name"] == "h" and row["x"] == "kept"
+    assert full_depth("ProcedureExecution") == 3 and full_depth("Tool") == 0
+    assert validated(df, "payload", "ProcedureExecution", depth=1).first()["violations"] == ["quality_checks: type"]

@@ -16,7 +16,7 @@ def test_all_execution_violations(spark, tmp_path):
         (7, None, {"step": {"name": "weld"}}), (8, None, procedure | {"step_executions": [{"step": {"name": "s"}, "executed_by": {}}]}), (9, "Other", step), (10, "ProcedureExecution", None), (1, "StepExecution", step),
     ]
     spark.createDataFrame([(i, t, p and json.dumps(p)) for i, t, p in rows], "record_id bigint, record_type string, payload string").write.parquet(f"{tmp_path}/execution_records.parquet")
-    got = Counter(tuple(r) for r in QUERIES["execution_violations_all"](spark, str(tmp_path)).collect())
+    got = Counter(tuple(r) for r in QUERIES["execution_violations"](spark, str(tmp_path)).collect())
     assert got == Counter([
         (2, "observed_parameters: type"), (3, "observed_parameters: type"), (3, "observed_parameters.name: null"), (3, "started_at: type"), (5, "executed_by: type"), (5, "overall_status: domain"),
         (6, "quality_checks.step_execution.step.name: type"), (6, "quality_checks.step_execution.executed_by.role: domain"), (7, "record_type: missing"), (7, "executed_by: missing"),
