@@ -131,3 +131,14 @@ def whole_groups(df: DataFrame, keys: list[str], *order) -> DataFrame:
     declares that it needs them.
     """
     return df.withColumn("_whole", F.xxhash64(*keys)).repartition("_whole").sortWithinPartitions(*order).drop("_whole")
+
+
+def shared_files(path: str) -> tuple[object, str]:
+    """(file system, path in it) of a folder in the shared one, for a Python
+    worker that reads files there itself."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if not rest or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest or path).lstrip("/")
+    return fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
