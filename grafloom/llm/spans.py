@@ -1,28 +1,33 @@
 """Long exact spans shared between documents.
 
-Winnowing picks phrases so that every window of min_chars characters holds one;
-phrases that recur are confirmed by counting, sharded Aho-Corasick automata
-find every occurrence of them, and the surroundings of the occurrences decide
-which documents share a span of min_chars characters or more.
+Phrases that recur in several documents are confirmed by counting (winnowing
+picks them, so that every window of min_chars characters holds one), compiled
+into sharded Aho-Corasick automata, and all documents are streamed through all
+shards, which locates every occurrence. The surroundings of the occurrences
+decide which documents share a span of min_chars characters or more.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, whole_groups
+from ..session import materialize, scratch_path, shared_files, whole_groups
 
 MIN_CHARS = 200
 PHRASE_CHARS = 80
-#: Phrases of one automaton: it then takes some 20 MB in a Python worker.
-SHARD_PHRASES = 4_000
+#: Phrases of one automaton: it then takes some 50 MB in a Python worker.
+SHARD_PHRASES = 16_000
+#: Characters that are streamed through a shard before the next one is loaded.
+BUFFER_CHARS = 16_000_000
 #: Occurrences of one phrase that are compared with each other at once; the
 #: occurrences of more frequent phrases are compared by window hashes.
 DIRECT_LIMIT = 64
@@ -138,49 +143,78 @@ def _phrases(texts: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
     return texts.mapInArrow(run, "doc bigint, pos int, phrase bigint")
 
 
-def find_occurrences(texts: list[str], positions: list[list[int]], min_chars: int, phrase_chars: int, shard_phrases: int = SHARD_PHRASES) -> Iterator[tuple[int, int, str]]:
-    """(index, position, phrase) of every occurrence in the texts of the phrases
-    that stand at the given positions: shard after shard of the texts is
-    compiled into an automaton and streamed through it."""
-
-    def shard(first: int, last: int, phrases: set[str]) -> Iterator[tuple[int, int, str]]:
-        automaton = ahocorasick.Automaton()
-        for phrase in phrases:
-            automaton.add_word(phrase, phrase)
-        automaton.make_automaton()
-        for i in range(first, last):
-            for end, phrase in automaton.iter(texts[i]):
-                yield i, end - phrase_chars + 1, phrase
-
-    first, phrases = 0, set()
-    for i, (text, where) in enumerate(zip(texts, positions)):
-        own = {text[p : p + phrase_chars] for p in where}
-        if phrases and len(phrases) + len(own) > shard_phrases:
-            yield from shard(first, i, phrases)
-            first, phrases = i, set()
-        phrases |= own
-    if phrases:
-        yield from shard(first, len(texts), phrases)
-
-
-def _occurrences(texts: DataFrame, positions: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
-    """(phrase, doc, pos, before, around): around is the occurrence with up to
-    min_chars - phrase_chars characters on either side, before of them in front."""
-    margin = min_chars - phrase_chars
+def _passages(texts: DataFrame, phrases: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
+    """(phrase, passage) of every phrase that stands in more than one document:
+    its hash and its text, taken from the first of them."""
+    recurring = phrases.groupBy("phrase").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc < other").select("phrase", "doc")
+    wanted = recurring.groupBy("doc").agg(F.collect_list("phrase").alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found, asked = batch.column(0).to_pylist(), [set(w) for w in batch.column(1).to_pylist()]
+            out: dict[int, str] = {}
+            for i, p, h in zip(*(x.tolist() for x in winnow(found, min_chars, phrase_chars))):
+                if h in asked[i]:
+                    out[h] = found[i][p : p + phrase_chars]
+            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], names=["phrase", "passage"])
+
+    return texts.join(wanted, "doc").select("text", "wanted").mapInArrow(run, "phrase bigint, passage string")
+
+
+def automaton_of(passages: list[str], values: list) -> ahocorasick.Automaton:
+    """An automaton that yields (end, (value, length)) for each occurrence."""
+    automaton = ahocorasick.Automaton()
+    for passage, value in zip(passages, values):
+        automaton.add_word(passage, (value, len(passage)))
+    automaton.make_automaton()
+    return automaton
+
+
+@lru_cache(maxsize=1)
+def _shard(path: str, shard: int) -> ahocorasick.Automaton | None:
+    """The automaton of one shard, from the passages in the shared folder; None
+    if no passage fell into it."""
+    system, folder = shared_files(path)
+    if not system.get_file_info(f"{folder}/shard={shard}").type:
+        return None
+    table = pq.read_table(f"{folder}/shard={shard}", filesystem=system, columns=["phrase", "passage"], partitioning=None)
+    return automaton_of(table.column("passage").to_pylist(), table.column("phrase").to_pylist())
+
+
+def _occurrences(texts: DataFrame, path: str, shards: int, min_chars: int, phrase_chars: int, buffer_chars: int = BUFFER_CHARS) -> DataFrame:
+    """(phrase, doc, pos, before, around) of every occurrence of a passage in any
+    text: around is it with up to min_chars - phrase_chars characters on either
+    side, before of them in front. Every text passes through every shard; a
+    worker holds one automaton and a buffer of texts at a time."""
+    margin = min_chars - phrase_chars
+    names = ["phrase", "doc", "pos", "before", "around"]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
+
+    def stream(held: list[tuple[int, str]], order: range) -> Iterator[pa.RecordBatch]:
+        for shard in order:
+            automaton = _shard(path, shard)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for i, pos, phrase in find_occurrences(found, batch.column(2).to_pylist(), min_chars, phrase_chars):
-                at = max(0, pos - margin)
-                row = (xxhash.xxh3_64_intdigest(phrase.encode()) - (1 << 63), ids[i], pos, pos - at, found[i][at : pos + phrase_chars + margin])
-                for column, x in zip(out, row):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["phrase", "doc", "pos", "before", "around"])
+            for doc, text in held if automaton else []:
+                for end, (phrase, length) in automaton.iter(text):
+                    pos = end - length + 1
+                    at = max(0, pos - margin)
+                    for column, x in zip(out, (phrase, doc, pos, pos - at, text[at : pos + length + margin])):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        size, order = 0, range(shards)
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append((doc, text))
+                size += len(text)
+                if size >= buffer_chars:
+                    yield from stream(held, order)
+                    held, size, order = [], 0, order[::-1]  # the shard loaded last comes first
+        yield from stream(held, order)
 
-    chosen = positions.groupBy("doc").agg(F.collect_list("pos").alias("at"))
-    return texts.join(chosen, "doc").select("doc", "text", "at").mapInArrow(run, "phrase bigint, doc bigint, pos int, before int, around string")
+    return texts.select("doc", "text").mapInArrow(run, "phrase bigint, doc bigint, pos int, before int, around string")
 
 
 def shared_stretch(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,11 +293,25 @@ def _windows(occurrences: DataFrame, min_chars: int) -> DataFrame:
     return occurrences.mapInArrow(run, "window binary, doc bigint, start int").distinct()
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS, direct_limit: int = DIRECT_LIMIT) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _window_links(windows: DataFrame) -> DataFrame:
+    """(doc_a, doc_b) of documents that have a window in common. All windows of
+    one passage stand in the same documents; such windows are one class, and
+    pairs are formed once for each class. A class is told by two 64-bit sums of
+    the hashes of its documents, their number, and the first and last of them."""
+    own = windows.select("window", "doc").distinct()
+    sums = [F.bit_xor(F.xxhash64("doc", F.lit(seed))).alias(f"h{seed}") for seed in (0, 1)]
+    classes = own.groupBy("window").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b"), *sums)
+    kept = classes.groupBy("n", "a", "b", "h0", "h1").agg(F.min("window").alias("window")).select("window")
+    one = materialize(own.join(kept, "window"))
+    return one.withColumnRenamed("doc", "doc_a").join(one.withColumnRenamed("doc", "doc_b"), "window").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+
+
+def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS, direct_limit: int = DIRECT_LIMIT, shard_phrases: int = SHARD_PHRASES, routed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verbatim spans of min_chars or more characters that stand in more than
     one document.
 
     docs      doc_id (bigint) and text; other columns are ignored
+    routed    stream only documents that hold a recurring phrase (see below)
     returns   links (doc_a, doc_b), doc_a < doc_b: representatives whose texts
               share such a span; members (doc, rep): documents whose whole text
               occurs more than once, and their representative (the smallest
@@ -272,29 +320,40 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MI
               touch, and together are all it shares with other representatives
 
     The result is exact: winnowing guarantees that every span of min_chars holds
-    a phrase chosen alike in both texts, all occurrences of recurring phrases
-    are located by automata, and their surroundings are compared character by
-    character (or, for a phrase with more than direct_limit occurrences, by
-    128-bit hashes of all windows around it, grouped by Spark). Work grows with
-    the text and with what is shared, not with the pairs of documents.
+    a phrase chosen alike in both texts; those in more than one document become
+    the passages of the automata, which locate all their occurrences in all
+    documents; their surroundings are compared character by character (or, for
+    a passage with more than direct_limit occurrences, by 128-bit hashes of all
+    windows around it, grouped by Spark; the result is the same). Phrases are
+    told apart by 64-bit hashes.
+
+    Automata are sharded by passage, so that none outgrows a worker; every
+    document passes through all shards, and the work is the text times the
+    number of shards. Documents without a recurring phrase share no span; with
+    routed they are found by their phrases' hashes and left out of the stream.
 
     Texts that are null or shorter than min_chars share nothing. Repeated rows
     count once, equal texts under different ids are members of one group. An
     empty input gives empty results.
     """
     texts, members = _texts_once(docs, doc_id, text, min_chars)
-    phrases = materialize(_phrases(texts, min_chars, phrase_chars))
-    recurring = phrases.groupBy("phrase").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("phrase")
-    occurrences = materialize(_occurrences(texts, phrases.join(recurring, "phrase", "left_semi").select("doc", "pos"), min_chars, phrase_chars).distinct())
-    counts = occurrences.groupBy("phrase").agg(F.count("*").alias("n"), F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
+    phrases = _phrases(texts, min_chars, phrase_chars)
+    if routed:
+        phrases = materialize(phrases)
+    passages = materialize(_passages(texts, phrases, min_chars, phrase_chars))
+    shards = -(-passages.count() // shard_phrases)
+    path = scratch_path(docs.sparkSession)
+    passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(max(1, shards))).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
+    streamed = texts.join(phrases.join(passages, "phrase", "left_semi").select("doc").distinct(), "doc", "left_semi") if routed else texts
+    occurrences = materialize(_occurrences(streamed, path, shards, min_chars, phrase_chars))
+    counts = occurrences.groupBy("phrase").agg(F.count("*").alias("n"))
     many = counts.where(F.col("n") > direct_limit).select("phrase")
-    few = counts.where(F.col("n") <= direct_limit).select("phrase")
+    few = counts.where(F.col("n").between(2, direct_limit)).select("phrase")
     found = materialize(_compare(occurrences.join(few, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars, phrase_chars).distinct())
     windows = _windows(occurrences.join(many, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars)
     frequent = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("window")
     windows = materialize(windows.join(frequent, "window"))
-    a, b = windows.select("window", F.col("doc").alias("doc_a")).distinct(), windows.select("window", F.col("doc").alias("doc_b")).distinct()
-    links = found.where("doc < other").select(F.col("doc").alias("doc_a"), F.col("other").alias("doc_b")).unionByName(a.join(b, "window").where("doc_a < doc_b").drop("window")).distinct()
+    links = found.where("doc < other").select(F.col("doc").alias("doc_a"), F.col("other").alias("doc_b")).unionByName(_window_links(windows)).distinct()
     spans = found.select("doc", "start", "end").unionByName(windows.select("doc", "start", (F.col("start") + min_chars).alias("end"))).distinct()
     return links, members, spans
 

@@ -4,8 +4,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from grafloom.llm.spans import find_occurrences, linked_pairs, rolling_hashes, shared_amount, shared_spans, shared_stretch, winnow
+from grafloom.llm import spans
+from grafloom.llm.spans import automaton_of, linked_pairs, rolling_hashes, shared_amount, shared_spans, shared_stretch, winnow
 
+spans_before = spans._occurrences
 ALPHABET = "abcdefghij ,.é😀"
 
 
@@ -42,11 +44,8 @@ def test_long_texts_in_pieces():
 
 
 def test_automata_find_all():
-    texts, where = ["abcabc", "xabcx", "abab"], [[0], [1], [2]]
-    for shard in (1, 100):
-        found = set(find_occurrences(texts, where, 5, 3, shard))
-        assert {(0, 0, "abc"), (0, 3, "abc"), (1, 1, "abc")} <= found
-    assert list(find_occurrences([], [], 5, 3)) == []
+    automaton = automaton_of(["abc", "bca"], [7, 8])
+    assert sorted(automaton.iter("abcabcx")) == [(2, (7, 3)), (3, (8, 3)), (5, (7, 3))]
 
 
 def test_stretch():
@@ -79,22 +78,30 @@ def corpus(seed, n_docs=60):
     return docs
 
 
-@pytest.mark.parametrize("seed, direct", [(1, 64), (2, 64), (3, 3), (4, 0)])
-def test_exact(spark, seed, direct):
+@pytest.mark.parametrize("seed, direct, shard, routed", [(1, 64, 1000, False), (2, 64, 3, False), (3, 3, 1000, True), (4, 0, 1000, False)])
+def test_exact(spark, seed, direct, shard, routed):
     docs = corpus(seed)
     df = spark.createDataFrame([(d, t, "clash", 0) for d, t in docs] + [(*docs[3], "again", 1)], "doc_id bigint, text string, doc string, pos int")
-    links, members, spans = shared_spans(df, "doc_id", "text", min_chars=40, phrase_chars=16, direct_limit=direct)
+    links, members, found = shared_spans(df, "doc_id", "text", min_chars=40, phrase_chars=16, direct_limit=direct, shard_phrases=shard, routed=routed)
     pairs, cover = brute(docs, 40)
     got = [tuple(r) for r in linked_pairs(links, members).collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
-    amounts = {r["doc_id"]: r for r in shared_amount(df, "doc_id", "text", members, spans, min_chars=40).collect()}
+    amounts = {r["doc_id"]: r for r in shared_amount(df, "doc_id", "text", members, found, min_chars=40).collect()}
     assert len(amounts) == len(docs)
     assert {d: r["shared_chars"] for d, r in amounts.items() if r["shared_chars"]} == cover
 
 
+def test_occurrences_come_from_the_automata(spark, monkeypatch):
+    passage = random_text(random.Random(5), 250)
+    df = spark.createDataFrame([(i, f"{i} " * i + passage + f" {i}") for i in range(3)], "doc_id bigint, text string")
+    assert shared_spans(df, "doc_id", "text")[0].count() == 3
+    monkeypatch.setattr(spans, "_occurrences", lambda texts, path, *rest: spans_before(texts.limit(1), path, *rest))
+    assert shared_spans(df, "doc_id", "text")[0].count() == 0
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, None)], "doc_id bigint, text string")
     for rows in (df, df.limit(0)):
-        links, members, spans = shared_spans(rows, "doc_id", "text")
-        assert links.count() == members.count() == spans.count() == 0
-        assert {r["shared_part"] for r in shared_amount(rows, "doc_id", "text", members, spans).collect()} <= {0.0}
+        links, members, found = shared_spans(rows, "doc_id", "text")
+        assert links.count() == members.count() == found.count() == 0
+        assert {r["shared_part"] for r in shared_amount(rows, "doc_id", "text", members, found).collect()} <= {0.0}
