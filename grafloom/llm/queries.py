@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal
@@ -12,12 +12,12 @@ from .names import maker_matches, person_clusters
 from .packing import fill_report, pack
 from .spans import linked_pairs, shared_amount, shared_spans
 from .split import parse_strategy, split_texts
-from .survivor import NOTHING, surviving_fields
+from .survivor import NOTHING, current_fields, surviving_fields
 from .tokens import token_counts
 
 
-def _pieces(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of the chunks that exceed what their run's strategy allows."""
+def _over(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that exceed what their run's strategy allows."""
 
     def sizes(batches):
         for pdf in batches:
@@ -28,8 +28,11 @@ def _pieces(spark: SparkSession, d: str) -> DataFrame:
     runs = runs.mapInPandas(sizes, "run_id int, size int, overlap int").where("size is not null")
     results = table(spark, d, "extraction_results").select("result_id", "run_id", "source_chunk").join(runs, "run_id")
     # Only what must be split is moved to find what was delivered again.
-    over = results.where(F.length("source_chunk") > F.col("size")).dropDuplicates(["result_id"])
-    return split_texts(over, "result_id", "source_chunk", "size", "overlap")
+    return results.where(F.length("source_chunk") > F.col("size")).dropDuplicates(["result_id"])
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_texts(_over(spark, d), "result_id", "source_chunk", "size", "overlap")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,7 +43,21 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def p2_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of each result: none over the limit, each
+    begins the stated overlap before the end of the one before it, together they
+    give the text."""
+    at = Window.partitionBy("result_id").orderBy("piece")
+    rows = _pieces(spark, d).join(_over(spark, d).select("result_id", "size", "overlap"), "result_id")
+    rows = rows.withColumn("from", F.coalesce(F.lag("end").over(at), F.lit(0)))
+    return rows.groupBy("result_id").agg(
+        F.count_if(F.col("end") - F.col("start") > F.col("size")).alias("n_over"), F.count_if((F.col("piece") > 0) & (F.col("start") != F.greatest(F.col("from") - F.col("overlap"), F.lit(0)))).alias("n_unlike_overlap"),
+        F.sum(F.col("end") - F.col("from")).alias("n_chars"), F.md5(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("piece", F.expr("substr(text, `from` - start + 1)").alias("own")))), lambda x: x["own"]))).alias("text_md5"),
+    )
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    """Tool and node records with their fields as a map."""
     tools = table(spark, d, "tools").select(
         F.lit("Tool").alias("record"), F.col("tool_id").alias("group_key"), F.col("tool_rec_id").alias("rec"),
         F.create_map(F.lit("model"), "model", F.lit("tool_type"), "tool_type").alias("fields"), "origin", "observed_at",
@@ -49,10 +66,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
         F.lit("GraphNode").alias("record"), F.concat(F.col("graph_id").cast("string"), F.lit("|"), "label", F.lit(":"), normal(F.col("name"))).alias("group_key"),
         F.col("ord").alias("rec"), F.col("properties").alias("fields"), "origin", "observed_at",
     )
-    rows = tools.unionByName(nodes).join(table(spark, d, "source_trust"), "origin", "left")
+    return tools.unionByName(nodes)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = _records(spark, d).join(table(spark, d, "source_trust"), "origin", "left")
     return surviving_fields(rows, ["record", "group_key"], "rec", "fields", "trust_rank", "observed_at")
 
 
+def p5_current(spark: SparkSession, d: str) -> DataFrame:
+    """The latest value of each field by learned currency alone, beside the one
+    that the hidden times tell."""
+    return current_fields(_records(spark, d), ["record", "group_key"], "rec", "fields", "observed_at")
+
+
 def _persons(spark: SparkSession, d: str) -> DataFrame:
     return person_clusters(table(spark, d, "workers"), "worker_rec_id", "site_code", "name")
 
@@ -113,7 +140,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(docs, "doc_id", "text", members, spans)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p6_found": p6_found, "p6_persons": p6_persons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_copies": p8_copies, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "p6_persons": p6_persons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_copies": p8_copies, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
 
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
 _BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
@@ -138,6 +165,13 @@ limits as (
 r as (select distinct on (result_id) result_id, run_id, source_chunk from extraction_results)
 select result_id, case when list_max(list_transform(regexp_split_to_array(source_chunk, '\s+'), lambda w: length(w))) > size then 1 else 0 end hard
 from r join limits using (run_id) where length(source_chunk) > size""",
+    "p2_check": r"""
+with sizes as (
+  select run_id, unnest(regexp_extract_all(chunking_strategy, '\d+(?:[.]\d+)?\s*[k%]?')) x from (select distinct on (run_id) * from experiment_runs)),
+limits as (
+  select run_id, max(cast(regexp_extract(x, '[0-9.]+') as double) * case when x like '%k' then 1000 else 1 end) size from sizes where x not like '%\%' escape '\' group by 1),
+r as (select distinct on (result_id) result_id, run_id, source_chunk from extraction_results)
+select result_id, 0 n_over, 0 n_unlike_overlap, length(source_chunk) n_chars, md5(source_chunk) text_md5 from r join limits using (run_id) where length(source_chunk) > size""",
     "p5_found": f"""
 with r as (
   select 'Tool' record, tool_id group_key, tool_rec_id rec, origin, observed_at, unnest(['model', 'tool_type']) field, unnest([model, tool_type]) value from tools

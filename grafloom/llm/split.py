@@ -19,6 +19,7 @@ ABBREVIATIONS = frozenset(
     "e.g i.e etc vs no nr dr prof mr mrs ms approx ca min max sec std sek abb fig bzw usw inkl evtl ggf z.b d.h u.a o.ä vgl mind st ing dipl hr fr tel art bd pos cf al jan feb mär apr jun jul aug sep okt nov dez z b d h u a".split()
 )
 _BREAK = re.compile(r"\s+")
+_WORD = re.compile(r"\S*")
 # White space that may end a sentence, line or paragraph.
 _COARSE = re.compile(r"(?<=[.!?…\"'”»)])\s+|[^\S\n\r]*[\n\r]\s*")
 _NUMBERS = re.compile(r"(\d+(?:[.,]\d+)*)\s*(k\b|k(?=[_\W]|$)|%)?", re.IGNORECASE)
@@ -27,19 +28,20 @@ _NUMBERS = re.compile(r"(\d+(?:[.,]\d+)*)\s*(k\b|k(?=[_\W]|$)|%)?", re.IGNORECAS
 def parse_strategy(strategy: str | None) -> tuple[int | None, int]:
     """(limit, overlap) in characters that a chunking strategy, typed by hand,
     states. Of two sizes the smaller is the overlap; a percentage is an overlap
-    relative to the limit; '1.2k' is 1200. Without a size there is no limit. An
-    overlap of half the limit or more is taken as half the limit."""
+    relative to the limit; '1.2k' is 1200. Without a size there is no limit. One
+    size stated twice is no overlap; an overlap leaves a piece one character of
+    its own at least."""
     sizes, parts = [], []
     for number, mark in _NUMBERS.findall(strategy or ""):
         grouped = re.fullmatch(r"\d{1,3}(?:[.,]\d{3})+", number)
         value = float(re.sub(r"[.,]", "", number) if grouped and mark.lower() != "k" else number.replace(",", ".").rstrip(".") if number.count(".") + number.count(",") < 2 else re.sub(r"[.,]", "", number))
         (parts if mark == "%" else sizes).append(value * (1000 if mark.lower() == "k" else 1))
-    sizes = sorted(sizes)
+    sizes = sorted(set(sizes))
     if not sizes or sizes[-1] < 1:
         return None, 0
     limit = int(sizes[-1])
     overlap = int(sizes[0]) if len(sizes) > 1 else int(limit * parts[0] / 100) if parts else 0
-    return limit, min(overlap, limit // 2)
+    return limit, min(overlap, limit - 1)
 
 
 def boundaries(text: str, gaps: re.Pattern = _BREAK, start: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +74,14 @@ def longest_run(text: str) -> int:
     return max(map(len, text.split()), default=0)
 
 
+def run_at(text: str, at: int) -> int:
+    """Length of the stretch without white space around a position in it."""
+    before = at
+    while before and not text[before - 1].isspace():
+        before -= 1
+    return _WORD.match(text, at).end() - before
+
+
 def split_points(text: str, limit: int, overlap: int, *, balance: float = 6.0) -> list[tuple[int, int, str]]:
     """(start, end, kind of boundary at the end) of the pieces of text.
 
@@ -163,19 +173,23 @@ def split_texts(df: DataFrame, record_id: str, text: str, limit: str | Column, o
               boundary at the end of the piece), hard (1 if a stretch without
               white space is itself longer than the limit)
 
-    A text within its limit, without a limit, null or empty gives no row. A
+    A text within its limit, without a limit (null, or below one character),
+    null or empty gives no row. An overlap of the limit or more is taken as one
+    character less than the limit. A
     repeated row gives its pieces again. Texts are independent and are cut
     whole, so the work splits evenly however the ids are spread.
     """
     rows = df.select(F.col(record_id).alias("id"), F.col(text).alias("text"), *(F.col(c).cast("int").alias(n) if isinstance(c, str) else c.cast("int").alias(n) for c, n in ((limit, "size"), (overlap, "overlap"))))
-    rows = rows.where(F.length("text") > F.col("size"))
+    rows = rows.where((F.col("size") > 0) & (F.length("text") > F.col("size")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for rid, t, size, over in zip(pdf["id"], pdf["text"], pdf["size"], pdf["overlap"].fillna(0).astype(int)):
-                hard = int(longest_run(t) > size)
-                out.extend((rid, i, a, b, t[a:b], kind, hard) for i, (a, b, kind) in enumerate(split_points(t, int(size), min(int(over), int(size) // 2))))
+                pieces = split_points(t, int(size), max(0, min(int(over), int(size) - 1)))
+                # A stretch over the limit is cut inside in any way there is.
+                hard = int(any(run_at(t, b) > size for _, b, kind in pieces if kind == "hard"))
+                out.extend((rid, i, a, b, t[a:b], kind, hard) for i, (a, b, kind) in enumerate(pieces))
             yield pd.DataFrame(out, columns=["id", "piece", "start", "end", "text", "boundary", "hard"])
 
     kind = rows.schema["id"].dataType.simpleString()

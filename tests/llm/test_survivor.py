@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from grafloom.llm.survivor import known, surviving_fields, value_precedence
+from grafloom.llm.survivor import current_fields, known, surviving_fields, value_precedence
 
 SCHEMA = "grp string, rec bigint, fields map<string,string>, trust int, at timestamp, field string, value string"
 DAY = datetime(2025, 1, 1)
@@ -63,11 +63,29 @@ def test_currency_over_values_between(spark):
     undated = [("u", 1, {"m": "tube"}, 1, None), ("u", 2, {"m": "tube"}, 1, None), ("u", 3, {"m": "cloud"}, 1, None), ("v", 1, {"m": "tube"}, 1, 7), ("v", 2, {"m": "chip"}, 1, 7)]
     got = survive(spark, chain + undated)
     assert (got["u", "m"], got["v", "m"]) == ("cloud", "chip")
-    # a way back: only what was learned directly counts, else the more frequent
+    # a cycle orders nothing: the more frequent survives, then the greater
     got = survive(spark, chain + followed("k", "cloud", "tube") + undated)
     assert (got["u", "m"], got["v", "m"]) == ("tube", "tube")
 
 
+def test_undated_and_dated_records_compete(spark):
+    history = [(f"h{i}", r, {"m": v}, 3, d) for i in range(3) for r, (v, d) in enumerate((("old", 1), ("new", 40)))]
+    rows = [("u", 1, {"m": "old"}, 1, 90), ("u", 2, {"m": "new"}, 1, None), ("v", 1, {"m": "new"}, 1, 90), ("v", 2, {"m": "old"}, 1, None), ("w", 1, {"m": "x"}, 1, 90), ("w", 2, {"m": "y"}, 1, None), ("t", 1, {"m": "old"}, 1, 90), ("t", 2, {"m": "new"}, 2, None)]
+    got = survive(spark, history + rows)
+    # learned: old before new; nothing is known of x and y, where a time counts; trust comes first
+    assert [got[g, "m"] for g in "uvwt"] == ["new", "new", "x", "old"]
+
+
+def test_current_values_with_times_hidden(spark):
+    steps = ["v1", "v2", "v3"]
+    rows = [(f"g{i}", r, {"m": v, "c": "same", "x": random.Random(f"{i}{r}").choice("ab")}, 1, 40 * r) for i in range(60) for r, v in enumerate(steps[i % 2 : 3 - (i % 3 == 0)])]
+    df = spark.createDataFrame([(g, r, f, t, at(d), "clash", "clash") for g, r, f, t, d in rows], SCHEMA)
+    got = current_fields(df, ["grp"], "rec", "fields", "at").collect()
+    assert all(r["value"] == r["latest"] for r in got if r["field"] in ("m", "c")) and {r["n_values"] for r in got if r["field"] == "c"} == {1}
+    assert {r["grp"] for r in got if r["field"] == "m"} == {g for g, *_ in rows if sum(x[0] == g for x in rows) > 1}
+    assert current_fields(df.limit(0), ["grp"], "rec", "fields", "at").count() == 0
+
+
 def test_precedence_over_slices(spark):
     rows = [("g", "f", v, at(d)) for v, d in (("a", 0), ("b", 1), ("a", 90), ("c", 200), ("c", 201))] + [("h", "f", "a", None)]
     df = spark.createDataFrame(rows, "grp string, field string, value string, at timestamp")
