@@ -9,6 +9,7 @@ decide which documents share a span of min_chars characters or more.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from ..session import materialize, scratch_path, shared_files, whole_groups
 
 MIN_CHARS = 200
 PHRASE_CHARS = 80
-#: Phrases of one automaton: it then takes some 50 MB in a Python worker.
-SHARD_PHRASES = 16_000
+#: Phrases of one automaton: it then takes some 80 MB in a Python worker.
+SHARD_PHRASES = 32_000
 #: Characters that are streamed through a shard before the next one is loaded.
 BUFFER_CHARS = 16_000_000
 #: Occurrences of one phrase that are compared with each other at once; the
@@ -147,7 +148,8 @@ def _passages(texts: DataFrame, phrases: DataFrame, min_chars: int, phrase_chars
     """(phrase, passage) of every phrase that stands in more than one document:
     its hash and its text, taken from the first of them."""
     recurring = phrases.groupBy("phrase").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc < other").select("phrase", "doc")
-    wanted = recurring.groupBy("doc").agg(F.collect_list("phrase").alias("wanted"))
+    # Written, so that its size is known when the join with the texts is planned.
+    wanted = materialize(recurring.groupBy("doc").agg(F.collect_list("phrase").alias("wanted")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,24 +163,55 @@ def _passages(texts: DataFrame, phrases: DataFrame, min_chars: int, phrase_chars
     return texts.join(wanted, "doc").select("text", "wanted").mapInArrow(run, "phrase bigint, passage string")
 
 
-def automaton_of(passages: list[str], values: list) -> ahocorasick.Automaton:
-    """An automaton that yields (end, (value, length)) for each occurrence."""
-    automaton = ahocorasick.Automaton()
-    for passage, value in zip(passages, values):
-        automaton.add_word(passage, (value, len(passage)))
-    automaton.make_automaton()
-    return automaton
+def start_letters(passages: list[str], sample: int = 2_000) -> dict[str, int]:
+    """Few and rare characters such that nearly every passage has one in its
+    first half, with their rank. Automata of words that begin with few letters
+    leave their root rarely, and are faster for it; which letters these are
+    changes nothing in what is found, so that a sample will do."""
+    left = [set(p[: len(p) // 2 + 1]) for p in passages[:sample]]
+    common = Counter(c for p in passages[:sample] for c in p)
+    whole, chosen = sum(common.values()) or 1, {}
+    while left:
+        held = Counter(c for own in left for c in own)
+        best = max(held, key=lambda c: (held[c] / (common[c] / whole + 0.002), c))
+        chosen[best] = len(chosen)
+        left = [own for own in left if best not in own]
+    return chosen
+
+
+class Passages:
+    """An automaton over the passages of one shard. Its words are the passages
+    from one of the start letters on; what stands before it is compared."""
+
+    def __init__(self, passages: list[str], values: list) -> None:
+        rank = start_letters(passages)
+        words: dict[str, list] = {}
+        for passage, value in zip(passages, values):
+            start = min(range(len(passage) // 2 + 1), key=lambda i: rank.get(passage[i], len(rank)))
+            words.setdefault(passage[start:], []).append((passage, value))
+        self.automaton = ahocorasick.Automaton()
+        for word, those in words.items():
+            self.automaton.add_word(word, those)
+        if words:
+            self.automaton.make_automaton()
+
+    def find(self, text: str) -> Iterator[tuple[object, int, int]]:
+        """(value, position, length) of every occurrence of a passage in text."""
+        for end, those in self.automaton.iter(text) if len(self.automaton) else ():
+            for passage, value in those:
+                at = end + 1 - len(passage)
+                if at >= 0 and text.startswith(passage, at):
+                    yield value, at, len(passage)
 
 
 @lru_cache(maxsize=1)
-def _shard(path: str, shard: int) -> ahocorasick.Automaton | None:
-    """The automaton of one shard, from the passages in the shared folder; None
-    if no passage fell into it."""
+def _shard(path: str, shard: int) -> Passages:
+    """The automaton of one shard, from the passages in the shared folder."""
     system, folder = shared_files(path)
-    if not system.get_file_info(f"{folder}/shard={shard}").type:
-        return None
+    if not system.get_file_info(f"{folder}/shard={shard}").type:  # no passage fell into it
+        return Passages([], [])
     table = pq.read_table(f"{folder}/shard={shard}", filesystem=system, columns=["phrase", "passage"], partitioning=None)
-    return automaton_of(table.column("passage").to_pylist(), table.column("phrase").to_pylist())
+    return Passages(table.column("passage").to_pylist(), table.column("phrase").to_pylist())
 
 
 def _occurrences(texts: DataFrame, path: str, shards: int, min_chars: int, phrase_chars: int, buffer_chars: int = BUFFER_CHARS) -> DataFrame:
@@ -192,11 +225,10 @@ def _occurrences(texts: DataFrame, path: str, shards: int, min_chars: int, phras
 
     def stream(held: list[tuple[int, str]], order: range) -> Iterator[pa.RecordBatch]:
         for shard in order:
-            automaton = _shard(path, shard)
+            passages = _shard(path, shard)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in held if automaton else []:
-                for end, (phrase, length) in automaton.iter(text):
-                    pos = end - length + 1
+            for doc, text in held:
+                for phrase, pos, length in passages.find(text):
                     at = max(0, pos - margin)
                     for column, x in zip(out, (phrase, doc, pos, pos - at, text[at : pos + length + margin])):
                         column.append(x)

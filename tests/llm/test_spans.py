@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from grafloom.llm import spans
-from grafloom.llm.spans import automaton_of, linked_pairs, rolling_hashes, shared_amount, shared_spans, shared_stretch, winnow
+from grafloom.llm.spans import Passages, linked_pairs, rolling_hashes, shared_amount, shared_spans, shared_stretch, winnow
 
 spans_before = spans._occurrences
 ALPHABET = "abcdefghij ,.é😀"
@@ -44,8 +44,13 @@ def test_long_texts_in_pieces():
 
 
 def test_automata_find_all():
-    automaton = automaton_of(["abc", "bca"], [7, 8])
-    assert sorted(automaton.iter("abcabcx")) == [(2, (7, 3)), (3, (8, 3)), (5, (7, 3))]
+    assert sorted(Passages(["abc", "bca"], [7, 8]).find("abcabcx")) == [(7, 0, 3), (7, 3, 3), (8, 1, 3)]
+    assert list(Passages([], []).find("abc")) == [] and list(Passages(["abc"], [1]).find("")) == []
+    rng = random.Random(9)
+    texts = [random_text(rng, 200, "abc .") for _ in range(9)]
+    words = list({t[i : i + 5] for t in texts for i in range(0, 190, 7)})
+    for t in texts:
+        assert sorted(Passages(words, words).find(t)) == sorted((w, i, 5) for w in words for i in range(len(t)) if t.startswith(w, i))
 
 
 def test_stretch():
