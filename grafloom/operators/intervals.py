@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOUR_MS = 3_600_000
 
 
@@ -60,7 +62,7 @@ def periods_and_gaps(df: DataFrame, keys: list[str], start: str, end: str, *, sl
     first, last = (F.col(f"_c.{a}") + F.col(f"_c.{b}") for a, b in (("_ne", "_me"), ("_ns", "_ms")))
     opens = F.when(F.col("_i") <= F.col("_c._ne"), True).when(F.col("_i") > first, False).otherwise(F.col("t") > F.col("_after.t"))
     closes = F.when(F.col("_i") + 1 <= F.col("_c._ns"), False).when(F.col("_i") + 1 > last, True).otherwise(F.col("_before.t") > F.col("t"))
-    edges = met.where(F.when(F.col("end"), closes).otherwise(opens)).select(*k, "_b", "t", "end")
+    edges = materialize(met.where(F.when(F.col("end"), closes).otherwise(opens)).select(*k, "_b", "t", "end"))  # read twice below
     inside = edges.withColumn("_next", F.lead("t").over(Window.partitionBy(*k, "_b").orderBy("t", "end")))
     firsts = edges.groupBy(*k, "_b").agg(F.min("t").alias("_f")).select(*k, "_b", F.lead("_f").over(Window.partitionBy(*k).orderBy("_b")).alias("_f"))
     firsts = firsts.select(*(F.col(c).alias(f"r{c}") for c in [*k, "_b"]), "_f")
