@@ -103,13 +103,15 @@ def unit_of(text: str | None, kind: str | None) -> tuple[str, str] | None:
     return vocabulary(kind).get(spelling(text)) if text else None
 
 
-def last_mention(text: str | None, kind: str | None) -> tuple[str, str] | None:
-    """The last unit of the type named anywhere in a short remark. The
+def mentions(text: str | None, kind: str | None) -> list[tuple[str, str]]:
+    """The units of the type named anywhere in a short remark, in order. The
     preposition 'in' before a unit is none."""
-    found = None
-    for m in _mention(kind).finditer(text or ""):
-        found = vocabulary(kind).get(spelling(m.group())) or found
-    return found
+    found = [vocabulary(kind).get(spelling(m.group())) for m in _mention(kind).finditer(text or "")]
+    return [f for i, f in enumerate(found) if f and not (f[1] == "in" and i + 1 < len(found))]
+
+
+def last_mention(text: str | None, kind: str | None) -> tuple[str, str] | None:
+    return (mentions(text, kind) or [None])[-1]
 
 
 def _numbers(token: str) -> set[float]:
@@ -124,25 +126,42 @@ def _numbers(token: str) -> set[float]:
     return out
 
 
-def mention_at_value(text: str | None, value: float, kind: str | None) -> tuple[str, str] | None:
-    """The unit that follows the given value in a text; other numbers with a
+def mentions_at_value(text: str | None, value: float, kind: str | None) -> list[tuple[str, str]]:
+    """The units that follow the given value in a text; other numbers with a
     unit (a duration, a place) are passed over."""
+    out = []
     if not text or value != value:
-        return None
+        return out
     for m in _NUMBER.finditer(text):
         if any(abs(x - value) <= 1e-6 * max(1.0, abs(value)) for x in _numbers(m.group())):
             rest = re.compile(r"\s*").match(text, m.end()).end()
             unit = _mention(kind).match(text, rest) if rest == m.end() or text[rest - 1].isspace() else None
             if unit and (found := vocabulary(kind).get(spelling(unit.group()))):
-                return found
+                out.append(found)
+    return out
+
+
+# A unit at the end of a name: in brackets, after a slash, a comma or 'in'.
+_ANNOTATION = re.compile(r"(?:[\[(]\s*([^\])]+?)\s*[\])]|\s/\s*(\S.*?)|,\s+(\S.*?)|\s(?:in|per)\s+(\S.*?))\s*$", re.IGNORECASE)
+
+
+def annotation(name: str | None, kind: str | None) -> tuple[str, str] | None:
+    """(type, unit) that a parameter's name is annotated with, or None."""
+    at = 0
+    while name and (m := _ANNOTATION.search(name, at)):
+        if found := unit_of(next(g for g in m.groups() if g), kind):
+            return found
+        at = m.start() + 1
     return None
 
 
-def named_unit(unit: str | None, name: str | None, description: str | None, source_text: str | None, value: float, kind: str | None) -> tuple[str, str] | None:
-    """(type, unit) from the unit field or, if that says nothing, from the
-    name's own annotation, the description or the source text."""
-    if found := unit_of(unit, kind):
-        return found
-    if name and (m := re.search(r"(?:[\[(]\s*([^\])]+?)\s*[\])]|\s/\s*(\S.*?))\s*$", name)) and (found := unit_of(m.group(1) or m.group(2), kind)):
-        return found
-    return last_mention(description, kind) or mention_at_value(source_text, value, kind)
+def named_units(unit: str | None, name: str | None, description: str | None, source_text: str | None, value: float, kind: str | None) -> tuple[str, list[str]] | None:
+    """(type, units) from the unit field or, if that says nothing, from the
+    name's own annotation, the description or the source text, whichever says
+    something first. A text may name several units; those of the type of the
+    last one are given."""
+    if found := unit_of(unit, kind) or annotation(name, kind):
+        return found[0], [found[1]]
+    if found := mentions(description, kind) or mentions_at_value(source_text, value, kind):
+        return found[-1][0], list(dict.fromkeys(u for k, u in found if k == found[-1][0]))
+    return None

@@ -11,7 +11,9 @@ from ..sources.tables import table
 
 
 def _common(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "process_parameters").dropDuplicates(["param_id"])
+    # Of a record that was delivered again, its first arrival.
+    rows = table(spark, d, "process_parameters")
+    rows = rows.groupBy("param_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "param_id")), "ingested_at").alias("r")).select("param_id", "r.*")
     return common_units(
         rows, "param_id", device=["source_system"], kind="parameter_type", name="name", unit="unit", description="description", source_text="source_text",
         value="nominal_value", others=["min_value", "max_value"], at="ingested_at",
@@ -21,13 +23,14 @@ def _common(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     target = table(spark, d, "common_units").select("parameter_type", "common_unit")
     return (
-        _common(spark, d).where("unit_from = 'named' and nominal_value is not null").join(target, "parameter_type").where("unit <> common_unit")
+        _common(spark, d).where("unit_from in ('named', 'chosen') and nominal_value is not null").join(target, "parameter_type").where("unit <> common_unit")
         .select("param_id", F.round(F.col("nominal_value") * 100).cast("bigint").alias("nominal_hundredths"))
     )
 
 
 def p4_units(spark: SparkSession, d: str) -> DataFrame:
-    """Every parameter with its unit, also where it is only decoded."""
+    """Every parameter with its unit, also where it is only decoded, and how sure
+    that is."""
     return _common(spark, d)
 
 
@@ -40,11 +43,11 @@ _SPELL = "regexp_replace(replace(replace(lower(translate({}, 'μ²³⁻¹″·',
 SQL = {
     "p4_found": f"""
 with voc as (select distinct * from (values {_VALUES}) t(kind, unit, f, o, s)),
-p as (select distinct on (param_id) *, lower(trim(regexp_replace(name, '\\s*(\\[[^\\]]*\\]|\\([^)]*\\)|\\s/\\s*\\S.*)\\s*$', ''))) base from process_parameters),
+p as (select distinct on (param_id) *, lower(trim(regexp_replace(name, '\\s*(\\[[^\\]]*\\]|\\([^)]*\\)|\\s/\\s*\\S.*|\\sin\\s+\\S.*)\\s*$', ''))) base from process_parameters),
 usual as (select base, arg_max(parameter_type, n) kind from (select base, parameter_type, count(*) n from p where parameter_type is not null group by all) group by 1),
 k as (select p.*, coalesce(p.parameter_type, usual.kind) kind from p left join usual using (base)),
 said as (
-  select param_id, kind, nominal_value v, unit a, nullif(regexp_extract(name, '[\\[(]\\s*([^\\])]+?)\\s*[\\])]\\s*$', 1), '') b1, nullif(regexp_extract(name, '\\s/\\s*(\\S.*?)\\s*$', 1), '') b2,
+  select param_id, kind, nominal_value v, unit a, nullif(regexp_extract(name, '[\\[(]\\s*([^\\])]+?)\\s*[\\])]\\s*$', 1), '') b1, nullif(regexp_extract(name, '\\s(?:/|in)\\s*(\\S.*?)\\s*$', 1), '') b2,
     nullif(regexp_extract(description, '(?:Werte in|values in|recorded as|\\()\\s*([^)]+?)\\)?$', 1), '') c,
     nullif(regexp_extract(source_text, replace(regexp_replace(cast(nominal_value as varchar), '[.]0$', ''), '.', '[.,]') || '(?:[.,]?0*)\\s*({_FORMS})(?:$|[^\\w/])', 1, 'i'), '') d
   from k where nominal_value is not null and not isnan(nominal_value)),
