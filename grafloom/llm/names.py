@@ -19,25 +19,6 @@ from ..session import materialize
 TITLES = frozenset("dr prof ing dipl dipling fr frau hr herr mr mrs ms mag med phd sir lady".split())
 # Legal forms, without stops and blanks.
 LEGAL = frozenset("gmbh co kg ag ltd inc bv srl spa sa se llc plc ohg kgaa oy ab as corp limited incorporated company cokg gmbhcokg gmbhco nv sarl ug ev eg".split())
-# First names and their short and pet forms.
-NICKNAMES = {
-    "alexander": "alex sascha sasha xander lex sandro", "alexandra": "alex sandra sascha", "andrea": "andi andy dea", "andreas": "andi andy anders",
-    "benjamin": "ben benni benny benji", "bernadette": "berni bernie detta detti", "bernhard": "bernd berni", "christoph": "chris stoffel toph",
-    "christopher": "chris kit topher", "christian": "chris", "cornelia": "conny nelly nele corny", "daniela": "dani ela", "daniel": "dani dan danny",
-    "dominik": "domi nik dom", "edmund": "eddi eddy ed ted mundi", "edward": "ed eddie ted ned", "elisabeth": "lisa sissi liesl elli betty beth lilli else elsa bettina lisbeth liz",
-    "ferdinand": "ferdi ferdl nando", "franziska": "franzi fanny sissi ziska", "franz": "franzl", "gabriele": "gabi gaby gabriella ele", "gabriel": "gabi gabe",
-    "gregor": "greg gregi", "heinrich": "heiner heinz hein henry", "henrietta": "henni henny etta jette hetty", "ignatius": "iggy ignaz nazi ig", "isabella": "isa bella ella belle",
-    "johannes": "hans hannes johann jo", "jonathan": "jon jonny john johnny nathan yoni", "josefine": "josi josie fine fini josy sefi", "josef": "sepp joe jo beppo", "joseph": "joe jo",
-    "katharina": "kathi kathy kat kati katja trina kate katrin käthe", "konstantin": "kosta konsti costa stan", "leonhard": "leo leon hardy lenny hartl", "ludmilla": "milla mila lud ludi",
-    "magdalena": "magda leni lena maggie madlen", "margarete": "grete gretel greta margit", "margaret": "maggie meg peggy", "maximilian": "max maxi maxl", "michael": "mike michi michl mick",
-    "nathaniel": "nate nat nathan niel", "nikolaus": "niko klaus nick nico nik niki nicky", "ottilie": "otti tilli tilly odi", "patricia": "pat patti patty trish tricia patsy",
-    "philippa": "pippa pip flip", "philipp": "phil flip lipp", "quirin": "quin quiri rin", "rafaela": "rafa ela rafi raffi", "richard": "rick dick richie", "robert": "rob bob bobby robbie bert robby",
-    "sebastian": "basti wastl seb bastian sebi", "stefan": "steff stefferl", "susanne": "susi susa sanne sue susann susie", "theodor": "theo ted teddy dorl", "theresa": "tess resi tessa terri thesi tracy res",
-    "thomas": "tom tommy thom", "ulrich": "uli ulli ully utz", "ursula": "uschi ursi ulla ursel", "valentin": "valli val tino velten", "veronika": "vroni vera nika ronnie veri",
-    "wilhelm": "willi willy wim bill helmi", "william": "bill will billy liam", "wolfram": "wolf wolfi", "wolfgang": "wolf wolfi", "xaveria": "xavi veri xaver vera", "yolanda": "yola lola yoli landa jola",
-    "zacharias": "zach zacki zack zachi", "zdenka": "zdeni zdena denka zdenni", "elizabeth": "liz beth betty eliza lisa", "anna": "anni anne ann nan", "maria": "mia mitzi mary mizzi",
-}
-
 _UMLAUTS = str.maketrans({"ä": "a", "ö": "o", "ü": "u", "ß": "s", "0": "o", "1": "l"})
 _SOUNDS = (("ch", "k"), ("ph", "f"), ("th", "t"), ("v", "f"), ("z", "s"), ("j", "y"), ("c", "k"), ("ll", "l"))
 IMPOSSIBLE = -1e6
@@ -64,15 +45,6 @@ def sound(folded: str) -> str:
     return folded
 
 
-@lru_cache(maxsize=1)
-def _nicknames() -> dict[str, frozenset[str]]:
-    out: dict[str, set[str]] = {}
-    for full, short in NICKNAMES.items():
-        for s in short.split():
-            out.setdefault(fold(s), set()).add(fold(full))
-    return {k: frozenset(v) for k, v in out.items()}
-
-
 def within_one_edit(a: str, b: str) -> bool:
     """At most one letter inserted, left out, replaced, or two neighbours swapped."""
     if a == b:
@@ -89,19 +61,57 @@ def within_one_edit(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
+def distance(a: str, b: str, most: int = 2) -> int:
+    """Letters inserted, left out, replaced, or neighbours swapped, to get from
+    a to b; most + 1 if it takes more than most."""
+    far = most + 1
+    if abs(len(a) - len(b)) > most:
+        return far
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i in range(1, len(a) + 1):
+        here: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            best = min(row.get(j, far) + 1, here.get(j - 1, far) + 1)
+            if j:
+                best = min(best, row.get(j - 1, far) + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    best = min(best, before.get(j - 2, far) + 1)
+            here[j] = min(best, far)
+        before, row = row, here
+    return row.get(len(b), far)
+
+
 @lru_cache(maxsize=200_000)
 def edits(a: str, b: str) -> int:
-    """0 if a and b are the same word, 1 if one edit apart (either as written or
-    with umlauts and sharp s written plainly), else 2."""
+    """0 if a and b are the same word, else how many edits apart they are (as
+    written or with umlauts and sharp s written plainly, whichever is less), up
+    to 3 for more than two. Words of three letters or less are the same or not;
+    two edits need words of six letters."""
     if a == b or short(a) == short(b):
         return 0
-    return 1 if min(len(a), len(b)) > 3 and (within_one_edit(a, b) or within_one_edit(short(a), short(b))) else 2
+    least = min(len(a), len(b))
+    if least < 4:
+        return 3
+    if within_one_edit(a, b) or within_one_edit(short(a), short(b)):
+        return 1
+    return min(distance(a, b), distance(short(a), short(b))) if least > 5 else 3
+
+
+#: What edits in one word weigh: each further one is less likely than the one before.
+TYPOS = (0, 1, 3)
 
 
-def deletes(word: str) -> set[str]:
-    """word and what is left of it without one letter, plainly and as written:
-    two words at most one edit apart have one of these in common."""
-    return {w for form in {word, short(word)} for w in (form, *(form[:i] + form[i + 1 :] for i in range(len(form) if len(form) > 3 else 0)))}
+def deletes(word: str, most: int = 1) -> set[str]:
+    """word and what is left of it without one letter (or up to most), plainly
+    and as written: two words at most that many edits apart have one of these in
+    common."""
+    out = {word, short(word)}
+    latest = out
+    for n in range(most):
+        latest = {w[:i] + w[i + 1 :] for w in latest if len(w) > (3, 4)[min(n, 1)] for i in range(len(w))}
+        out = out | latest
+    return out
 
 
 def _key(text: str) -> int:
@@ -144,9 +154,24 @@ def _kind(first: str) -> int:
     return 0 if not bare else 1 if len(bare) == 1 else 2 if first.endswith(".") else 3
 
 
+def first_likelihood(variant: str, first: str, known_as: dict[str, float]) -> tuple[float, int]:
+    """Log likelihood that first is written as variant, and the weight of the
+    typos in it. known_as: other names that stand for first, with their log
+    likelihood."""
+    own = _first_likelihood(variant, first)
+    if own[0] == 0.0 and not own[1] or not known_as or len(variant) < 2 or variant.endswith("."):
+        return own
+    options = [own]
+    for other, likely in known_as.items():
+        if other == variant:
+            options.append((likely, 0))
+        elif len(other) > 3 and edits(variant, other) == 1:
+            options.append((likely, 1))
+    return max(options, key=lambda o: o[0] - 2.5 * o[1])
+
+
 @lru_cache(maxsize=200_000)
-def first_likelihood(variant: str, first: str) -> tuple[float, int]:
-    """Log likelihood that first is written as variant, and the typos in it."""
+def _first_likelihood(variant: str, first: str) -> tuple[float, int]:
     v, c = variant.rstrip("."), first.rstrip(".")
     if not v:
         return -2.0 if c else 0.0, 0
@@ -160,19 +185,13 @@ def first_likelihood(variant: str, first: str) -> tuple[float, int]:
         return IMPOSSIBLE, 0
     if variant.endswith(".") and c.startswith(v):
         return -1.0, 0
-    meant = _nicknames().get(v, frozenset())
-    if c in meant or sound(v) == sound(c):
+    if sound(v) == sound(c):
         return -1.0, 0
-    if not variant.endswith(".") and edits(v, c) == 1:
-        return 0.0, 1
+    apart = edits(v, c)
+    if not variant.endswith(".") and apart < 3:
+        return 0.0, TYPOS[apart]
     if len(v) >= 3 and c.startswith(v) and len(c) - len(v) >= 2:
         return -1.5, 0
-    if meant & _nicknames().get(c, frozenset()):  # two short forms of one name
-        return -1.5, 0
-    if any(edits(c, full) == 1 for full in meant):
-        return -1.0, 1
-    if len(v) >= 4 and any(c in full and len(n) >= 4 and edits(v, n) == 1 for n, full in _nicknames().items()):
-        return -1.0, 1
     if variant.endswith(".") and len(v) >= 3 and within_one_edit(v, c[: len(v)]):
         return -1.0, 1
     return IMPOSSIBLE, 0
@@ -181,8 +200,8 @@ def first_likelihood(variant: str, first: str) -> tuple[float, int]:
 @lru_cache(maxsize=200_000)
 def surname_likelihood(variant: str, last: str) -> tuple[float, int]:
     apart = edits(variant, last)
-    if apart < 2:
-        return 0.0, apart
+    if apart < 3:
+        return 0.0, TYPOS[apart]
     if "-" in variant:  # a second surname was added
         for part in variant.split("-"):
             if (apart := edits(part, last)) < 2:
@@ -190,22 +209,25 @@ def surname_likelihood(variant: str, last: str) -> tuple[float, int]:
     return IMPOSSIBLE, 0
 
 
-def name_likelihood(variant: tuple, candidate: tuple[str, str]) -> tuple[float, int]:
+def name_likelihood(variant: tuple, candidate: tuple[str, str], known_as: dict[str, float] | None = None) -> tuple[float, int]:
     """Best log likelihood, over the readings of variant, that the candidate
-    (first name, surname) is written so; and the typos this takes."""
+    (first name, surname) is written so; and the weight of the typos this takes."""
     first, last = candidate
+    known_as = known_as or {}
     best = (IMPOSSIBLE, 0)
     for v_first, v_last, likely in variant:
-        a, b = first_likelihood(v_first, first), surname_likelihood(v_last, last)
+        a, b = first_likelihood(v_first, first, known_as), surname_likelihood(v_last, last)
         options = [(likely + a[0] + b[0], a[1] + b[1])]
         if not v_first and len(first) > 2:  # one word: both names written together
             glued = first.rstrip(".") + last
             if (apart := edits(v_last, glued)) < 2:
                 options.append((-1.0, apart))
-            elif v_last.endswith(last) or v_last.endswith(short(last)):
-                written = v_last[: -len(last if v_last.endswith(last) else short(last))]
-                likely_first = max(first_likelihood(written, first), first_likelihood(first, written)) if len(written) > 2 else (IMPOSSIBLE, 0)
-                options.append((likely_first[0] - 1.0, likely_first[1]))
+            else:
+                for cut in {len(v_last) - len(last) + d for d in (-1, 0, 1)} | {len(v_last) - len(short(last))}:
+                    if 2 < cut < len(v_last) and (apart := edits(v_last[cut:], last)) < 2:
+                        written = v_last[:cut]
+                        likely_first = max(first_likelihood(written, first, known_as), _first_likelihood(first, written))
+                        options.append((likely_first[0] - 1.0, likely_first[1] + apart))
         best = max(best, max(options, key=lambda o: o[0] - 2.5 * o[1]), key=lambda o: o[0] - 2.5 * o[1])
     return best
 
@@ -218,30 +240,70 @@ def _form(name: str | None) -> str:
     return "/".join(f"{f}|{s}|{x}" for f, s, x in readings(name)) if name else ""
 
 
+def _classes(first: str) -> set[str]:
+    """Letters by which first names meet: two names at most two edits apart, or
+    that sound alike, have one in common."""
+    bare = first.rstrip(".")
+    return set(bare[:3]) | set(sound(bare)[:3])
+
+
+def short_forms(names: DataFrame, *, evidence: float = 5.0, support: int = 2) -> DataFrame:
+    """(name, other, likely, is_short): first names that stand for each other,
+    as pet and short forms do, learned from how often both occur with the same
+    surname in the same block.
+
+    names     block, last, first; repeats count once
+    evidence  log likelihood ratio by which a pair must be more frequent than
+              namesakes and relatives would be by chance
+    support   groups that must have both
+
+    likely is the log of how often name's groups have other beyond chance, but
+    not below -1, since most groups show one record of a person; is_short marks the rarer (then the shorter) of the two as the short form.
+    """
+    once = names.select("block", "last", "first").distinct()
+    groups = once.select("block", "last").distinct().count()
+    number = once.groupBy("first").agg(F.count("*").alias("m")).where(F.col("m") >= support)
+    kept = materialize(once.join(number, "first"))
+    both = kept.select("block", "last", F.col("first").alias("a"), F.col("m").alias("ma")).join(kept.select("block", "last", F.col("first").alias("b"), F.col("m").alias("mb")), ["block", "last"])
+    both = both.where("a < b").groupBy("a", "b", "ma", "mb").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    chance = F.col("ma") * F.col("mb") / F.lit(float(max(groups, 1)))
+    both = both.where((F.col("n") > chance) & (F.col("n") * F.log(F.col("n") / chance) - (F.col("n") - chance) > evidence)).withColumn("beyond", F.col("n") - chance)
+    sides = []
+    for name, other, m, om in (("a", "b", "ma", "mb"), ("b", "a", "mb", "ma")):
+        is_short = (F.col(m) < F.col(om)) | ((F.col(m) == F.col(om)) & (F.length(name) < F.length(other)))
+        sides.append(both.select(F.col(name).alias("name"), F.col(other).alias("other"), F.greatest(F.least(F.log(F.col("beyond") / F.col(m)), F.lit(-0.5)), F.lit(-1.0)).alias("likely"), is_short.alias("is_short")))
+    return sides[0].unionByName(sides[1])
+
+
 def person_clusters(
-    df: DataFrame, record_id: str, block: str, name: str, *, typo_cost: float = 2.5, novelty: float = 4.0
-) -> DataFrame:
+    df: DataFrame, record_id: str, block: str, name: str, *, typo_cost: float = 2.5, novelty: float = 4.0, surname_edits: int = 1, known_forms: dict[str, list[str]] | None = None
+) -> DataFrame:
     """Which records of a block (a site) name the same person.
 
     Spellings are counted for each block; all are candidates for a canonical
     form. The prior of a candidate grows with its count in the block, with how
     common its first name and surname are in all data, and with how complete it
-    is. The channel allows typos (one letter inserted, left out, replaced or
-    swapped, for each of the names), letters misread, umlauts written out,
-    initials, shortened and pet names, changed order, names written together,
-    added surnames, and missing first names. A spelling is attached to the
-    candidate of greater prior with the greatest posterior, unless that it is a
-    person of its own (novelty, and typos repeated as often as the spelling) is
-    more likely. A surname alone comes after every spelling with a first name,
-    however frequent it is. Attachments are followed to their end.
-
-    df        one row for each record_id (repeats count once)
-    returns   record_id, block, person (the canonical form)
-
-    Candidates meet through keys (a surname, or both names together, with any
-    one letter left out), so that only similar spellings are compared, each
-    once however many records have it. Records without block or name are left
-    out. Extra columns are ignored.
+    is. The channel allows typos (letters inserted, left out, replaced or
+    swapped; two in a word are less likely than one, more are none), letters
+    misread, umlauts written out, initials, shortened and pet names (learned,
+    see short_forms), changed order, names written together, added surnames, and
+    missing first names. A spelling is attached to the candidate of greater
+    prior with the greatest posterior, unless that it is a person of its own
+    (novelty, and typos repeated as often as the spelling) is more likely. A
+    surname alone comes after every spelling with a first name, however frequent
+    it is. Attachments are followed to their end.
+
+    df             one row for each record_id (repeats count once)
+    surname_edits  how many edits in a surname are searched, 1 or 2; all that are
+                   so near are found. In a first name two are always searched
+    known_forms    first name -> other forms, beside those that are learned
+    returns        record_id, block, person (the canonical form)
+
+    Candidates meet through words: the distinct surnames of a block are compared
+    by what is left of them without a letter (or two), then the spellings that
+    have such surnames and first names with a letter among their first three in
+    common. Each spelling is compared once however many records have it. Records
+    without block or name are left out. Extra columns are ignored.
     """
     rows = df.select(F.col(record_id).alias("id"), F.col(block).alias("block"), F.col(name).alias("name")).where("id is not null and block is not null and name is not null")
 
@@ -252,56 +314,69 @@ def person_clusters(
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     parsed = materialize(rows.mapInPandas(parse, f"id {types['id']}, block {types['block']}, form string").distinct())
-    counts = parsed.groupBy("block", "form").agg(F.count("*").alias("n"))
     head = F.split(F.substring_index("form", "/", 1), r"\|")
-    counts = counts.withColumns({"first": F.rtrim(F.get(head, F.lit(0)), F.lit(".")), "last": F.get(head, F.lit(1))})
+    counts = parsed.groupBy("block", "form").agg(F.count("*").alias("n")).withColumns({"written": F.get(head, F.lit(0)), "last": F.get(head, F.lit(1))})
+    counts = materialize(counts.withColumn("first", F.rtrim("written", F.lit("."))))
+    forms_of = short_forms(counts.where("length(written) > 1 and not endswith(written, '.')").select("block", "last", "first"))
+    if known_forms:
+        given = [(fold(a), fold(b), -1.0, flip) for full, others in known_forms.items() for o in others for a, b, flip in ((full, o, False), (o, full, True))]
+        forms_of = forms_of.unionByName(df.sparkSession.createDataFrame(given, forms_of.schema))
+    forms_of = forms_of.groupBy(F.col("name").alias("first"), "other").agg(F.max("likely").alias("likely"), F.max("is_short").alias("is_short"))
+    forms_of = forms_of.groupBy("first").agg(F.map_from_entries(F.collect_list(F.struct("other", "likely"))).alias("known_as"), F.max("is_short").alias("pet"))
     firsts = counts.where("length(first) > 1").groupBy("first").agg(F.sum("n").alias("n_first"))
     lasts = counts.groupBy("last").agg(F.sum("n").alias("n_last"))
-    scored = counts.join(firsts, "first", "left").join(lasts, "last", "left").select("block", "form", "n", F.coalesce("n_first", F.lit(1)).alias("nf"), F.coalesce("n_last", F.lit(1)).alias("nl"))
+    scored = counts.join(firsts, "first", "left").join(lasts, "last", "left").join(forms_of, "first", "left").select(
+        "block", "form", "n", "last", F.coalesce("n_first", F.lit(1)).alias("nf"), F.coalesce("n_last", F.lit(1)).alias("nl"), "known_as", F.coalesce("pet", F.lit(False)).alias("pet"))
 
     def priors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [_kind(form.split("|", 1)[0]) for form in pdf["form"]]
-            pet = [form.split("|", 1)[0] in _nicknames() for form in pdf["form"]]
-            swapped = [form.count("/") > 0 for form in pdf["form"]]
-            pdf["prior"] = [math.log(n) + 0.5 * math.log(a) + 0.5 * math.log(b) - (0, 4, 8, 12)[3 - k] - 1.5 * nick - 0.1 * s for n, a, b, k, s, nick in zip(pdf["n"], pdf["nf"], pdf["nl"], kinds, swapped, pet)]
-            keys = []
-            for form in pdf["form"]:
-                own: set[int] = set()
-                for first, last, _ in _readings_of(form):
-                    for part in {last, *(p for p in last.split("-") if len(p) > 2)}:
-                        own |= {_key(k) for k in deletes(part)}
-                    bare = first.rstrip(".")
-                    if len(bare) > 1:
-                        own |= {_key(k) for k in deletes(bare + last)}
-                        if "-" in last:
-                            own |= {_key(k) for k in deletes(bare + last.split("-")[0])}
-                    if not bare:  # perhaps both names written together: any ending may be the surname
-                        own |= {_key(end) for form in {last, short(last)} for i in range(3, min(len(form) - 4, 40)) for end in (form[i:], short(form[i:]))}
-                keys.append(sorted(own))
-            yield pdf[["block", "form", "n", "prior"]].assign(keys=keys)
-
-    forms = materialize(scored.mapInPandas(priors, f"block {types['block']}, form string, n bigint, prior double, keys array<bigint>"))
-    keyed = forms.select("block", F.explode("keys").alias("key"), "form", "n", "prior")
+            readings_of = [_readings_of(form) for form in pdf["form"]]
+            kinds = [_kind(r[0][0]) for r in readings_of]
+            pdf["prior"] = [math.log(n) + 0.5 * math.log(a) + 0.5 * math.log(b) - (0, 4, 8, 12)[3 - k] - 1.5 * pet - 0.1 * (len(r) > 1) for n, a, b, k, r, pet in zip(pdf["n"], pdf["nf"], pdf["nl"], kinds, readings_of, pdf["pet"])]
+            pdf["words"] = [sorted({w for _, last, _ in r for w in (last, *(p for p in last.split("-") if len(p) > 2))}) for r in readings_of]
+            # One word may be both names written together: any ending may be the surname.
+            pdf["endings"] = [sorted({w[i:] for _, last, _ in r for w in (last, short(last)) for i in range(3, len(w) - 2)}) if not r[0][0] else [] for r in readings_of]
+            pdf["as_variant"] = [sorted(set().union(*(_classes(first) or {"*"} for first, _, _ in r))) for r in readings_of]
+            pdf["as_candidate"] = [sorted({"*"} | _classes(r[0][0]).union(*map(_classes, known or {}))) for r, known in zip(readings_of, (dict(k) if k is not None else None for k in pdf["known_as"]))]
+            yield pdf[["block", "form", "n", "last", "known_as", "prior", "words", "endings", "as_variant", "as_candidate"]]
+
+    lists = ", ".join(f"{c} array<string>" for c in ("words", "endings", "as_variant", "as_candidate"))
+    forms = scored.mapInPandas(priors, f"block {types['block']}, form string, n bigint, last string, known_as map<string,double>, prior double, {lists}")
+    forms = materialize(forms.withColumns({"fid": F.xxhash64("block", "form"), "named": ~F.startswith("form", F.lit("|"))}))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [sorted(_key(f"{b}|{k}") for k in deletes(w, most)) for b, w, most in zip(pdf["block"], pdf["word"], pdf["most"])]
+            yield pdf[["wid"]].assign(keys=keys)
+
+    def word_keys(words: DataFrame, wid: str) -> DataFrame:
+        keyed = words.groupBy("block", "word").agg(F.max("most").alias("most")).select("block", "word", "most", F.xxhash64("block", "word").alias("wid"))
+        return keyed.mapInPandas(cut, "wid bigint, keys array<bigint>").select(F.col("wid").alias(wid), F.explode("keys").alias("key"))
+
+    words = forms.select("block", F.explode("words").alias("word"), F.lit(surname_edits).alias("most")).unionByName(forms.select("block", F.explode("endings").alias("word"), F.lit(1).alias("most")))
+    surnames = forms.select("block", F.col("last").alias("word"), F.lit(surname_edits).alias("most"))
+    alike = word_keys(words, "wv").join(word_keys(surnames, "wc"), "key").select("wv", "wc").distinct()
     # A missing first name can only stand for a fuller form or another surname alone.
-    variants = keyed.select("block", "key", F.col("form").alias("v"), F.col("n").alias("vn"), F.col("prior").alias("vp"))
-    candidates = keyed.select("block", "key", F.col("form").alias("c"), F.col("prior").alias("cp"))
-    named_v, named_c = (~F.col(x).startswith("|") for x in "vc")
-    greater = (F.col("cp") > F.col("vp")) | ((F.col("cp") == F.col("vp")) & (F.col("c") < F.col("v")))
-    pairs = variants.join(candidates, ["block", "key"]).where((named_c & ~named_v) | ((named_c == named_v) & greater)).drop("key").distinct()
+    here = ["fid", "prior", "named"]
+    variants = forms.select("block", *here, F.explode(F.array_union("words", "endings")).alias("w"), "as_variant").select(F.xxhash64("block", "w").alias("wv"), *(F.col(c).alias(f"v{c}") for c in here), F.explode("as_variant").alias("class"))
+    candidates = forms.select(F.xxhash64("block", "last").alias("wc"), *(F.col(c).alias(f"c{c}") for c in here), F.explode("as_candidate").alias("class"))
+    greater = (F.col("cprior") > F.col("vprior")) | ((F.col("cprior") == F.col("vprior")) & (F.col("cfid") < F.col("vfid")))
+    meet = variants.join(alike, "wv").join(candidates, ["wc", "class"]).where((F.col("vfid") != F.col("cfid")) & ((F.col("cnamed") & ~F.col("vnamed")) | ((F.col("cnamed") == F.col("vnamed")) & greater)))
+    pairs = meet.select("vfid", "cfid").distinct()
+    pairs = pairs.join(forms.select(F.col("fid").alias("vfid"), "block", F.col("form").alias("v"), F.col("n").alias("vn"), F.col("prior").alias("vp")), "vfid")
+    pairs = pairs.join(forms.select(F.col("fid").alias("cfid"), F.col("form").alias("c"), F.col("prior").alias("cp"), "known_as"), "cfid")
 
     def attach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            posterior, alone = [], []
-            for v, n, vp, c, cp in zip(pdf["v"], pdf["vn"], pdf["vp"], pdf["c"], pdf["cp"]):
+            posterior = []
+            for v, n, c, cp, known in zip(pdf["v"], pdf["vn"], pdf["c"], pdf["cp"], pdf["known_as"]):
                 first, last, _ = _readings_of(c)[0]
-                likely, typos = name_likelihood(_readings_of(v), (first, last))
-                posterior.append(likely - typo_cost * typos * n + min(cp, 20.0))
-                alone.append(vp - novelty)
-            pdf["posterior"], pdf["alone"] = posterior, alone
-            yield pdf[pdf["posterior"] > pdf["alone"]][["block", "v", "c", "posterior"]]
+                likely, typos = name_likelihood(_readings_of(v), (first, last), dict(known) if known is not None else None)
+                posterior.append(likely - typo_cost * typos * n + cp)
+            pdf["posterior"] = posterior
+            yield pdf[pdf["posterior"] > pdf["vp"] - novelty][["block", "v", "c", "posterior"]]
 
-    attached = pairs.mapInPandas(attach, f"block {types['block']}, v string, c string, posterior double")
+    attached = pairs.drop("vfid", "cfid").mapInPandas(attach, f"block {types['block']}, v string, c string, posterior double")
     parent = materialize(attached.groupBy("block", "v").agg(F.max(F.struct("posterior", "c")).getField("c").alias("c")))
     while True:  # first names appear and priors rise along a path, so paths end; each round halves what is left of them
         up = parent.select("block", F.col("v").alias("c"), F.col("c").alias("top"))
@@ -371,13 +446,13 @@ def maker_likelihood(variant: str, maker: str) -> float:
     return best
 
 
-def maker_matches(df: DataFrame, record_id: str, name: str, makers: DataFrame, maker_id: str, maker_name: str, *, least: float = -7.0, frequent: int = 5) -> DataFrame:
+def maker_matches(df: DataFrame, record_id: str, name: str, makers: DataFrame, maker_id: str, maker_name: str, *, least: float = -7.0) -> DataFrame:
     """The listed maker that a record's hand-typed maker name means.
 
     Every spelling is scored once, however many records have it. Candidates are
-    the listed makers and the first words of frequent spellings that are no
-    listed maker's (so that what means an unlisted maker is not forced on a
-    listed one). The posterior adds the log of how often a maker is written
+    the listed makers and the first words of spellings that are no listed
+    maker's (so that what means an unlisted maker is not forced on a listed
+    one); the fewer records have such a word, the less it counts. The posterior adds the log of how often a maker is written
     exactly as listed to the likelihood of typos, abbreviations, initials,
     order, missing or joined words and legal forms.
 
@@ -412,9 +487,9 @@ def maker_matches(df: DataFrame, record_id: str, name: str, makers: DataFrame, m
 
     variants = counts.mapInPandas(keyed("name", False), "name string, n bigint, brand string, words array<string>, keys array<bigint>")
     known = listed.mapInPandas(keyed("listed", True), "maker bigint, listed string, m bigint, brand string, words array<string>, keys array<bigint>")
-    # Frequent first words that no listed maker has, nor is written together as: makers that are not listed.
-    common = known.select(F.explode(F.slice("words", F.lit(2), F.lit(10))).alias("brand")).union(known.select(F.array_join("words", ""))).distinct()
-    unlisted = variants.where("length(brand) > 3").groupBy("brand").agg(F.sum("n").alias("u")).where(F.col("u") >= frequent).join(known.select("brand").distinct(), "brand", "left_anti").join(common, "brand", "left_anti")
+    # First words that no listed maker has, nor is written together as: makers that are not listed.
+    common = known.select(F.explode(F.slice("words", F.lit(2), F.greatest(F.size("words"), F.lit(1)))).alias("brand")).union(known.select(F.array_join("words", ""))).distinct()
+    unlisted = variants.where("length(brand) > 3").groupBy("brand").agg(F.sum("n").alias("u")).join(known.select("brand").distinct(), "brand", "left_anti").join(common, "brand", "left_anti")
     pairs = variants.select("name", "brand", F.explode("keys").alias("key")).join(known.select("maker", "listed", "m", F.explode("keys").alias("key")), "key").drop("key").distinct()
     pairs = pairs.join(unlisted, "brand", "left")
 
@@ -422,8 +497,8 @@ def maker_matches(df: DataFrame, record_id: str, name: str, makers: DataFrame, m
         for pdf in batches:
             likely = [maker_likelihood(v, m) for v, m in zip(pdf["name"], pdf["listed"])]
             pdf["posterior"] = [x + math.log(m + 1) for x, m in zip(likely, pdf["m"])]
-            # An unlisted brand written as such competes with a typo of a listed one.
-            rival = pdf["u"].map(lambda u: math.log(u + 1) - 0.5 if u == u else -math.inf)
+            # An unlisted brand written as such competes with a typo of a listed one; a few records may be typos alike.
+            rival = pdf["u"].map(lambda u: math.log(u + 1) - 0.5 - 4.5 / u if u == u else -math.inf)
             yield pdf[(pd.Series(likely, index=pdf.index) >= least) & (pdf["posterior"] > rival)][["name", "maker", "listed", "posterior"]]
 
     scored = pairs.mapInPandas(score, "name string, maker bigint, listed string, posterior double")

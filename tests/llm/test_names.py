@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from grafloom.llm.names import deletes, edits, fold, maker_likelihood, maker_matches, name_likelihood, person_clusters, readings, within_one_edit
+from grafloom.llm.names import deletes, distance, edits, fold, maker_likelihood, maker_matches, name_likelihood, person_clusters, readings, short_forms, within_one_edit
 
 
 def test_one_edit():
@@ -13,25 +15,60 @@ def test_one_edit():
     assert edits("strasse", fold("Straße")) == 0 and edits("pirkfaell", "pirkafell") == 1
 
 
+def test_graded_edits():
+    def plain(a, b):
+        d = {(i, j): i + j if not i * j else 0 for i in range(len(a) + 1) for j in range(len(b) + 1)}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rng.choices("abc", k=rng.randint(0, 7)))
+        b = "".join(rng.choices("abc", k=rng.randint(0, 7)))
+        assert distance(a, b) == min(3, plain(a, b)), (a, b)
+        if len(a) > 5 and len(b) > 5 and plain(a, b) <= 2:
+            assert deletes(a, 2) & deletes(b, 2)
+    assert (edits("gorwick", "grwikc"), edits("castgrd", "castegard"), edits("gorwick", "gorwitsch")) == (2, 2, 3)
+
+
+def test_short_forms_are_learned(spark):
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        first = rng.choice(["orlando", "mirella", "tasso", "ilvara", "quendo"])
+        rows += [("s", f"l{i}", first)] + [("s", f"l{i}", {"orlando": "zebbo", "mirella": "luu"}.get(first, ""))] * (first in ("orlando", "mirella") and rng.random() < 0.3)
+        if rng.random() < 0.3:  # a relative
+            rows.append(("s", f"l{i}", rng.choice(["orlando", "mirella", "tasso", "ilvara", "quendo"])))
+    df = spark.createDataFrame(rows, "block string, last string, first string")
+    got = {(r["name"], r["other"]): r for r in short_forms(df).collect()}
+    assert set(got) == {("orlando", "zebbo"), ("zebbo", "orlando"), ("mirella", "luu"), ("luu", "mirella")}
+    assert got["zebbo", "orlando"]["is_short"] and not got["orlando", "zebbo"]["is_short"] and all(-1 <= r["likely"] <= -0.5 for r in got.values())
+    assert short_forms(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("variant", [
     "Philippa Gorwossen", "GORWOSSEN, Philippa", "Gorwossen Philippa", "P. Gorwossen", "Gorwossen, P.", "Pippa Gorwossen", "PhilippaGorwossen", "philippa.gorwossen", "Pihlippa Gorwossen", "Philippa J. Gorwossen", "Dr. Philippa Gorwossen",
     "Gorwossen", "Phil. Gorwossen", "Fr. Philippa  Gorwossen (night shift)", "Philippa Gorwosen", "Filippa Gorwossen", "PHI11PPA G0RWOSSEN", "Philippa Gorwossen-Meier", "philippagorwossen", "Dipl.-Ing. Philippa Gorwossen",
 ])
 def test_variants(variant):
-    likely, typos = name_likelihood(readings(variant), ("philippa", "gorwossen"))
+    likely, typos = name_likelihood(readings(variant), ("philippa", "gorwossen"), {"pippa": -1.0})
     assert likely > -4 and typos <= 2
 
 
-@pytest.mark.parametrize("other", ["Petra Gorwossen", "Philippa Gorwick", "Philippa Gorwossyx", "Q. Gorwossen", "Gorwick", ""])
+@pytest.mark.parametrize("other", ["Petra Gorwossen", "Philippa Gorwick", "Philippa Gorwyssyx", "Q. Gorwossen", "Gorwick", ""])
 def test_other_people(other):
     likely, _ = name_likelihood(readings(other), ("philippa", "gorwossen"))
     assert likely < -100
 
 
-def clusters(spark, rows):
+def clusters(spark, rows, **more):
     df = spark.createDataFrame([(i, s, n, "x") for i, (s, n) in enumerate(rows)], "rec bigint, site string, name string, form string")
     out = {}
-    for r in person_clusters(df, "rec", "site", "name").collect():
+    for r in person_clusters(df, "rec", "site", "name", **more).collect():
         out.setdefault((r["site"], r["person"]), set()).add(r["rec"])
     return sorted(map(sorted, out.values()))
 
@@ -43,8 +80,10 @@ def test_one_site(spark):
 
 
 def test_only_variants_and_nothing(spark):
-    assert clusters(spark, [("s", "G. Vogt"), ("s", "g. vogt"), ("s", "Bob Ürz"), ("s", "Robert Uerz")]) == [[0, 1], [2, 3]]
+    assert clusters(spark, [("s", "G. Vogt"), ("s", "g. vogt"), ("s", "Bob Ürz"), ("s", "Robert Uerz")], known_forms={"Robert": ["Bob"]}) == [[0, 1], [2, 3]]
     assert clusters(spark, []) == []
+    two = [("s", "Anna Gorwick")] * 40 + [("s", "Anna Grwikc"), ("s", "Berta Castegard"), ("s", "Berta Castegard")]
+    assert clusters(spark, two, surname_edits=2) == [[*range(41)], [41, 42]]
     df = spark.createDataFrame([(1, "s", "A Bcd")] * 3, "rec bigint, site string, name string")
     assert person_clusters(df, "rec", "site", "name").count() == 1
 
@@ -105,12 +144,12 @@ def test_likelihood_orders():
 
 def test_accuracy_on_made_up_people(spark):
     """Precision and recall of pairs where the persons are known."""
-    import random
     from itertools import combinations
 
     rng = random.Random(7)
-    firsts = ["Philippa", "Robert", "Alexander", "Katharina", "Wilhelm", "Susanne", "Dominik", "Veronika", "Ulrich", "Isabella", "Gregor", "Heinrich"]
-    pets = {"Philippa": "Pippa", "Robert": "Bob", "Alexander": "Sascha", "Katharina": "Kathi", "Wilhelm": "Willi", "Susanne": "Susi", "Veronika": "Vroni", "Ulrich": "Uli", "Gregor": "Greg", "Heinrich": "Heiner"}
+    # none of these names, nor of their short forms, is in any list
+    firsts = ["Orlando", "Mirella", "Tassilko", "Ilvarina", "Quendolf", "Bertrudis", "Sigwalto", "Jadranka", "Ekkimar", "Urbanella", "Fendrich", "Waltrune"]
+    pets = {"Orlando": "Zebbo", "Mirella": "Luu", "Tassilko": "Koki", "Ilvarina": "Rinne", "Quendolf": "Dolfi", "Bertrudis": "Trude", "Sigwalto": "Waggi", "Jadranka": "Danka", "Ekkimar": "Mari", "Urbanella": "Nelle"}
     heads, tails = ["Gorw", "Czepp", "Nöthl", "Strömb", "Lerch", "Böff", "Pfrang", "Ilgen", "Quast", "Thalk"], ["ossen", "borough", "wick", "uwald", "mayr", "hagel", "imbeck", "entrop", "ovic", "auer"]
 
     def typo(w):
@@ -124,7 +163,7 @@ def test_accuracy_on_made_up_people(spark):
         ])()
 
     rows, truth = [], {}
-    for site in range(25):
+    for site in range(40):
         for f, s in {(rng.choice(firsts), rng.choice(heads) + rng.choice(tails)) for _ in range(12)}:
             for _ in range(rng.randint(1, 8)):
                 truth.setdefault((site, f, s), []).append(len(rows))
@@ -132,4 +171,4 @@ def test_accuracy_on_made_up_people(spark):
     right = {p for own in truth.values() for p in combinations(own, 2)}
     found = {p for own in clusters(spark, rows) for p in combinations(own, 2)}
     precision, recall = len(right & found) / len(found), len(right & found) / len(right)
-    assert precision > 0.97 and recall > 0.9, (precision, recall)
+    assert precision > 0.97 and recall > 0.95, (precision, recall)
