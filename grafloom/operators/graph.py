@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.matching import MatchStrategy, match
 from ..functions.text import normal
+from .assign import candidates
 
 # Fixed values. Sections of an extraction in the order in which they enter the
 # graph, with the label of their elements.
@@ -50,15 +51,20 @@ def _fields(kind: T.StructType) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in kind.fields}
 
 
-def emissions(extractions: DataFrame, graph_id: str) -> tuple[DataFrame, DataFrame]:
+def emissions(extractions: DataFrame, graph_id: str, labels: tuple[str, ...] | None = None, types: tuple[str, ...] | None = None, with_properties: bool = True) -> tuple[DataFrame, DataFrame]:
     """Every mention of a node and of an edge in the extractions, with ord, its
     place in the order of mention. Null elements and such without a name (or
-    with an endpoint without one) mention nothing. Missing sections are empty."""
+    with an endpoint without one) mention nothing. Missing sections are empty.
+    With labels and types only such nodes and edges are mentioned, from the
+    sections that have some; without properties these are empty."""
     schema = _fields(extractions.schema)
     nodes, edges = [], []
+    of_label = lambda label: labels is None or label in labels
+    of_type = lambda kind: types is None or kind in types
+    kept = properties if with_properties else (lambda record, kind, exclude=(): F.create_map().cast("map<string,string>"))
 
     def node(label: str, x: Column, kind: T.StructType, at: Column, exclude: tuple[str, ...] = ()) -> Column:
-        return F.struct(F.lit(label).alias("label"), x["name"].alias("name"), properties(x, kind, exclude).alias("properties"), at.cast("bigint").alias("ord")).cast(_NODE)
+        return F.struct(F.lit(label).alias("label"), x["name"].alias("name"), kept(x, kind, exclude).alias("properties"), at.cast("bigint").alias("ord")).cast(_NODE)
 
     def edge(kind: str, a: tuple[str, Column], b: tuple[str, Column], props: Column, at: Column) -> Column:
         return F.struct(F.lit(kind), F.lit(a[0]), a[1], F.lit(b[0]), b[1], props, at.cast("bigint")).cast(_EDGE)
@@ -74,16 +80,17 @@ def emissions(extractions: DataFrame, graph_id: str) -> tuple[DataFrame, DataFra
             at = F.lit(s << 40) + i.cast("bigint") * 256
             if label != "Action":
                 return F.array(node(label, x, kind, at))
-            out = [node(label, x, kind, at, ("actor", "scene", "parameters"))]
-            out += [node(to, x[f], inner[f], at + k) for k, (f, to) in enumerate((("actor", "Actor"), ("scene", "Scene")), 1) if f in inner]
+            out = [node(label, x, kind, at, ("actor", "scene", "parameters"))] if of_label(label) else []
+            out += [node(to, x[f], inner[f], at + k) for k, (f, to) in enumerate((("actor", "Actor"), ("scene", "Scene")), 1) if f in inner and of_label(to)]
             return F.array(*out)
 
         def links(x: Column, i: Column) -> Column:
             at = F.lit(s << 40) + i.cast("bigint") * 256
-            return F.array(*(edge(t, ("Action", x["name"]), (to, x[f]["name"]), none, at + k) for k, (t, f, to) in enumerate((("PERFORMED_BY", "actor", "Actor"), ("OBSERVED_IN", "scene", "Scene")), 1) if f in inner))
+            return F.array(*(edge(t, ("Action", x["name"]), (to, x[f]["name"]), none, at + k) for k, (t, f, to) in enumerate((("PERFORMED_BY", "actor", "Actor"), ("OBSERVED_IN", "scene", "Scene")), 1) if f in inner and of_type(t)))
 
-        nodes.append(F.flatten(F.transform(F.col(section), mention)))
-        if label == "Action" and ("actor" in inner or "scene" in inner):
+        if of_label(label) or label == "Action" and any(f in inner and of_label(to) for f, to in (("actor", "Actor"), ("scene", "Scene"))):
+            nodes.append(F.flatten(F.transform(F.col(section), mention)))
+        if label == "Action" and any(f in inner and of_type(t) for t, f in (("PERFORMED_BY", "actor"), ("OBSERVED_IN", "scene"))):
             edges.append(F.flatten(F.transform(F.col(section), links)))
     for s, (section, kind, source, target) in enumerate(RELATION_SECTIONS, len(ENTITY_SECTIONS)):
         if section not in schema:
@@ -93,17 +100,20 @@ def emissions(extractions: DataFrame, graph_id: str) -> tuple[DataFrame, DataFra
 
         def ends(x: Column, i: Column) -> Column:
             at = F.lit(s << 40) + i.cast("bigint") * 256
-            return F.array(*(node(label, x[f], inner[f], at + k) for k, (f, label) in enumerate((source, target))))
+            return F.array(*(node(label, x[f], inner[f], at + k) for k, (f, label) in enumerate((source, target)) if of_label(label)))
 
         def relation(x: Column, i: Column) -> Column:
-            props = properties(x, shape, (source[0], target[0], "provenance"))
+            props = kept(x, shape, (source[0], target[0], "provenance"))
             return F.array(edge(kind, (source[1], x[source[0]]["name"]), (target[1], x[target[0]]["name"]), props, F.lit(s << 40) + i.cast("bigint") * 256 + 2))
 
-        nodes.append(F.flatten(F.transform(F.col(section), ends)))
-        edges.append(F.flatten(F.transform(F.col(section), relation)))
+        if of_label(source[1]) or of_label(target[1]):
+            nodes.append(F.flatten(F.transform(F.col(section), ends)))
+        if of_type(kind):
+            edges.append(F.flatten(F.transform(F.col(section), relation)))
 
     def rows(parts: list[Column], shape: str) -> DataFrame:
-        together = F.flatten(F.array(*(F.coalesce(p, F.array().cast(f"array<{shape}>")) for p in parts)))
+        parts = parts or [F.lit(None)]
+        together = F.flatten(F.array(*(F.coalesce(p.cast(f"array<{shape}>"), F.array().cast(f"array<{shape}>")) for p in parts)))
         return extractions.select(F.col(graph_id).alias("graph_id"), F.explode(together).alias("_m")).select("graph_id", "_m.*")
 
     return rows(nodes, _NODE).where("name is not null"), rows(edges, _EDGE).where("source is not null and target is not null")
@@ -155,6 +165,25 @@ def build_property_graph(extractions: DataFrame, graph_id: str) -> tuple[DataFra
     return merge_nodes(nodes), merge_edges(edges)
 
 
+def part_of_graph(extractions: DataFrame, graph_id: str, labels: tuple[str, ...], types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Nodes (graph_id, node_id, label, name, ord) of these labels and edges
+    (graph_id, type, src, dst, ord) of these types, as in the whole graph, but
+    from the sections that mention them alone, and without properties. Edges
+    have no number here, since that counts all edges."""
+    nodes, edges = emissions(extractions, graph_id, labels, types, with_properties=False)
+    keys = ["graph_id", "node_id"]
+    nodes = nodes.withColumn("node_id", node_id(F.col("label"), F.col("name"))).groupBy(*keys).agg(F.min(F.struct("ord", "label", "name")).alias("_f")).select(*keys, "_f.label", "_f.name", "_f.ord")
+    edges = edges.withColumns({"src": node_id(F.col("source_label"), F.col("source")), "dst": node_id(F.col("target_label"), F.col("target"))})
+    return nodes, edges.groupBy("graph_id", "type", "src", "dst").agg(F.min("ord").alias("ord"))
+
+
+def nodes_by_id(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The node of each asked (graph_id, node_id), in all its columns, with
+    found; an id that no node has gives a row of nulls with found false."""
+    ids = asked.select("graph_id", "node_id").distinct()
+    return ids.join(nodes.withColumn("found", F.lit(True)), ["graph_id", "node_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def exact_node_ids(mentions: DataFrame) -> DataFrame:
     """Nodes that are told apart by their exact name: equal normalized names
     get the suffixes :2, :3, ... in the order of first mention."""
@@ -189,15 +218,37 @@ def cluster_nodes(mentions: DataFrame, strategy: MatchStrategy | str, threshold:
     return lists.select("graph_id", "label", F.explode(F.aggregate("ms", start, step, lambda acc: acc["log"])).alias("_l")).select("graph_id", "label", "_l.*")
 
 
+def merge_clusters(mentions: DataFrame, strategy: MatchStrategy | str, threshold: float = 0.85) -> DataFrame:
+    """Nodes of mentions that are merged by a strategy that is no equivalence
+    (see cluster_nodes): the first mention gives name and id, equal ids of a
+    graph get the suffixes :2, :3, ... in that order; properties are the last
+    values that are not null, key by key.
+
+    returns  graph_id, node_id, label, name, properties, ord (of the first mention)
+    """
+    once = mentions.where("name is not null").dropDuplicates(["graph_id", "ord"])
+    joined = once.join(cluster_nodes(once, strategy, threshold).select("graph_id", "ord", "node_ord"), ["graph_id", "ord"])
+    keys = ["graph_id", "node_ord"]
+    first = joined.where("ord = node_ord").select(*keys, "label", "name")
+    base = node_id(F.col("label"), F.col("name"))
+    nth = F.row_number().over(Window.partitionBy("graph_id", base).orderBy("node_ord"))
+    merged = first.withColumn("node_id", F.when(nth == 1, base).otherwise(F.concat(base, F.lit(":"), nth))).join(_merged_properties(joined, keys), keys, "left")
+    return merged.select("graph_id", "node_id", "label", "name", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), F.col("node_ord").alias("ord"))
+
+
 def find_nodes(nodes: DataFrame, lookups: DataFrame, label: str, strategy: MatchStrategy | str = MatchStrategy.NORMALIZED, threshold: float = 0.85) -> DataFrame:
     """For each lookup (graph_id, query) the node of the label with the best
     score of query against its name (ties: the first mentioned), if that is at
-    least threshold: graph_id, query, node_id, score."""
-    queries = lookups.select("graph_id", "query").where("query is not null").distinct()
-    pool = nodes.where(F.col("label") == label).select("graph_id", "node_id", "name", "ord")
-    scored = queries.join(pool, "graph_id").withColumn("score", match(strategy, F.col("query"), F.col("name"))).where(F.col("score") >= threshold)
-    best = scored.groupBy("graph_id", "query").agg(F.min(F.struct((-F.col("score")).alias("ns"), "ord", "node_id")).alias("_b"))
-    return best.select("graph_id", "query", "_b.node_id", (-F.col("_b.ns")).alias("score"))
+    least threshold: graph_id, query, node_id, score.
+
+    Nodes are met through the normalized name or the rarest tokens (see
+    candidates), not one by one. A lookup of null finds nothing.
+    """
+    queries = lookups.select("graph_id", F.col("query").alias("pos"), F.col("query").alias("name")).where("name is not null").distinct()
+    pool = nodes.where((F.col("label") == label) & F.col("name").isNotNull()).select("graph_id", F.struct("ord", "node_id").alias("pos"), "name")
+    scored = candidates(queries, pool, "graph_id", "name", strategy=strategy, least=threshold)
+    best = scored.groupBy("graph_id", "e").agg(F.min(F.struct((-F.col("score")).alias("ns"), "x")).alias("_b"))
+    return best.select("graph_id", F.col("e").alias("query"), "_b.x.node_id", (-F.col("_b.ns")).alias("score"))
 
 
 def outgoing(edges: DataFrame, at: DataFrame, edge_type: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def append_run(df: DataFrame, path: str) -> None:
 
 def strategy_sweep(expected: DataFrame, extracted: DataFrame, group: str, threshold: float = 0.6, strategies: tuple[str, ...] = ("exact", "normalized", "token_overlap"), name: str = "name") -> DataFrame:
     """Metrics of the same records under each strategy, over all groups."""
-    logs = [entity_detection(expected, extracted, group, name, MatchStrategy(s), threshold).select("status").withColumn("strategy", F.lit(s)) for s in strategies]
+    logs = [entity_detection(expected, extracted, group, name, MatchStrategy(s), threshold, miss_scores=False).select("status").withColumn("strategy", F.lit(s)) for s in strategies]
     return prf1(union_all(logs), "strategy")
 
 

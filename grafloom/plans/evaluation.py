@@ -10,9 +10,10 @@ from ..functions.matching import MatchStrategy, compare_values, cosine, match_ex
 from ..functions.metrics import format_prf1, micro_average, prf1, with_prf1
 from ..functions.text import WS, normal, stripped, tokens
 from ..operators.assign import candidates
-from ..operators.evaluate import attributes, entity_detection, level_pairs, relation_detection
-from ..operators.graph import node_id
+from ..operators.evaluate import attributes, entity_detection, evaluate_level, level_pairs, relation_detection
+from ..operators.graph import node_id, union_all
 from ..operators.runs import compare_sizes, list_sizes, strategy_sweep
+from ..session import materialize
 from ..sources.tables import table
 
 TRUSTED = ["asset_register", "vendor_sheet", "inspection_app"]
@@ -82,7 +83,7 @@ def token_overlap_join(spark: SparkSession, d: str) -> DataFrame:
     tokens are in the name: a fuzzy join through tokens."""
     makers = table(spark, d, "makers").select(F.lit(0).alias("g"), F.col("maker_id").alias("pos"), "name")
     typed = tools(spark, d).where("manufacturer is not null").select(F.lit(0).alias("g"), F.col("tool_rec_id").alias("pos"), F.col("manufacturer").alias("name"))
-    found = candidates(makers, typed, "g", "name").where("score >= 0.6")
+    found = candidates(makers, typed, "g", "name", least=0.6)
     return found.select(F.col("e").alias("maker_id"), F.col("x").alias("tool_rec_id"), F.round("score", 6).alias("score"))
 
 
@@ -123,8 +124,9 @@ def entity_detection_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_detection_token(spark: SparkSession, d: str) -> DataFrame:
-    log = entity_detection(*worker_sides(spark, d), "grp")
-    return log.where("status = 'TP'").select("grp", "e", "x", "score")
+    """Statuses without the scores of misses, for which only pairs that may
+    match are formed."""
+    return entity_detection(*worker_sides(spark, d), "grp", miss_scores=False).select("grp", "e", "x", "status")
 
 
 def entity_match_log(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +134,7 @@ def entity_match_log(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_prf1_by_group(spark: SparkSession, d: str) -> DataFrame:
-    return prf1(entity_detection(*worker_sides(spark, d), "grp"), "grp")
+    return prf1(entity_detection(*worker_sides(spark, d), "grp", miss_scores=False), "grp")
 
 
 def _tool_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -166,14 +168,32 @@ def relation_prf1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def level_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of entities and, for the pairs found, of their attributes."""
+    """Metrics of entities and, for the pairs found, of their attributes, over
+    all groups."""
     e, x = node_sides(spark, d)
-    log = entity_detection(e, x, "grp", threshold=0.6)
+    log = materialize(entity_detection(e, x, "grp", threshold=0.6, miss_scores=False))
     pairs = level_pairs(log, e, x, "grp", FIELDS)
     whole = log.select(F.lit("entities").alias("category"), "status").unionByName(attributes(pairs, FIELDS).select(F.concat(F.lit("attrs:"), "field").alias("category"), "status"))
     return prf1(whole, "category")
 
 
+def level_run(spark: SparkSession, d: str) -> DataFrame:
+    """A whole level for each graph: metrics of its entities, of the attributes
+    of each pair found, and of its relations."""
+    e, x = (side.withColumnRenamed("label", "type") for side in node_sides(spark, d))
+    out = evaluate_level(e, x, "grp", FIELDS, *relation_sides(spark, d), ["before", "after"], relation_type="ActionOrder")
+    parts = {"entity": out["entity_metrics"], "attribute": out["attribute_metrics"], "relation": out["relation_metrics"]}
+    columns = ["true_positives", "false_positives", "false_negatives", "precision", "recall", "f1"]
+    rows = [m.select(F.lit(k).alias("part"), "grp", (F.col("e") if "e" in m.columns else F.lit(None).cast("bigint")).alias("e"), "category", *columns) for k, m in parts.items()]
+    return union_all(rows)
+
+
+def entity_detection_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of a label against those of the next label: which are near?"""
+    v = table(spark, d, "embeddings").select("label", F.col("vec_id").alias("pos"), "embedding")
+    return entity_detection(v.withColumn("label", F.col("label") + 1), v, "label", "embedding", MatchStrategy.EMBEDDING, 0.3).select("label", "e", "x", "status", F.round("score", 3).alias("score"))
+
+
 def micro_average_query(spark: SparkSession, d: str) -> DataFrame:
     per_site = entity_prf1_by_group(spark, d)
     return micro_average(per_site)
@@ -217,7 +237,7 @@ QUERIES = {
     "document_tokens": token_overlap_documents, "token_overlap_empty": token_overlap_empty, "token_overlap_join": token_overlap_join, "numeric_compare": numeric_compare,
     "bool_compare": bool_compare, "null_compare": null_compare, "embedding_similarity": embedding_similarity, "entity_detection_normalized": entity_detection_normalized,
     "entity_detection_token": entity_detection_token, "entity_match_log": entity_match_log, "entity_prf1_by_group": entity_prf1_by_group, "attribute_eval": attribute_eval,
-    "attribute_status_counts": attribute_status_counts, "relation_detection": relation_detection_query, "relation_prf1": relation_prf1, "level_eval": level_eval,
+    "attribute_status_counts": attribute_status_counts, "relation_detection": relation_detection_query, "relation_prf1": relation_prf1, "level_eval": level_eval, "level_run": level_run, "entity_detection_embedding": entity_detection_embedding,
     "micro_average": micro_average_query, "format_prf1": format_prf1_query, "strategy_sweep": strategy_sweep_query, "prf1_orders": prf1_orders, "nested_counts": nested_counts,
     "compare_counts": compare_counts,
 }
@@ -327,7 +347,7 @@ select tool_rec_id, case when both_null then true when one then false else score
 with e as (select vec_id, cast(embedding as double[]) a, cast(lead(embedding) over (partition by label order by vec_id) as double[]) b from embeddings)
 select vec_id, round(greatest(0.0, list_cosine_similarity(a, b)), 6) score from e where b is not null""",
     "entity_detection_normalized": f"with {_NODES}, {_KTH}, {_LOG} select grp, e, x, status from log",
-    "entity_detection_token": f"{_TOKEN_LOG} select grp, e, x, score from log where status = 'TP'",
+    "entity_detection_token": f"{_TOKEN_LOG} select grp, e, x, status from log",
     "entity_match_log": f"{_TOKEN_LOG} select * from log",
     "entity_prf1_by_group": f"{_TOKEN_LOG} {_BY_SITE}",
     "attribute_eval": f"with {_NODES}, {_KTH}, {_FIELD_PAIRS} select grp, e, x, field, status, cast(round(score, 6) as double) score from ({attrs_sql(False)}) where status is not null",
@@ -339,6 +359,23 @@ fe as (select grp, name, {_FIRSTS} from ex group by all), fx as (select grp, nam
 pr as (select log.grp, log.e, log.x, {', '.join(f'fe.{f} e_{f}, fx.{f} x_{f}' for f in FIELDS)} from log join fe on fe.grp = log.grp and fe.name = expected_name join fx on fx.grp = log.grp and fx.name = extracted_name where status = 'TP'),
 whole as (select 'entities' category, status from log union all select 'attrs:' || field, status from ({attrs_sql(False)}) where status is not null)
 {metrics_sql(f'select category, {_COUNT} from whole group by 1', 'category')}""",
+    "level_run": f"""with recursive {_NODES}, {greedy_sql(0.6, _PAIRS)}, {_LOG},
+fe as (select grp, name, {_FIRSTS} from ex group by all), fx as (select grp, name, {_FIRSTS} from xt group by all),
+pr as (select log.grp, log.e, log.x, expected_name, {', '.join(f'fe.{f} e_{f}, fx.{f} x_{f}' for f in FIELDS)} from log join fe on fe.grp = log.grp and fe.name = expected_name join fx on fx.grp = log.grp and fx.name = extracted_name where status = 'TP'),
+kinds as (select grp, arg_min(label, pos) label from ex group by 1),
+ent as (select 'entity' part, log.grp, cast(null as bigint) e, coalesce(label, 'Unknown') category, {_COUNT} from log left join kinds using (grp) group by all),
+att as (select 'attribute' part, a.grp, a.e, 'attrs:' || coalesce(pr.expected_name, 'None') category, {_COUNT} from ({attrs_sql(False)}) a join pr on pr.grp = a.grp and pr.e = a.e where status is not null group by all),
+{_RELATIONS.replace('ex as', 'rex as').replace('xt as', 'rxt as').replace('from ex where', 'from rex where').replace('from xt where', 'from rxt where')},
+{greedy_sql(0.6, _REL_PAIRS).replace('c as (', 'rc as (', 1).replace('l as (select', 'rl as (select', 1).replace('from c group', 'from rc group').replace('r as (', 'rr as (', 1).replace('from l', 'from rl').replace('from r join l on l.grp = r.grp and l.rn = r.rn + 1', 'from rr r join rl l on l.grp = r.grp and l.rn = r.rn + 1').replace('a as (select * from r ', 'ra as (select * from rr ')},
+rlog as (select ex2.grp, case when ra.x is null then 'FN' else 'TP' end status from ex2 left join ra on ra.grp = ex2.grp and ra.e = ex2.pos
+  union all select grp, 'FP' from xt2 where not exists (select 1 from ra where ra.grp = xt2.grp and ra.x = xt2.pos)),
+rel as (select 'relation' part, grp, cast(null as bigint) e, 'ActionOrder' category, {_COUNT} from rlog where grp in (select grp from ex2) and grp in (select grp from xt2) group by all)
+select part, grp, e, category, true_positives, false_positives, false_negatives, "precision", recall, f1 from ({metrics_sql('select * from ent union all select * from att union all select * from rel', 'part, grp, e, category')})""",
+    "entity_detection_embedding": f"""with recursive v as (select label grp, vec_id pos, cast(embedding as double[]) name from embeddings), ex as (select grp + 1 grp, pos, name from v), xt as (select * from v),
+{greedy_sql(0.3, "select * from (select ex.grp, ex.pos e, xt.pos x, greatest(0.0, list_cosine_similarity(ex.name, xt.name)) score from ex join xt using (grp)) where score > 0")},
+log as (select ex.grp, ex.pos e, a.x, case when a.x is null then 'FN' else 'TP' end status, round(coalesce(a.score, 0), 3) score from ex left join a on a.grp = ex.grp and a.e = ex.pos
+  union all select grp, null, pos, 'FP', 0 from xt where not exists (select 1 from a where a.grp = xt.grp and a.x = xt.pos))
+select grp "label", e, x, status, score from log""",
     "micro_average": f"{_TOKEN_LOG} {metrics_sql(f'select {_COUNT} from log', chr(39) + 'overall' + chr(39) + ' category')}",
     "format_prf1": f"""{_TOKEN_LOG}, m as ({_BY_SITE})
 select grp category, printf('%-30s | P=%.3f R=%.3f F1=%.3f | TP=%d FP=%d FN=%d', grp, "precision", recall, f1, true_positives, false_positives, false_negatives) line from m""",

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.matching import MatchStrategy
 from ..functions.text import WS
 from ..operators.graph import (
-    ENTITY_SECTIONS, RELATION_SECTIONS, actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_nodes, ordered_actions, outgoing, tools_for_action,
+    ENTITY_SECTIONS, RELATION_SECTIONS, actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_clusters, merge_nodes, node_id,
+    nodes_by_id, ordered_actions, outgoing, part_of_graph, tools_for_action,
 )
 from ..operators.runs import record_run
 from ..schema import ENUMS, RECORDS, fields, validated
-from ..session import materialize
 from ..sources.extract import dump_json, extract_list, rule_backend
 from ..sources.tables import table
 from .evaluation import norm, toks
@@ -66,11 +66,40 @@ def token_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster_nodes(mentions(spark, d), MatchStrategy.TOKEN_OVERLAP, 0.6).select("graph_id", "label", "ord", "node_ord")
 
 
+def _part(spark: SparkSession, d: str, labels: tuple[str, ...], types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    return part_of_graph(table(spark, d, "video_extractions").dropDuplicates(["extraction_id"]), "extraction_id", labels, types)
+
+
 def find_node(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = graphs(spark, d)
+    nodes, _ = _part(spark, d, ("Tool",), ())
     return find_nodes(nodes, lookups(spark, d, "Tool"), "Tool", MatchStrategy.TOKEN_OVERLAP, 0.6).select("graph_id", "query", "node_id", F.round("score", 6).alias("score"))
 
 
+def find_node_normalized(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = _part(spark, d, ("Action",), ())
+    return find_nodes(nodes, lookups(spark, d, "Action"), "Action").select("graph_id", "query", "node_id", "score")
+
+
+def find_node_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as names of nodes: for each the nearest one of the next label."""
+    v = table(spark, d, "embeddings").select(F.col("label").alias("graph_id"), F.lit("Vector").alias("label"), F.col("vec_id").cast("string").alias("node_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("name"))
+    asked = v.select((F.col("graph_id") + 1).alias("graph_id"), F.col("name").alias("query"), F.col("node_id").alias("asked"))
+    found = find_nodes(v, asked, "Vector", MatchStrategy.EMBEDDING, 0.2)
+    return asked.join(found, ["graph_id", "query"]).select("graph_id", "asked", "node_id", F.round("score", 6).alias("score"))
+
+
+def node_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """The tools that are mentioned by node records, looked up in the graphs of
+    the extractions; some are not there."""
+    asked = mentions(spark, d).where("label = 'Tool'").select("graph_id", node_id(F.col("label"), F.col("name")).alias("node_id"))
+    return nodes_by_id(_part(spark, d, ("Tool",), ())[0], asked).select("graph_id", "node_id", "name", "found")
+
+
+def token_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes merged by token overlap, with their merged properties."""
+    return merge_clusters(mentions(spark, d), MatchStrategy.TOKEN_OVERLAP, 0.6).select("graph_id", "node_id", "name", F.explode_outer("properties").alias("key", "value"))
+
+
 def outgoing_query(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = graphs(spark, d)
     return outgoing(edges, nodes.where("label = 'Action'"), "USES_TOOL").select("graph_id", "edge_id", "src", "dst")
@@ -82,18 +111,15 @@ def incoming_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tools_for_action_query(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = map(materialize, graphs(spark, d))
-    return tools_for_action(nodes, edges, lookups(spark, d, "Action")).select("graph_id", "query", "node_id", "name")
+    return tools_for_action(*_part(spark, d, ("Action", "Tool"), ("USES_TOOL",)), lookups(spark, d, "Action")).select("graph_id", "query", "node_id", "name")
 
 
 def actions_using_tool_query(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = map(materialize, graphs(spark, d))
-    return actions_using_tool(nodes, edges, lookups(spark, d, "Tool")).select("graph_id", "query", "node_id", "name")
+    return actions_using_tool(*_part(spark, d, ("Action", "Tool"), ("USES_TOOL",)), lookups(spark, d, "Tool")).select("graph_id", "query", "node_id", "name")
 
 
 def effects_query(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = map(materialize, graphs(spark, d))
-    return effects_caused_by(nodes, edges, lookups(spark, d, "Action")).select("graph_id", "query", "node_id", "name")
+    return effects_caused_by(*_part(spark, d, ("Action",), ("CAUSES",)), lookups(spark, d, "Action")).select("graph_id", "query", "node_id", "name")
 
 
 def ordered_actions_query(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +211,7 @@ def run_results(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_properties_all": graph_properties_all, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
-    "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "find_node": find_node, "outgoing": outgoing_query, "incoming": incoming_query,
+    "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "token_merge": token_merge, "find_node": find_node, "find_node_normalized": find_node_normalized, "find_node_embedding": find_node_embedding, "node_by_id": node_by_id, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "step_violations": step_violations, "procedure_violations": procedure_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
     "json_dump": json_dump, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
@@ -259,6 +285,14 @@ select f.graph_id, f.query, e.{there} node_id, n.name from found f join edges2 e
 
 
 _MENTIONS = "m as (select distinct on (graph_id, ord) * from nodes)"
+_CLUSTERS = f"""{_MENTIONS}, l as (select graph_id, label, ord, {toks('name')} t, row_number() over (partition by graph_id, label order by ord) rn from m),
+r as (
+  select distinct graph_id, label, cast(0 as bigint) rn, cast([] as struct(ord bigint, t varchar[])[]) made, cast(null as bigint) ord, cast(null as bigint) node_ord from l
+  union all
+  select graph_id, label, rn, case when best is null then list_append(made, {{'ord': ord, 't': t}}) else made end, ord, coalesce(best.ord, ord)
+  from (select l.graph_id, l.label, l.rn, l.ord, l.t, r.made,
+      list_sort(list_filter(list_transform(r.made, lambda z: {{'ns': -len(list_intersect(l.t, z.t)) / len(l.t), 'ord': z.ord}}), lambda z: -z.ns >= 0.6))[1] best
+    from r join l on l.graph_id = r.graph_id and l.label = r.label and l.rn = r.rn + 1))"""
 _PTYPES = ", ".join(f"'{x}'" for x in ENUMS["parameter_type"])
 
 
@@ -334,15 +368,20 @@ l as (select graph_id, nid, k "key", arg_max(v, ord) "value" from p where v is n
 select graph_id, nid node_id, name, "key", "value" from f left join l using (graph_id, nid)""",
     "node_id_suffix": f"""with {_MENTIONS}, i as (select graph_id, label, name, min(ord) ord, label || ':' || {norm('name')} base from m group by all),
 k as (select *, row_number() over (partition by graph_id, base order by ord) c from i) select graph_id, case when c = 1 then base else base || ':' || c end node_id, label, name from k""",
-    "token_clusters": f"""with recursive {_MENTIONS}, l as (select graph_id, label, ord, {toks('name')} t, row_number() over (partition by graph_id, label order by ord) rn from m),
-r as (
-  select distinct graph_id, label, cast(0 as bigint) rn, cast([] as struct(ord bigint, t varchar[])[]) made, cast(null as bigint) ord, cast(null as bigint) node_ord from l
-  union all
-  select graph_id, label, rn, case when best is null then list_append(made, {{'ord': ord, 't': t}}) else made end, ord, coalesce(best.ord, ord)
-  from (select l.graph_id, l.label, l.rn, l.ord, l.t, r.made,
-      list_sort(list_filter(list_transform(r.made, lambda z: {{'ns': -len(list_intersect(l.t, z.t)) / len(l.t), 'ord': z.ord}}), lambda z: -z.ns >= 0.6))[1] best
-    from r join l on l.graph_id = r.graph_id and l.label = r.label and l.rn = r.rn + 1))
-select graph_id, label, ord, node_ord from r where rn > 0""",
+    "token_clusters": f"with recursive {_CLUSTERS} select graph_id, label, ord, node_ord from r where rn > 0",
+    "token_merge": f"""with recursive {_CLUSTERS}, j as (select m.*, r.node_ord from m join r on r.graph_id = m.graph_id and r.ord = m.ord where rn > 0),
+f as (select graph_id, node_ord, name, label || ':' || {norm('name')} base from j where ord = node_ord),
+k as (select *, row_number() over (partition by graph_id, base order by node_ord) c from f),
+p as (select graph_id, node_ord, ord, unnest(map_keys(properties)) k, unnest(map_values(properties)) v from j),
+q as (select graph_id, node_ord, k "key", arg_max(v, ord) "value" from p where v is not null group by all)
+select graph_id, case when c = 1 then base else base || ':' || c end node_id, name, "key", "value" from k left join q using (graph_id, node_ord)""",
+    "find_node_normalized": f"""{_G}, {_asked('actions')} select graph_id, query, node_id, 1.0::double score from asked join nodes2 using (graph_id) where label = 'Action' and {norm('query')} = {norm('name')}""",
+    "find_node_embedding": """
+with v as (select label, vec_id, cast(embedding as double[]) x from embeddings),
+s as (select b.label graph_id, a.vec_id asked, b.vec_id id, greatest(0.0, list_cosine_similarity(a.x, b.x)) score from v a join v b on b.label = a.label + 1)
+select graph_id, cast(asked as varchar) asked, cast(id as varchar) node_id, round(score, 6) score from s where score >= 0.2 qualify row_number() over (partition by graph_id, asked order by score desc, id) = 1""",
+    "node_by_id": f"""{_G}, {_MENTIONS}, want as (select distinct graph_id, 'Tool:' || {norm('name')} node_id from m where label = 'Tool' and name is not null)
+select graph_id, node_id, name, n.node_id is not null found from want left join (select * from nodes2 where label = 'Tool') n using (graph_id, node_id)""",
     "find_node": f"{_G}, {_asked('tools')}, {_found('Tool')} select graph_id, query, node_id, cast(round(score, 6) as double) score from found",
     "outgoing": f"{_G} select graph_id, edge_id, src, dst from edges2 where \"type\" = 'USES_TOOL' and src like 'Action:%'",
     "incoming": f"{_G} select graph_id, edge_id, src, dst from edges2 where dst like 'Actor:%'",

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from grafloom.functions.matching import MatchStrategy
 from grafloom.functions.metrics import format_prf1, format_prf1_table, micro_average, prf1, with_prf1
-from grafloom.operators.assign import candidates, greedy
-from grafloom.operators.evaluate import attributes, entity_detection, evaluate_level, level_pairs, relation_detection
+from grafloom.operators.assign import candidates, components, greedy
+from grafloom.operators.evaluate import attributes, default_fields, entity_detection, evaluate_level, level_pairs, relation_detection
 
 
 def records(spark, groups):
@@ -51,7 +51,7 @@ def by_hand(expected, extracted, threshold):
     return out
 
 
-@pytest.mark.parametrize("fold_limit", [10**9, 0])
+@pytest.mark.parametrize("fold_limit", [10**9, 4, 0])
 def test_greedy_against_a_plain_loop(spark, fold_limit):
     rng = random.Random(5)
     words = "ab cd ef gh".split()
@@ -66,6 +66,24 @@ def test_greedy_against_a_plain_loop(spark, fold_limit):
             assert found.get((g, i), (None, 0.0)) == (j, s)
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6, 1.0])
+def test_rarest_tokens_find_all_near_pairs(spark, least):
+    rng = random.Random(6)
+    words = "the the the ab cd ef gh ij".split()
+    name = lambda: rng.choice([None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(8))])
+    e, x = (records(spark, {g: [name() for _ in range(25)] for g in "gh"}) for _ in range(2))
+    rows = lambda df: sorted((r["grp"], r["e"], r["x"], round(r["score"], 9)) for r in df.collect())
+    assert rows(candidates(e, x, "grp", "name", least=least)) == rows(candidates(e, x, "grp", "name").where(F.col("score") >= least))
+    quick = entity_detection(e, x, "grp", threshold=least, miss_scores=False).select("grp", "e", "x", "status")
+    assert quick.exceptAll(entity_detection(e, x, "grp", threshold=least).select("grp", "e", "x", "status")).count() == 0
+
+
+def test_components(spark):
+    pairs = [("g", i, i) for i in range(20)] + [("g", i, i + 1) for i in range(19) if i != 9] + [("h", 5, 1), ("h", 3, 1)]
+    got = {(r["grp"], r["e"]): r["comp"] for r in components(spark.createDataFrame(pairs, "grp string, e int, x int"), "grp").collect()}
+    assert got == {("g", i): 0 if i < 10 else 10 for i in range(20)} | {("h", 5): 3, ("h", 3): 3}
+
+
 def test_shortcut_equals_greedy(spark):
     rng = random.Random(1)
     groups = {f"g{i}": [rng.choice(["A", "a ", " b", "B", "c"]) for _ in range(8)] for i in range(20)}
@@ -107,6 +125,17 @@ def test_relations_match_by_the_mean_of_roles(spark):
     assert sorted((r["e"], r["x"], r["score"]) for r in log.collect()) == [(0, 0, 0.6), (1, 1, 1.0)]
 
 
+def test_players_without_a_name_are_compared_as_text(spark):
+    shape = "grp string, pos int, step struct<name:string,step_number:int>, who array<struct<name:string>>, how struct<kind:string>"
+    e = spark.createDataFrame([("g", 0, ("weld", 1), [("Hans",)], ("fast",)), ("g", 1, None, [], None)], shape)
+    x = spark.createDataFrame([("g", 0, ("weld", 2), [("Hans",)], ("slow",)), ("g", 1, None, [], None)], shape)
+    log = relation_detection(e, x, "grp", ["step", "who", "how"])
+    rows = sorted((r["e"], r["x"], r["score"], r["expected_step"], r["expected_who"]) for r in log.where("e is not null").collect())
+    assert rows == [(0, 0, 0.667, "weld", None), (1, 1, 1.0, None, None)]
+    assert statuses(relation_detection(e, x, "grp", [])) == ["FN", "FN", "FP", "FP"]
+    assert default_fields("Tool") == ["name", "tool_type", "manufacturer", "model"]
+
+
 def test_level_looks_pairs_up_by_name(spark):
     df = spark.createDataFrame([("g", 0, "A", "first"), ("g", 1, "A", "second")], "grp string, pos int, name string, tool_type string")
     log = entity_detection(df, df, "grp")

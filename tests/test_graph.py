@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafloom.functions.matching import MatchStrategy
-from grafloom.operators.graph import (
-    actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_nodes, ordered_actions, outgoing, tools_for_action,
+from grafloom.operators.graph import (  # noqa: I001
+    actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_clusters, merge_nodes, nodes_by_id, ordered_actions, outgoing, part_of_graph, tools_for_action,
 )
 from grafloom.schema import struct_type
 
@@ -123,3 +123,28 @@ def test_clustering_depends_on_order(spark):
     df = spark.createDataFrame([(1, "T", n, i) for i, n in enumerate(["a b c", "a b", "c d", "a", "d x"])], "graph_id bigint, label string, name string, ord bigint")
     got = {r["ord"]: r["node_ord"] for r in cluster_nodes(df, MatchStrategy.TOKEN_OVERLAP, 0.6).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
+
+
+def test_clusters_are_merged(spark):
+    rows = [(1, "T", "a b c", {"x": "1"}, 0), (1, "T", "a b", {"x": "2", "y": None}, 1), (1, "T", "c d", {"x": "3"}, 2), (1, "T", "A  b c", {"y": "4"}, 3), (1, "T", "zz", None, 4), (1, "T", None, {"x": "9"}, 5), (1, "T", "a b", {"x": "2"}, 1)]
+    df = spark.createDataFrame(rows, "graph_id bigint, label string, name string, properties map<string,string>, ord bigint")
+    got = {r["node_id"]: (r["name"], r["properties"], r["ord"]) for r in merge_clusters(df, MatchStrategy.TOKEN_OVERLAP, 0.6).collect()}
+    assert got == {"T:a b c": ("a b c", {"x": "2", "y": "4"}, 0), "T:c d": ("c d", {"x": "3"}, 2), "T:zz": ("zz", {}, 4)}
+    apart = {r["node_id"] for r in merge_clusters(df, MatchStrategy.EXACT, 0.6).collect()}
+    assert apart == {"T:a b c", "T:a b", "T:c d", "T:a b c:2", "T:zz"}
+
+
+def test_nodes_by_id(spark, gold):
+    asked = spark.createDataFrame([(1, "Tool:fronius tps 400i torch"), (1, "Tool:none"), (9, "Tool:x")], "graph_id bigint, node_id string")
+    assert {(r["graph_id"], r["name"], r["found"]) for r in nodes_by_id(gold[0], asked).collect()} == {(1, "Fronius TPS 400i torch", True), (1, None, False), (9, None, False)}
+
+
+def test_part_of_a_graph_is_as_in_the_whole(spark, gold):
+    rows = [(i, json.dumps(r)) for i, r in enumerate((WELDING, INSPECTION), 1)]
+    df = spark.createDataFrame(rows, "graph_id bigint, j string").select("graph_id", F.from_json("j", struct_type("EgocentricVideoExtraction")).alias("r")).select("graph_id", "r.*")
+    nodes, edges = gold
+    for labels, types in ((("Action", "Tool"), ("USES_TOOL",)), (("Actor",), ("PERFORMED_BY", "BEFORE")), ((), ())):
+        n, e = part_of_graph(df, "graph_id", labels, types)
+        own = ["graph_id", "node_id", "label", "name", "ord"]
+        assert sorted(map(tuple, n.select(own).collect())) == sorted(map(tuple, nodes.where(F.col("graph_id") < 3).where(F.col("label").isin(list(labels))).select(own).collect()))
+        assert sorted(map(tuple, e.collect())) == sorted(map(tuple, edges.where(F.col("graph_id") < 3).where(F.col("type").isin(list(types))).select(e.columns).collect()))
