@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normal
-from ..operators.nested import link, nested_nodes
+from ..operators.nested import link, nested_nodes, node_table, typed_nodes
 from ..session import materialize
 from ..sources.tables import table
 
@@ -17,10 +17,10 @@ LISTS = [
 ]
 
 
-def video_nodes(spark: SparkSession, d: str, lists: list[str], **only) -> DataFrame:
+def video_nodes(spark: SparkSession, d: str, **only) -> DataFrame:
     """Nodes of the extractions, each delivered record once."""
-    rows = table(spark, d, "video_extractions").select("extraction_id", F.to_json(F.struct(*lists), {"ignoreNullFields": "false"}).alias("payload"))
-    return nested_nodes(rows.dropDuplicates(["extraction_id"]), "extraction_id", "payload", **only)
+    rows = table(spark, d, "video_extractions").select("extraction_id", *LISTS).dropDuplicates(["extraction_id"])
+    return typed_nodes(rows, "extraction_id", *LISTS, **only)
 
 
 def execution_nodes(spark: SparkSession, d: str, **only) -> DataFrame:
@@ -44,7 +44,7 @@ def _named_place(elements: DataFrame, references: DataFrame, lists: str, parent:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     # Both node tables are read several times below: parse the records once.
-    nodes = materialize(video_nodes(spark, d, ["scenes", "actions", "uses_tool"], types=["scenes", "actions", "scene", "uses_tool", "action"], attributes=["name"]))
+    nodes = materialize(video_nodes(spark, d, types=["scenes", "actions", "scene", "uses_tool", "action"], attributes=["name"]))
     kind, depth = F.col("type"), F.col("depth")
     scene_of = link(nodes, "extraction_id", (kind == "scene") & (depth == 2), (kind == "actions") & (depth == 1), {"pos": "owner_pos"})
     action_of = link(nodes, "extraction_id", (kind == "action") & (depth == 2), (kind == "uses_tool") & (depth == 1), {"pos": "owner_pos"})
@@ -71,12 +71,42 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Every node of both sources with its labels and its parent's label."""
     columns = ["type", "pos", "pre", "post", "depth", "parent_pre", "parent_type", "is_null", F.size("attributes").alias("n_attributes")]
     return (
-        video_nodes(spark, d, LISTS).select(F.lit("video_extractions").alias("origin"), F.col("extraction_id").alias("record_id"), *columns)
+        video_nodes(spark, d).select(F.lit("video_extractions").alias("origin"), F.col("extraction_id").alias("record_id"), *columns)
         .unionByName(execution_nodes(spark, d).select(F.lit("execution_records").alias("origin"), "record_id", *columns))
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_nodes": p3_nodes}
+def p3_actions(spark: SparkSession, d: str) -> DataFrame:
+    """The actions of all extractions as a flat table, with their actor."""
+    nodes = materialize(video_nodes(spark, d, types=["actions", "actor"]))
+    shape = {"name": "string", "action_type": "string", "sequence_index": "int", "timestamp_start_seconds": "double", "timestamp_end_seconds": "double", "confidence": "double"}
+    actions = node_table(nodes, "extraction_id", "actions", shape, of="")
+    actors = node_table(nodes, "extraction_id", "actor", {"name": "string"}, of="actions").select("extraction_id", F.col("parent_pre").alias("pre"), F.col("name").alias("actor"))
+    return actions.join(actors, ["extraction_id", "pre"], "left").select("extraction_id", "pos", *shape, "actor")
+
+
+def p3_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """The parameters of actions as a flat table, with the place of the action
+    that contains them."""
+    nodes = materialize(video_nodes(spark, d, types=["actions", "parameters"]))
+    kind, depth = F.col("type"), F.col("depth")
+    inside = link(nodes, "extraction_id", (kind == "parameters") & (depth == 2), (kind == "actions") & (depth == 1), {"pos": "action_pos"})
+    shape = {"name": "string", "parameter_type": "string", "unit": "string", "nominal_value": "double"}
+    return inside.where("not is_null").select("extraction_id", "action_pos", "pos", *(F.try_element_at("attributes", F.lit(c)).try_cast(t).alias(c) for c, t in shape.items()))
+
+
+def p3_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The step executions of procedures as a flat table: the execution's own
+    fields, and those of its step and of who did it."""
+    nodes = materialize(execution_nodes(spark, d, types=["step_executions", "step", "executed_by"]))
+    steps = node_table(nodes, "record_id", "step_executions", {"status": "string", "actual_duration_seconds": "int"}, of="")
+    for kind, shape in (("step", {"name": "string", "step_number": "int", "step_type": "string"}), ("executed_by", {"name": "string", "role": "string"})):
+        inner = node_table(nodes, "record_id", kind, shape, of="step_executions").where("pos = 0")
+        steps = steps.join(inner.select("record_id", F.col("parent_pre").alias("pre"), *(F.col(c).alias(f"{kind}_{c}") for c in shape)), ["record_id", "pre"], "left")
+    return steps.drop("pre", "post", "parent_pre")
+
+
+QUERIES = {"p3_found": p3_found, "p3_nodes": p3_nodes, "p3_actions": p3_actions, "p3_parameters": p3_parameters, "p3_steps": p3_steps}
 
 _WORDS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
 _NAME = f"trim(regexp_replace(lower({{}}), '{_WORDS}', ' ', 'g'))"
@@ -89,6 +119,13 @@ j as (select record_id, record_type, p::json j from cut where json_valid(p)),
 """
 
 SQL = {
+    "p3_actions": """
+with v as (select distinct on (extraction_id) * from video_extractions), a as (select extraction_id, cast(generate_subscripts(actions, 1) - 1 as int) pos, unnest(actions) x from v)
+select extraction_id, pos, x.name, x.action_type, x.sequence_index, x.timestamp_start_seconds, x.timestamp_end_seconds, x.confidence, x.actor.name actor from a where x is not null""",
+    "p3_parameters": """
+with v as (select distinct on (extraction_id) * from video_extractions), a as (select extraction_id, cast(generate_subscripts(actions, 1) - 1 as int) action_pos, unnest(actions) x from v),
+p as (select extraction_id, action_pos, cast(generate_subscripts(x.parameters, 1) - 1 as int) pos, unnest(x.parameters) y from a)
+select extraction_id, action_pos, pos, y.name, y.parameter_type, y.unit, y.nominal_value from p where y is not null""",
     "p3_found": f"""
 with v as (select distinct on (extraction_id) * from video_extractions),
 scene as (select extraction_id, unnest(scenes) s, generate_subscripts(scenes, 1) - 1 pos from v),

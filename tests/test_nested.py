@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from grafloom.operators.nested import link, nested_nodes, read_record, snake
+from grafloom.operators.nested import link, nested_nodes, node_table, read_record, snake, typed_nodes
 
 
 @pytest.mark.parametrize("text, record", [
@@ -67,3 +67,19 @@ def test_payload_quoted_many_times():
     for _ in range(9):
         text = json.dumps(text)
     assert read_record(text) == {"a": 1} and read_record(json.dumps("x")) is None
+
+
+def test_typed_records_have_the_same_nodes_as_json(spark):
+    text = [
+        {"a": [{"n": "x", "p": {"q": 1.5}, "l": [1, None, 3]}, None, {"n": None, "p": None, "l": None}, {"n": "y", "p": {"q": None}, "l": []}], "b": {"c": [{"d": "deep"}, {"d": None}]}, "s": ["u", None]},
+        {"a": None, "b": None, "s": None}, {"a": [], "b": {"c": None}, "s": []},
+    ]
+    shape = "a array<struct<n:string,p:struct<q:double>,l:array<int>>>, b struct<c:array<struct<d:string>>>, s array<string>"
+    df = spark.createDataFrame([(i, json.dumps(t), i) for i, t in enumerate(text)], "id int, j string, pos int").select("id", "pos", F.from_json("j", shape).alias("r")).select("id", "pos", "r.*")
+    as_json = df.select("id", F.to_json(F.struct("a", "b", "s"), {"ignoreNullFields": "false"}).alias("payload"))
+    rows = lambda d: sorted(map(str, (r.asDict() for r in d.collect())))
+    for types in (None, ["c", "l"], ["a"]):
+        assert rows(typed_nodes(df, "id", "a", "b", "s", types=types)) == rows(nested_nodes(as_json, "id", "payload", types=types))
+    assert typed_nodes(df.limit(0), "id", "a").count() == 0
+    table = node_table(typed_nodes(df, "id", "a", "b", "s"), "id", "a", {"n": "string"})
+    assert sorted((r["id"], r["pos"], r["n"] or "") for r in table.collect()) == [(0, 0, "x"), (0, 2, ""), (0, 3, "y")]
