@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.matching import MatchStrategy
+from ..functions.metrics import with_prf1
 from ..functions.text import WS
 from ..operators.graph import (
     ENTITY_SECTIONS, RELATION_SECTIONS, actions_using_tool, build_property_graph, cluster_nodes, effects_caused_by, exact_node_ids, find_nodes, incoming, merge_clusters, merge_nodes, node_id,
-    nodes_by_id, ordered_actions, outgoing, part_of_graph, tools_for_action,
+    nodes_by_id, ordered_actions, outgoing, part_of_graph, tools_for_action, union_all,
 )
-from ..operators.runs import record_run
+from ..operators.runs import compare_executions, flatten_execution, record_run
 from ..schema import ENUMS, RECORDS, fields, validated
+from ..session import materialize
 from ..sources.extract import dump_json, extract_list, rule_backend
+from ..sources.gold import GOLD_TYPES, gold_rows
 from ..sources.tables import table
 from .evaluation import norm, toks
 
@@ -182,10 +185,34 @@ def worker_violations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def json_dump(spark: SparkSession, d: str) -> DataFrame:
-    """Sources with their trust as JSON, read back."""
-    t = table(spark, d, "source_trust")
-    back = dump_json(t, "origin", "trust_rank").select(F.from_json("json", "origin string, trust_rank int").alias("r"))
-    return back.select("r.origin", "r.trust_rank")
+    """Extraction results as indented JSON, with nulls and time stamps."""
+    t = table(spark, d, "extraction_results").dropDuplicates(["result_id"])
+    return dump_json(t, "result_id", "run_id", "extraction_model", "extraction_timestamp", "n_entities")
+
+
+def _procedures(spark: SparkSession, d: str) -> DataFrame:
+    """Payloads that are executed procedures as records of that type."""
+    rows = table(spark, d, "execution_records").dropDuplicates(["record_id"]).where("record_type = 'ProcedureExecution'")
+    return validated(rows.select("record_id", "procedure_id", "payload"), "payload", "ProcedureExecution").where("record is not null")
+
+
+def execution_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Steps, checks and feedback of executed procedures as rows."""
+    return flatten_execution(_procedures(spark, d), "record_id")
+
+
+def compare_executions_query(spark: SparkSession, d: str) -> DataFrame:
+    """The first execution of each procedure against the last one."""
+    rows = materialize(_procedures(spark, d).where("procedure_id is not null").select("procedure_id", "record_id", "record"))
+    first, last = (rows.groupBy("procedure_id").agg(f("record", "record_id").alias("record")) for f in (F.min_by, F.max_by))
+    return compare_executions(first, last, "procedure_id")
+
+
+def step_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Steps as they were done, with what is_critical is where it is not said."""
+    rows = table(spark, d, "execution_records").dropDuplicates(["record_id"]).where("record_type = 'StepExecution'")
+    checked = validated(rows.select("record_id", "payload"), "payload", "StepExecution").where("record.step is not null")
+    return checked.select("record_id", F.col("record.step.name").alias("name"), F.col("record.step.is_critical").alias("is_critical"))
 
 
 def json_dump_extractions(spark: SparkSession, d: str) -> DataFrame:
@@ -202,11 +229,24 @@ def extract_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
-    """Runs with the mean number of entities of their results as a metric."""
-    r = table(spark, d, "extraction_results").dropDuplicates(["result_id"]).where("run_id is not null")
-    m = r.groupBy("run_id").agg(F.avg("n_entities").alias("f1")).select("run_id", F.lit("entities").alias("category"), F.round("f1", 6).alias("f1"))
-    done = record_run(table(spark, d, "experiment_runs"), {"entity": m})
-    return done.select("run_id", "experiment_name", F.try_element_at("entity_metrics", F.lit("entities")).alias("n_entities"))
+    """Runs with the metrics of their counts: entities that a result states
+    against tools that the rule backend finds in its text."""
+    r = table(spark, d, "extraction_results").dropDuplicates(["result_id"]).where("run_id is not null").select("run_id", "result_id", F.coalesce("n_entities", F.lit(0)).alias("stated"))
+    found = extract_entities(spark, d).groupBy("result_id").agg(F.count("*").alias("found"))
+    n = r.join(found, "result_id", "left").select("run_id", "stated", F.coalesce("found", F.lit(0)).alias("found"))
+    counts = n.groupBy("run_id", F.lit("tools").alias("category")).agg(
+        F.sum(F.least("stated", "found")).alias("true_positives"), F.sum(F.greatest(F.col("found") - F.col("stated"), F.lit(0))).alias("false_positives"), F.sum(F.greatest(F.col("stated") - F.col("found"), F.lit(0))).alias("false_negatives"),
+    )
+    done = record_run(table(spark, d, "experiment_runs"), {"entity": with_prf1(counts)}, "true_positives", "precision", "recall", "f1")
+    m = F.try_element_at("entity_metrics", F.lit("tools"))
+    return done.select("run_id", "experiment_name", *(m[c].alias(c) for c in ("true_positives", "precision", "recall", "f1")))
+
+
+def gold_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The gold records of the five levels, checked against their types."""
+    rows = gold_rows(spark)
+    checked = [validated(rows.where(F.col("record_type") == t), "payload", t).select("level", "record_type", "pos", F.size("violations").cast("bigint").alias("n_violations"), "payload") for t in GOLD_TYPES]
+    return union_all(checked).select("level", "record_type", "pos", "n_violations", F.get_json_object("payload", "$.name").alias("name"))
 
 
 QUERIES = {
@@ -214,7 +254,7 @@ QUERIES = {
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "token_merge": token_merge, "find_node": find_node, "find_node_normalized": find_node_normalized, "find_node_embedding": find_node_embedding, "node_by_id": node_by_id, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "step_violations": step_violations, "procedure_violations": procedure_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
-    "json_dump": json_dump, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
+    "json_dump": json_dump, "execution_summary": execution_summary, "compare_executions": compare_executions_query, "step_defaults": step_defaults, "gold_levels": gold_levels, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
 }
 
 # The same in SQL. Mentions of nodes (g, label, name, ord, and properties as rows
@@ -284,6 +324,7 @@ def _step(section: str, label: str, kind: str, here: str, there: str) -> str:
 select f.graph_id, f.query, e.{there} node_id, n.name from found f join edges2 e on e.graph_id = f.graph_id and e.{here} = f.node_id and e."type" = '{kind}' join nodes2 n on n.graph_id = e.graph_id and n.node_id = e.{there}"""
 
 
+_PROCEDURES = """with o as (select record_id, procedure_id, payload::json o from (select distinct on (record_id) * from execution_records) where record_type = 'ProcedureExecution' and json_valid(payload) and json_type(payload) = 'OBJECT')"""
 _MENTIONS = "m as (select distinct on (graph_id, ord) * from nodes)"
 _CLUSTERS = f"""{_MENTIONS}, l as (select graph_id, label, ord, {toks('name')} t, row_number() over (partition by graph_id, label order by ord) rn from m),
 r as (
@@ -400,10 +441,36 @@ select param_id, cast(len(l) as bigint) n_violations, array_to_string(l, '; ') v
     "worker_violations": f"""with w as (select distinct on (worker_rec_id) * from workers)
 select worker_rec_id, array_to_string(list_filter([case when name is null then 'name: missing' end, case when role not in ({", ".join(repr(x) for x in ENUMS["role"])}) then 'role: domain' end,
   case when expertise_level not in ({", ".join(repr(x) for x in ENUMS["expertise"])}) then 'expertise_level: domain' end], lambda z: z is not null), '; ') violations, cast(coalesce(len(certifications), 0) as bigint) n_certifications from w""",
-    "json_dump": "select origin, trust_rank from source_trust",
+    "json_dump": r"""
+with r as (select distinct on (result_id) * from extraction_results)
+select printf(E'{\n  "result_id" : %s,\n  "run_id" : %s,\n  "extraction_model" : %s,\n  "extraction_timestamp" : %s,\n  "n_entities" : %s\n}', result_id::varchar, coalesce(run_id::varchar, 'null'),
+  coalesce('"' || extraction_model || '"', 'null'), coalesce('"' || strftime(extraction_timestamp, '%Y-%m-%dT%H:%M:%S') || '"', 'null'), coalesce(n_entities::varchar, 'null')) json from r""",
+    "execution_summary": f"""{_PROCEDURES},
+x as (select record_id, 'step' part, '$.step.name' a, '$.status' b, '$.actual_duration_seconds' c, json_extract(o, '$.step_executions') l from o
+  union all select record_id, 'check', '$.inspector.name', '$.result', '$.findings', json_extract(o, '$.quality_checks') from o
+  union all select record_id, 'feedback', '$.reported_by.name', '$.feedback_type', '$.content', json_extract(o, '$.feedback') from o),
+y as (select record_id, part, a, b, c, unnest(cast(l as json[])) j, unnest(range(cast(json_array_length(l) as bigint))) pos from x where json_type(l) = 'ARRAY')
+select record_id, part, cast(pos as int) pos, case when json_type(json_extract(j, a)) = 'VARCHAR' then json_extract_string(j, a) end "name", case when json_type(json_extract(j, b)) = 'VARCHAR' then json_extract_string(j, b) end status,
+  case when part = 'step' then cast(try_cast(json_extract_string(j, c) as bigint) as varchar) when json_type(json_extract(j, c)) = 'VARCHAR' then json_extract_string(j, c) end detail from y where json_type(j) = 'OBJECT'""",
+    "compare_executions": f"""{_PROCEDURES},
+s as (select procedure_id, record_id, {", ".join(f"coalesce(case when json_type(json_extract(o, '$.{c}')) = 'ARRAY' then json_array_length(o, '$.{c}') end, 0) {c}" for c in ("step_executions", "quality_checks", "feedback", "executed_by"))},
+  case when json_type(json_extract(o, '$.supervised_by.name')) = 'VARCHAR' then json_extract_string(o, '$.supervised_by.name') end supervised_by, {", ".join(f"case when json_type(json_extract(o, '$.{c}')) = 'VARCHAR' then json_extract_string(o, '$.{c}') end {c}" for c in ("overall_status", "overall_result"))} from o where procedure_id is not null),
+e as (select * from s qualify row_number() over (partition by procedure_id order by record_id) = 1), g as (select * from s qualify row_number() over (partition by procedure_id order by record_id desc) = 1)
+select e.procedure_id, {", ".join(f"cast(e.{c} as int) expected_{c}, cast(g.{c} as int) got_{c}, e.{c} = g.{c} same_{c}" for c in ("step_executions", "quality_checks", "feedback", "executed_by"))}, {", ".join(f"e.{c} expected_{c}, g.{c} got_{c}" for c in ("supervised_by", "overall_status", "overall_result"))} from e join g using (procedure_id)""",
+    "step_defaults": """
+with r as (select distinct on (record_id) record_id, payload from execution_records where record_type = 'StepExecution'),
+j as (select record_id, json_extract(payload, '$.step') s from r where json_valid(payload) and json_type(payload) = 'OBJECT')
+select record_id, case when json_type(json_extract(s, '$.name')) = 'VARCHAR' then json_extract_string(s, '$.name') end "name",
+  case when json_extract(s, '$.is_critical') is null then false else try_cast(json_extract_string(s, '$.is_critical') as boolean) end is_critical from j where json_type(s) = 'OBJECT'""",
+    "gold_levels": """select * from (values (1, 'Tool', 0, 0::bigint, 'Fronius TPS 400i'), (1, 'Material', 1, 0, 'ER70S-6 Schweißdraht'), (1, 'Material', 2, 0, 'Schutzgas Argon/CO2 82/18'), (2, 'Procedure', 0, 0, 'MIG-Schweißung S235 T-Stoß'),
+  (2, 'Step', 0, 0, 'Werkstück vorbereiten'), (2, 'Step', 1, 0, 'Heften'), (2, 'Step', 2, 0, 'Wurzellage'), (2, 'Step', 3, 0, 'Decklage'), (2, 'StepOrder', 0, 0, null), (2, 'StepOrder', 1, 0, null), (2, 'StepOrder', 2, 0, null),
+  (3, 'ToolRequirement', 0, 0, null), (4, 'StepExecution', 0, 0, null), (5, 'ProcedureExecution', 0, 0, null)) t(level, record_type, pos, n_violations, name)""",
     "extract_entities": """with r as (select distinct on (result_id) result_id, source_chunk from extraction_results where source_chunk is not null),
 m as (select result_id, regexp_extract_all(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+') l from r)
 select result_id, cast(unnest(range(len(l))) as bigint) pos, unnest(l) name, split_part(unnest(l), ' ', 2) model from m""",
-    "run_results": """with r as (select distinct on (result_id) run_id, n_entities from extraction_results where run_id is not null), m as (select run_id, round(avg(n_entities), 6) n from r group by 1)
-select e.run_id, experiment_name, n n_entities from experiment_runs e left join m using (run_id)""",
+    "run_results": """
+with r as (select distinct on (result_id) result_id, run_id, coalesce(n_entities, 0) stated, coalesce(len(regexp_extract_all(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+')), 0) found from extraction_results where run_id is not null),
+c as (select run_id, sum(least(stated, found)) tp, sum(greatest(found - stated, 0)) fp, sum(greatest(stated - found, 0)) fn from r group by 1),
+m as (select run_id, cast(tp as bigint) true_positives, case when tp + fp > 0 then tp / (tp + fp) else 0 end p, case when tp + fn > 0 then tp / (tp + fn) else 0 end q from c)
+select e.run_id, experiment_name, true_positives, round(p, 4) "precision", round(q, 4) recall, round(case when p + q > 0 then 2 * p * q / (p + q) when p is not null then 0 end, 4) f1 from (select distinct on (run_id) * from experiment_runs) e left join m using (run_id)""",
 }

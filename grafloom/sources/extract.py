@@ -7,25 +7,34 @@ only where it is passed.
 
 from __future__ import annotations
 
+import http.client
 import json
 import re
-import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..schema import RECORDS, problems, split_valid, struct_type, validated
+from ..schema import RECORDS, problems, split_valid, validated
 from ..session import ship_package
 
-# The lines of the system prompts.
-PROMPT_ROLE = "You are an expert information extractor for industrial manufacturing knowledge."
-PROMPT_ONE = "Extract a {name} from the given text."
-PROMPT_ALL = "Extract ALL {name} instances from the given text."
-PROMPT_REST = ["Context: {doc}", "The input text is in {language}.", "Only extract information that is explicitly stated in the text.", "Leave fields as null if the information is not present."]
-PROMPT_EMPTY = "If no {name} is found, return an empty list."
+# The system prompts, for one record and for all of a kind.
+PROMPT_ONE = """You are an expert information extractor for industrial manufacturing knowledge.
+Extract a {name} from the given text.
+Context: {doc}
+The input text is in {language}.
+Only extract information that is explicitly stated in the text.
+Leave fields as null if the information is not present."""
+PROMPT_ALL = """You are an expert information extractor for industrial manufacturing knowledge.
+Extract ALL {name} instances from the given text.
+Context: {doc}
+The input text is in {language}.
+Only extract information that is explicitly stated in the text.
+Leave fields as null if the information is not present.
+If no {name} is found, return an empty list."""
 
 Backend = Callable[[str, str, str, "ExtractorSettings"], str]
 
@@ -39,8 +48,7 @@ class ExtractorSettings:
 
 
 def system_prompt(record: str, language: str = "German", many: bool = False) -> str:
-    lines = [PROMPT_ROLE, PROMPT_ALL if many else PROMPT_ONE, *PROMPT_REST, *([PROMPT_EMPTY] if many else [])]
-    return "\n".join(lines).format(name=record, doc=RECORDS[record][0], language=language)
+    return (PROMPT_ALL if many else PROMPT_ONE).format(name=record, doc=RECORDS[record][0], language=language)
 
 
 def extract(df: DataFrame, text: str, record: str, backend: Backend, settings: ExtractorSettings = ExtractorSettings(), prompt: str | None = None, many: bool = False) -> DataFrame:
@@ -48,25 +56,31 @@ def extract(df: DataFrame, text: str, record: str, backend: Backend, settings: E
     record or (many) of a list; null where every attempt failed.
 
     The backend is called again, up to max_retries times in all, while it
-    raises, returns no JSON, or returns what violates the record type; an
-    answer that still violates it at the end is kept, for the quarantine. A null
+    raises, returns no JSON, or returns what violates the record type; what was
+    wrong is added to the prompt. An answer that still violates it at the end is
+    kept, for the quarantine. A null
     text is not sent. Partitions run at the same time: repartition for more.
     """
     ship_package(df.sparkSession)
     sent = prompt or system_prompt(record, settings.language, many)
 
     def attempt(t: str | None) -> str | None:
-        kept = None
+        kept, wrong = None, ""
         for _ in range(max(1, settings.max_retries) if t is not None else 0):
             try:
-                answer = backend(t, sent, record, settings)
-                value = json.loads(answer)
+                answer = backend(t, sent + wrong, record, settings)
             except Exception:  # noqa: BLE001 - a failed request is tried again
                 continue
+            try:
+                value = json.loads(answer)
+            except (TypeError, ValueError):
+                wrong = "\nYour last answer was no JSON. Answer again, with JSON alone."
+                continue
             items = value.get("items") if many and isinstance(value, dict) else [value]
-            if isinstance(items, list) and not any(problems(x, record) for x in items):
+            found = [p for x in items for p in problems(x, record)] if isinstance(items, list) else ["items: missing"]
+            if not found:
                 return answer
-            kept = answer
+            kept, wrong = answer, f"\nYour last answer did not fit ({'; '.join(dict.fromkeys(found))}). Answer again, with these put right."
         return kept
 
     @F.pandas_udf("string")
@@ -95,18 +109,44 @@ def extract_list(df: DataFrame, text: str, record: str, backend: Backend, settin
 LOCAL_SERVER, LOCAL_KEY = "http://localhost:11434/v1", "ollama"
 
 
+_CONNECTIONS: dict[tuple[str, str], http.client.HTTPConnection] = {}
+
+
+def _post(url: str, body: bytes, headers: dict[str, str], timeout: float) -> bytes:
+    """The answer to a request, over the connection that this worker keeps to
+    the server; a connection that was closed meanwhile is opened again once."""
+    parts = urlsplit(url)
+    key = (parts.scheme, parts.netloc)
+    for fresh in (False, True):
+        if fresh or key not in _CONNECTIONS:
+            kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+            _CONNECTIONS[key] = kind(parts.netloc, timeout=timeout)
+        try:
+            _CONNECTIONS[key].request("POST", parts.path, body, headers)
+            answer = _CONNECTIONS[key].getresponse()
+            data = answer.read()
+        except (http.client.HTTPException, OSError):
+            _CONNECTIONS.pop(key).close()
+            if fresh:
+                raise
+            continue
+        if answer.status >= 400:
+            raise OSError(f"{answer.status} {answer.reason}")
+        return data
+    raise OSError("no answer")
+
+
 def http_backend(url: str = LOCAL_SERVER, key: str = LOCAL_KEY, timeout: float = 120.0) -> Backend:
-    """A backend that asks a model over HTTP (chat completions in JSON mode).
-    Nothing uses it by itself."""
+    """A backend that asks a model over HTTP (chat completions in JSON mode). A
+    worker opens one connection and keeps it. Nothing uses it by itself."""
 
     def ask(text: str, prompt: str, record: str, settings: ExtractorSettings) -> str:
         body = {
             "model": settings.model, "temperature": settings.temperature, "response_format": {"type": "json_object"},
             "messages": [{"role": "system", "content": prompt}, {"role": "user", "content": text}],
         }
-        request = urllib.request.Request(f"{url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-        with urllib.request.urlopen(request, timeout=timeout) as answer:
-            return json.load(answer)["choices"][0]["message"]["content"]
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}
+        return json.loads(_post(f"{url}/chat/completions", json.dumps(body).encode(), headers, timeout))["choices"][0]["message"]["content"]
 
     return ask
 
@@ -126,5 +166,6 @@ def dump_json(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))
 
 
-def empty_records(spark, record: str) -> DataFrame:
-    return spark.createDataFrame([], struct_type(record))
+def dump_dict(row: Row) -> dict:
+    """A record that was fetched as nested dicts and lists."""
+    return row.asDict(recursive=True)

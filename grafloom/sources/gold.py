@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import split_valid, validated
 from ..session import ship_package
+from .gold_levels import LEVELS
 
 
 def read_gold(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
@@ -31,3 +34,15 @@ def read_gold(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, D
 def write_records(df: DataFrame, path: str, *columns: str) -> None:
     """The columns of each row as a JSON line, nulls kept."""
     df.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+#: The record types that occur in the gold levels.
+GOLD_TYPES = ("Tool", "Material", "Procedure", "Step", "StepOrder", "ToolRequirement", "StepExecution", "ProcedureExecution")
+
+
+def gold_rows(spark: SparkSession) -> DataFrame:
+    """(level, text, record_type, pos, payload) of the gold levels: what each
+    text states, as JSON of a record type; pos counts the records of a level's
+    list."""
+    rows = [(level, text, kind, pos, json.dumps(record, ensure_ascii=False)) for level, text, lists in LEVELS for records in lists for pos, (kind, record) in enumerate(records)]
+    return spark.createDataFrame(rows, "level int, text string, record_type string, pos int, payload string")

@@ -2,7 +2,7 @@ import json
 
 from grafloom.functions.metrics import prf1
 from grafloom.operators.evaluate import entity_detection
-from grafloom.sources.gold import read_gold, write_records
+from grafloom.sources.gold import gold_rows, read_gold, write_records
 
 
 def lines(path, *rows):
@@ -35,3 +35,20 @@ def test_a_deep_record(spark, tmp_path):
     write_records(good, str(tmp_path / "out"), "key", "record")
     again = json.loads(spark.read.text(str(tmp_path / "out")).first()[0])
     assert again["record"]["procedure"]["name"] == "T-joint" and again["record"]["supervised_by"] is None
+
+
+def test_gold_levels(spark):
+    from pyspark.sql import functions as F
+
+    from grafloom.operators.evaluate import evaluate_level
+    from grafloom.schema import validated
+
+    rows = gold_rows(spark)
+    assert {r["level"]: r["count"] for r in rows.groupBy("level").count().collect()} == {1: 3, 2: 8, 3: 1, 4: 1, 5: 1}
+    tools = validated(rows.where("record_type = 'Tool'"), "payload", "Tool").select(F.lit("g").alias("grp"), "pos", "record.*")
+    found = spark.createDataFrame([("g", 0, "MIG-Schweißgerät Fronius TPS 400i", "welding", None, "TPS 400i")], "grp string, pos int, name string, tool_type string, manufacturer string, model string")
+    orders = validated(rows.where("record_type = 'StepOrder'"), "payload", "StepOrder").select(F.lit("g").alias("grp"), "pos", "record.before", "record.after")
+    out = evaluate_level(tools, found, "grp", "Tool", orders, orders.where("pos < 2"), ["before", "after"], relation_type="StepOrder")
+    assert [(m["category"], m["true_positives"], m["false_negatives"]) for m in out["attribute_metrics"].collect()] == [("attrs:Fronius TPS 400i", 3, 1)]
+    assert [(m["category"], m["true_positives"], m["false_negatives"], m["false_positives"]) for m in out["relation_metrics"].collect()] == [("StepOrder", 2, 1, 0)]
+    assert out["entity_metrics"].first()["f1"] == 1.0

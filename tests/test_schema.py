@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grafloom.schema import RECORDS, fields, problems, split_valid, struct_type, validated
-from grafloom.sources.extract import ExtractorSettings, dump_json, extract, extract_list, extract_records, http_backend, rule_backend, system_prompt
+from grafloom.sources.extract import ExtractorSettings, dump_dict, dump_json, extract, extract_list, extract_records, http_backend, rule_backend, system_prompt
 
 
 def check(spark, record, *payloads, **more):
@@ -118,6 +118,70 @@ def test_a_violation_is_asked_again(spark):
     assert (good.count(), bad.count()) == (1, 0)
 
 
+def test_the_model_is_told_what_was_wrong(spark):
+    def honest(text, prompt, record, settings):
+        return json.dumps({"name": prompt.split("\n")[-1], "role": "boss"}) if "role: domain" not in prompt else json.dumps({"name": prompt.split("\n")[-1]})
+
+    df = spark.createDataFrame([("a",)], "text string")
+    good, bad = extract_records(df, "text", "Worker", honest)
+    assert [r["record"]["name"] for r in good.collect()] == ["Your last answer did not fit (role: domain). Answer again, with these put right."] and bad.count() == 0
+    silent = extract_records(df, "text", "Worker", lambda t, p, r, s: "oops" if "no JSON" not in p else json.dumps({"name": "b"}))[0]
+    assert [r["record"]["name"] for r in silent.collect()] == ["b"]
+
+
+def test_one_connection_is_kept(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Server(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+        opened = 0
+
+        def setup(self):
+            Server.opened += 1
+            super().setup()
+
+        def do_POST(self):
+            self.rfile.read(int(self.headers["Content-Length"]))
+            answer = json.dumps({"choices": [{"message": {"content": json.dumps({"name": "x"})}}]}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    df = spark.createDataFrame([(str(i),) for i in range(20)], "text string").repartition(1)
+    good, _ = extract_records(df, "text", "Tool", http_backend(f"http://127.0.0.1:{server.server_port}", timeout=10))
+    assert good.count() == 20 and Server.opened == 1
+    server.shutdown()
+    with pytest.raises(OSError):
+        http_backend("http://127.0.0.1:9", timeout=1)("t", "p", "Tool", ExtractorSettings())
+
+
+def test_dict_dump(spark):
+    row = spark.createDataFrame([((1, ["a"]),)], "r struct<x:int,y:array<string>>").first()
+    assert dump_dict(row) == {"r": {"x": 1, "y": ["a"]}}
+
+
+def test_executions_are_compared_and_flattened(spark):
+    from grafloom.operators.runs import compare_executions, flatten_execution
+    from grafloom.sources.gold_levels import LEVEL_5
+
+    other = {k: v for k, v in LEVEL_5.items() if k not in ("feedback", "supervised_by")} | {"overall_result": "rejected"}
+    df = spark.createDataFrame([(1, json.dumps(LEVEL_5), json.dumps(other))], "key int, a string, b string")
+    expected, got = (validated(df.select("key", F.col(c).alias("payload")), "payload", "ProcedureExecution").select("key", "record") for c in "ab")
+    row = compare_executions(expected, got, "key").first()
+    assert (row["expected_step_executions"], row["got_step_executions"], row["same_step_executions"]) == (4, 4, True)
+    assert (row["expected_feedback"], row["got_feedback"], row["same_feedback"], row["same_executed_by"]) == (1, 0, False, True)
+    assert (row["expected_supervised_by"], row["got_supervised_by"], row["expected_overall_result"], row["got_overall_result"]) == ("Dr. Weber", None, "accepted_with_conditions", "rejected")
+    rows = [(r["part"], r["pos"], r["name"], r["status"]) for r in flatten_execution(expected, "key").collect()]
+    assert rows == [("step", 0, "Werkstück vorbereiten", "completed"), ("step", 1, "Heften", "completed"), ("step", 2, "Wurzellage", "completed"), ("step", 3, "Decklage", "completed"), ("check", 0, "Maria Schmidt", "pass"), ("feedback", 0, "Hans Müller", "question")]
+
+
 def test_model_over_http(spark):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
