@@ -88,7 +88,8 @@ def extract(df: DataFrame, text: str, record: str, backend: Backend, settings: E
         for batch in batches:
             yield batch.map(attempt).astype(object).where(lambda s: s.notna(), None)
 
-    return df.withColumn("payload", call(F.col(text)))
+    # A model may answer differently each time, and each call costs: filters on the answer must not repeat it.
+    return df.withColumn("payload", call.asNondeterministic()(F.col(text)))
 
 
 def extract_records(df: DataFrame, text: str, record: str, backend: Backend, settings: ExtractorSettings = ExtractorSettings(), prompt: str | None = None) -> tuple[DataFrame, DataFrame]:
