@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal
+from ..session import materialize
 from ..sources.tables import table
 from .mixing import mix
 from .names import maker_matches, person_clusters
@@ -116,6 +117,20 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(*_packed(spark, d))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers of each kind: none holds more than its
+    capacity, no piece begins before the end of the one before it, no document
+    is placed twice."""
+    packed, capacities = _packed(spark, d)
+    placed = materialize(packed.where("container is not null"))
+    capacity = F.create_map(*(F.lit(x) for pair in capacities.items() for x in pair))[F.col("container_kind")]
+    at = Window.partitionBy("container_kind", "container").orderBy("position")
+    ends = placed.withColumn("last", F.lag(F.col("position") + F.col("n_tokens")).over(at)).groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("t"), F.max(F.col("position") + F.col("n_tokens")).alias("z"), F.count_if(F.col("position") < F.col("last")).alias("o"))
+    kinds = ends.groupBy("container_kind").agg(F.count_if((F.col("t") > capacity) | (F.col("z") > capacity)).alias("n_overfull"), F.sum("o").alias("n_overlapping"))
+    twice = placed.groupBy("doc_id", "piece").agg(F.min("container_kind").alias("container_kind"), F.count("*").alias("n")).groupBy("container_kind").agg(F.count_if(F.col("n") > 1).alias("n_twice"))
+    return kinds.join(twice, "container_kind")
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sizes = token_counts(table(spark, d, "documents"), "doc_id", "text", "source")
     return mix(sizes, "doc_id", "source", "n_tokens", table(spark, d, "mix_targets"))
@@ -129,6 +144,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each source: every document has one row, none is used
+    more often than allowed, and no two differ in use by more than one."""
+    use, _ = _mixed(spark, d)
+    goals = table(spark, d, "mix_targets").select("source", "max_repeats")
+    used = F.when(F.col("n_tokens") > 0, F.col("copies"))
+    rows = use.join(goals, "source", "left").groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(F.col("copies") > F.coalesce("max_repeats", F.lit(0))).alias("n_beyond"), (F.coalesce(F.max(used) - F.min(used), F.lit(0)) > 1).alias("uneven"))
+    return rows
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     links, members, _ = shared_spans(table(spark, d, "documents"), "doc_id", "text")
     return linked_pairs(links, members)
@@ -140,7 +165,7 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_amount(docs, "doc_id", "text", members, spans)
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "p6_persons": p6_persons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_copies": p8_copies, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shared": p9_shared}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_check": p2_check, "p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "p6_persons": p6_persons, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_check": p7_check, "p8_copies": p8_copies, "p8_shares": p8_shares, "p8_check": p8_check, "p9_found": p9_found, "p9_shared": p9_shared}
 
 _NOTHING = ", ".join(f"'{x}'" for x in NOTHING)
 _BLANKS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
@@ -152,6 +177,8 @@ w as (select doc_id, i, md5(substr(text, i + 1, 200)) h from (select doc_id, tex
 s as (select h from w group by h having min(doc_id) < max(doc_id)), k as (select distinct w.* from w join s using (h))"""
 
 SQL = {
+    "p7_check": "select container_kind, 0 n_overfull, 0 n_overlapping, 0 n_twice from containers",
+    "p8_check": "select source, count(distinct doc_id) n_documents, 0 n_beyond, false uneven from documents group by 1",
     "p9_found": f"with {_WINDOWS}, d as (select distinct h, doc_id from k) select distinct a.doc_id doc_a, b.doc_id doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id",
     "p9_shared": f"""with {_WINDOWS}, g as (select doc_id, lead(i) over (partition by doc_id order by i) - i gap from k),
 c as (select doc_id, count(*) filter (gap is null or gap > 200) n_spans, cast(sum(least(coalesce(gap, 200), 200)) as bigint) shared_chars from g group by 1),
