@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from grafloom import session
@@ -14,6 +15,31 @@ def test_written_tables_and_their_removal(spark, tmp_path, monkeypatch):
     assert session.materialize(spark.range(0)).count() == 0
 
 
+def test_scratch_is_removed_with_its_query(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    with session.scratch(spark) as outer:
+        assert session.materialize(spark.range(3)).count() == 3
+        with session.scratch(spark):
+            session.materialize(spark.range(3))
+            assert len(list(tmp_path.iterdir())) == 2
+        assert [f"file://{p}" for p in tmp_path.iterdir()] == [outer]
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(session, "is_local", lambda _: False)
+    if not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        with pytest.raises(RuntimeError):
+            session.shared_dir(spark)
+
+
+def test_files_of_the_shared_folder(tmp_path):
+    (tmp_path / "x").write_text("y")
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        system, folder = session.shared_files(path)
+        assert system.open_input_stream(f"{folder}/x").read() == b"y"
+
+
 def test_own_folder_is_kept_for_the_session(spark):
     assert session.shared_dir(spark) == session.shared_dir(spark) != ""
 
