@@ -133,9 +133,15 @@ def whole_groups(df: DataFrame, keys: list[str], *order) -> DataFrame:
     return df.withColumn("_whole", F.xxhash64(*keys)).repartition("_whole").sortWithinPartitions(*order).drop("_whole")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, where the cluster's default file system gives it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
+
+
 def shared_files(path: str) -> tuple[object, str]:
-    """(file system, path in it) of a folder in the shared one, for a Python
-    worker that reads files there itself."""
+    """(file system, path in it) of a qualified path in the shared folder, for a
+    Python worker that reads files there itself."""
     from pyarrow import fs
 
     scheme, _, rest = path.partition(":")

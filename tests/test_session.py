@@ -33,10 +33,11 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
             session.shared_dir(spark)
 
 
-def test_files_of_the_shared_folder(tmp_path):
+def test_files_of_the_shared_folder(spark, tmp_path):
     (tmp_path / "x").write_text("y")
     for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
-        system, folder = session.shared_files(path)
+        assert session.qualified(spark, path).startswith("file:/")
+        system, folder = session.shared_files(session.qualified(spark, path))
         assert system.open_input_stream(f"{folder}/x").read() == b"y"
 
 
