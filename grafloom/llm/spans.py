@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, scratch_path, shared_files, whole_groups
+from ..session import materialize, qualified, scratch_path, shared_files, whole_groups
 
 MIN_CHARS = 200
 PHRASE_CHARS = 80
@@ -374,7 +374,7 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MI
         phrases = materialize(phrases)
     passages = materialize(_passages(texts, phrases, min_chars, phrase_chars))
     shards = -(-passages.count() // shard_phrases)
-    path = scratch_path(docs.sparkSession)
+    path = qualified(docs.sparkSession, scratch_path(docs.sparkSession))
     passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(max(1, shards))).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
     streamed = texts.join(phrases.join(passages, "phrase", "left_semi").select("doc").distinct(), "doc", "left_semi") if routed else texts
     occurrences = materialize(_occurrences(streamed, path, shards, min_chars, phrase_chars))
