@@ -65,9 +65,10 @@ def _row(category: pd.Series, p: pd.Series, r: pd.Series, f: pd.Series, tp: pd.S
     return pd.Series([f"{c:30s} | {x:6.3f} {y:6.3f} {z:6.3f} | {i:3d} {j:3d} {k:3d}" for c, x, y, z, i, j, k in zip(category, p, r, f, tp, fp, fn)])
 
 
-def format_prf1_table(metrics: DataFrame, title: str = "Evaluation Results") -> str:
-    """A metric table, a small one by nature, as text with rules and a header."""
+def format_prf1_table(metrics: DataFrame, title: str = "Evaluation Results", order: str = "category") -> str:
+    """A metric table, a small one by nature, as text with rules and a header;
+    its rows in the order of a column."""
     rule = "=" * 80
     head = f"{'Category':30s} | {'P':>6s} {'R':>6s} {'F1':>6s} | {'TP':>3s} {'FP':>3s} {'FN':>3s}"
-    lines = [r[0] for r in metrics.orderBy("category").select(_row("category", "precision", "recall", "f1", *COUNTS)).collect()]
+    lines = [r[0] for r in metrics.orderBy(order).select(_row("category", "precision", "recall", "f1", *COUNTS)).collect()]
     return "\n".join(["", rule, f"  {title}", rule, head, "-" * 80, *lines, rule])

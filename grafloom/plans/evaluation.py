@@ -160,6 +160,12 @@ def relation_detection_query(spark: SparkSession, d: str) -> DataFrame:
     return log.select("grp", "e", "x", "status", "score")
 
 
+def relation_log(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log of relations, with the names of their players."""
+    log = relation_detection(*relation_sides(spark, d), "grp", ["before", "after"])
+    return log.select("grp", "e", "x", "status", "score", *(f"{side}_{r}" for side in ("expected", "extracted") for r in ("before", "after")))
+
+
 def relation_prf1(spark: SparkSession, d: str) -> DataFrame:
     log = relation_detection(*relation_sides(spark, d), "grp", ["before", "after"])
     both = [side.select("grp").distinct() for side in relation_sides(spark, d)]
@@ -237,7 +243,7 @@ QUERIES = {
     "document_tokens": token_overlap_documents, "token_overlap_empty": token_overlap_empty, "token_overlap_join": token_overlap_join, "numeric_compare": numeric_compare,
     "bool_compare": bool_compare, "null_compare": null_compare, "embedding_similarity": embedding_similarity, "entity_detection_normalized": entity_detection_normalized,
     "entity_detection_token": entity_detection_token, "entity_match_log": entity_match_log, "entity_prf1_by_group": entity_prf1_by_group, "attribute_eval": attribute_eval,
-    "attribute_status_counts": attribute_status_counts, "relation_detection": relation_detection_query, "relation_prf1": relation_prf1, "level_eval": level_eval, "level_run": level_run, "entity_detection_embedding": entity_detection_embedding,
+    "attribute_status_counts": attribute_status_counts, "relation_detection": relation_detection_query, "relation_log": relation_log, "relation_prf1": relation_prf1, "level_eval": level_eval, "level_run": level_run, "entity_detection_embedding": entity_detection_embedding,
     "micro_average": micro_average_query, "format_prf1": format_prf1_query, "strategy_sweep": strategy_sweep_query, "prf1_orders": prf1_orders, "nested_counts": nested_counts,
     "compare_counts": compare_counts,
 }
@@ -322,8 +328,9 @@ _FIELD_PAIRS = f"pr as (select a.grp, a.e, a.x, {', '.join(f'ex.{f} e_{f}, xt.{f
 _ROLE = lambda r: f"(case when ex2.{r} is null and xt2.{r} is null then 1.0 when ex2.{r} is null or xt2.{r} is null then 0.0 else {over(f'ex2.{r}', f'xt2.{r}')} end)"
 _REL_PAIRS = f"select * from (select ex2.grp, ex2.pos e, xt2.pos x, ({_ROLE('a')} + {_ROLE('b')}) / 2 score from ex2 join xt2 using (grp)) where score > 0"
 _REL_LOG = f"""with recursive {_RELATIONS}, {greedy_sql(0.6, _REL_PAIRS)}, log as (
-  select ex2.grp, ex2.pos e, a.x, case when a.x is null then 'FN' else 'TP' end status, round(coalesce(a.score, 0), 3) score from ex2 left join a on a.grp = ex2.grp and a.e = ex2.pos
-  union all select grp, null, pos, 'FP', 0 from xt2 where not exists (select 1 from a where a.grp = xt2.grp and a.x = xt2.pos))"""
+  select ex2.grp, ex2.pos e, a.x, case when a.x is null then 'FN' else 'TP' end status, round(coalesce(a.score, 0), 3) score, ex2.a expected_before, ex2.b expected_after, xt2.a extracted_before, xt2.b extracted_after
+  from ex2 left join a on a.grp = ex2.grp and a.e = ex2.pos left join xt2 on xt2.grp = a.grp and xt2.pos = a.x
+  union all select grp, null, pos, 'FP', 0, null, null, a, b from xt2 where not exists (select 1 from a where a.grp = xt2.grp and a.x = xt2.pos))"""
 _FIRSTS = ", ".join(f"arg_min({{'v': {f}}}, pos).v {f}" for f in FIELDS)
 
 SQL = {
@@ -352,7 +359,8 @@ select vec_id, round(greatest(0.0, list_cosine_similarity(a, b)), 6) score from
     "entity_prf1_by_group": f"{_TOKEN_LOG} {_BY_SITE}",
     "attribute_eval": f"with {_NODES}, {_KTH}, {_FIELD_PAIRS} select grp, e, x, field, status, cast(round(score, 6) as double) score from ({attrs_sql(False)}) where status is not null",
     "attribute_status_counts": f"with {_NODES}, {_KTH}, {_FIELD_PAIRS} select field, status, count(*) n from ({attrs_sql(True)}) where status is not null group by all",
-    "relation_detection": f"{_REL_LOG} select * from log",
+    "relation_detection": f"{_REL_LOG} select grp, e, x, status, score from log",
+    "relation_log": f"{_REL_LOG} select * from log",
     "relation_prf1": f"{_REL_LOG}, kept as (select * from log where grp in (select grp from ex2) and grp in (select grp from xt2)) {metrics_sql(f'select grp, {_COUNT} from kept group by 1', 'grp')}",
     "level_eval": f"""with recursive {_NODES}, {greedy_sql(0.6, _PAIRS)}, {_LOG},
 fe as (select grp, name, {_FIRSTS} from ex group by all), fx as (select grp, name, {_FIRSTS} from xt group by all),

@@ -15,7 +15,7 @@ from ..operators.graph import (
 from ..operators.runs import compare_executions, flatten_execution, record_run
 from ..schema import ENUMS, RECORDS, fields, validated
 from ..session import materialize
-from ..sources.extract import dump_json, extract_list, rule_backend
+from ..sources.extract import ExtractorSettings, dump_json, extract_list, extract_records, rule_backend, rule_backend_one
 from ..sources.gold import GOLD_TYPES, gold_rows
 from ..sources.tables import table
 from .evaluation import norm, toks
@@ -228,6 +228,29 @@ def extract_entities(spark: SparkSession, d: str) -> DataFrame:
     return good.select("result_id", F.col("pos").cast("bigint").alias("pos"), F.col("record.name").alias("name"), F.col("record.model").alias("model"))
 
 
+def _one_tool(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = table(spark, d, "extraction_results").dropDuplicates(["result_id"]).where("source_chunk is not null").select("result_id", "source_chunk")
+    return extract_records(chunks, "source_chunk", "Tool", rule_backend_one, ExtractorSettings(max_retries=1))
+
+
+def extract_one(spark: SparkSession, d: str) -> DataFrame:
+    """The first tool that the rule backend finds in each chunk text."""
+    return _one_tool(spark, d)[0].select("result_id", F.col("record.name").alias("name"), F.col("record.manufacturer").alias("manufacturer"))
+
+
+def extract_quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks where what came back is no tool, and why."""
+    return _one_tool(spark, d)[1].select("result_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def config_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The settings of all runs, checked against their record type."""
+    runs = table(spark, d, "experiment_runs").withColumnRenamed("run_at", "timestamp")
+    names = [f.name for f in fields("ExperimentConfig") if f.name in runs.columns]
+    checked = validated(runs.select("run_id", F.to_json(F.struct(*names)).alias("payload")), "payload", "ExperimentConfig")
+    return checked.select("run_id", F.array_join("violations", "; ").alias("violations"), F.col("record.temperature").alias("temperature"), F.col("record.num_few_shot_examples").alias("num_few_shot_examples"), F.col("record.timestamp").cast("string").alias("stamp"))
+
+
 def run_results(spark: SparkSession, d: str) -> DataFrame:
     """Runs with the metrics of their counts: entities that a result states
     against tools that the rule backend finds in its text."""
@@ -254,7 +277,7 @@ QUERIES = {
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "token_merge": token_merge, "find_node": find_node, "find_node_normalized": find_node_normalized, "find_node_embedding": find_node_embedding, "node_by_id": node_by_id, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "step_violations": step_violations, "procedure_violations": procedure_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
-    "json_dump": json_dump, "execution_summary": execution_summary, "compare_executions": compare_executions_query, "step_defaults": step_defaults, "gold_levels": gold_levels, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "run_results": run_results,
+    "json_dump": json_dump, "execution_summary": execution_summary, "compare_executions": compare_executions_query, "step_defaults": step_defaults, "gold_levels": gold_levels, "json_dump_extractions": json_dump_extractions, "extract_entities": extract_entities, "extract_one": extract_one, "extract_quarantine": extract_quarantine, "config_violations": config_violations, "run_results": run_results,
 }
 
 # The same in SQL. Mentions of nodes (g, label, name, ord, and properties as rows
@@ -468,6 +491,16 @@ select record_id, case when json_type(json_extract(s, '$.name')) = 'VARCHAR' the
     "extract_entities": """with r as (select distinct on (result_id) result_id, source_chunk from extraction_results where source_chunk is not null),
 m as (select result_id, regexp_extract_all(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+') l from r)
 select result_id, cast(unnest(range(len(l))) as bigint) pos, unnest(l) name, split_part(unnest(l), ' ', 2) model from m""",
+    "extract_one": """
+with r as (select distinct on (result_id) result_id, regexp_extract(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+') n from extraction_results where source_chunk is not null)
+select result_id, n "name", split_part(n, ' ', 1) manufacturer from r where n <> ''""",
+    "extract_quarantine": """
+with r as (select distinct on (result_id) result_id, regexp_extract(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+') n from extraction_results where source_chunk is not null)
+select result_id, 'name: missing' violations from r where n = ''""",
+    "config_violations": """
+select run_id, array_to_string(list_filter([case when experiment_name is null then 'experiment_name: missing' end, case when domain is null then 'domain: missing' end, case when schema_level is null then 'schema_level: missing' end,
+  case when model is null then 'model: missing' end, case when prompt_strategy is null then 'prompt_strategy: missing' end], lambda z: z is not null), '; ') violations, coalesce(temperature, 0.0) temperature, cast(num_few_shot_examples as bigint) num_few_shot_examples,
+  strftime(run_at, '%Y-%m-%d %H:%M:%S') stamp from experiment_runs""",
     "run_results": """
 with r as (select distinct on (result_id) result_id, run_id, coalesce(n_entities, 0) stated, coalesce(len(regexp_extract_all(source_chunk, '[A-ZÄÖÜ][a-zäöüß]+ [A-Z]{2}-[0-9]+')), 0) found from extraction_results where run_id is not null),
 c as (select run_id, sum(least(stated, found)) tp, sum(greatest(found - stated, 0)) fp, sum(greatest(stated - found, 0)) fn from r group by 1),

@@ -162,6 +162,13 @@ def rule_backend(text: str, prompt: str, record: str, settings: ExtractorSetting
     return json.dumps({"items": items}, ensure_ascii=False)
 
 
+def rule_backend_one(text: str, prompt: str, record: str, settings: ExtractorSettings) -> str:
+    """The first of what rule_backend finds, as one record; an empty one if
+    there is none."""
+    items = json.loads(rule_backend(text, prompt, record, settings))["items"]
+    return json.dumps(items[0] if items else {}, ensure_ascii=False)
+
+
 def dump_json(df: DataFrame, *columns: str) -> DataFrame:
     """The columns of each row as indented JSON with nulls kept."""
     return df.select(F.to_json(F.struct(*columns), {"pretty": "true", "ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss"}).alias("json"))

@@ -176,3 +176,18 @@ def test_a_whole_level(spark):
     assert evaluate_level(df, df, "grp", ["tool_type"], r, r.limit(0), ["before", "after"])["relation_metrics"].count() == 0
     assert "relation_log" not in evaluate_level(df.drop("type"), df, "grp", ["tool_type"])
     assert {m["category"] for m in evaluate_level(df.drop("type"), df, "grp", ["tool_type"])["entity_metrics"].collect()} == {"Unknown"}
+
+
+def test_names_by_an_encoder(spark):
+    from grafloom.sources.embed import hash_encoder, with_vectors
+
+    e, x = records(spark, {"g": ["Fronius TPS 400i torch", "caliper", None]}), records(spark, {"g": ["calliper", "torch Fronius TPS400i", "saw"]})
+    log = entity_detection(*(with_vectors(d, "name", "v", hash_encoder()) for d in (e, x)), "grp", "v", MatchStrategy.EMBEDDING, 0.6)
+    assert sorted((r["e"], r["x"]) for r in log.where("status = 'TP'").collect()) == [(0, 1), (1, 0)]
+    assert [len(v) for v in hash_encoder(8)(["", "a"])] == [8, 8] and with_vectors(e.limit(0), "name", "v", hash_encoder()).count() == 0
+
+
+def test_order_of_a_table(spark):
+    df = with_prf1(spark.createDataFrame([("z", 1, 0, 0, 0), ("a", 1, 0, 0, 1)], "category string, true_positives int, false_positives int, false_negatives int, pos int"))
+    lines = format_prf1_table(df, order="pos").split("\n")
+    assert lines[6].startswith("z ") and lines[7].startswith("a ")
