@@ -14,10 +14,11 @@ from ..operators.graph import (
 )
 from ..operators.runs import compare_executions, flatten_execution, record_run
 from ..schema import ENUMS, RECORDS, fields, validated
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.extract import ExtractorSettings, dump_json, extract_list, extract_records, rule_backend, rule_backend_one
 from ..sources.gold import GOLD_TYPES, gold_rows
 from ..sources.tables import table
+from ..streaming.graph_merge import as_states, merge_stream, merged_states, nodes_of
 from .evaluation import norm, toks
 
 
@@ -61,6 +62,17 @@ def property_merge(spark: SparkSession, d: str) -> DataFrame:
     return merge_nodes(mentions(spark, d)).select("graph_id", "node_id", "name", F.explode_outer("properties").alias("key", "value"))
 
 
+def streamed_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Node records as a stream, merged batch by batch: what property_merge
+    gives of the whole table."""
+    rows = table(spark, d, "nodes")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{d}/[n]odes.parquet")  # a pattern, since the table may be a file or a folder
+    path = scratch_path(spark)
+    merge_stream(stream, f"{path}/states", f"{path}/log", buckets=16, availableNow=True).awaitTermination()
+    nodes = nodes_of(merged_states(spark, f"{path}/states", as_states(rows).schema))
+    return nodes.select("graph_id", "node_id", "name", F.explode_outer("properties").alias("key", "value"))
+
+
 def node_id_suffix(spark: SparkSession, d: str) -> DataFrame:
     return exact_node_ids(mentions(spark, d)).select("graph_id", "node_id", "label", "name")
 
@@ -273,7 +285,7 @@ def gold_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_properties_all": graph_properties_all, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge,
+    "graph_nodes": graph_nodes, "graph_properties": graph_properties, "graph_properties_all": graph_properties_all, "graph_edges": graph_edges, "edge_properties": edge_properties, "property_merge": property_merge, "streamed_merge": streamed_merge,
     "node_id_suffix": node_id_suffix, "token_clusters": token_clusters, "token_merge": token_merge, "find_node": find_node, "find_node_normalized": find_node_normalized, "find_node_embedding": find_node_embedding, "node_by_id": node_by_id, "outgoing": outgoing_query, "incoming": incoming_query,
     "tools_for_action": tools_for_action_query, "actions_using_tool": actions_using_tool_query, "effects_caused_by": effects_query, "ordered_actions": ordered_actions_query,
     "graph_summary": graph_summary, "schema_violations": schema_violations, "step_violations": step_violations, "procedure_violations": procedure_violations, "execution_violations": execution_violations, "worker_violations": worker_violations,
@@ -507,3 +519,4 @@ c as (select run_id, sum(least(stated, found)) tp, sum(greatest(found - stated,
 m as (select run_id, cast(tp as bigint) true_positives, case when tp + fp > 0 then tp / (tp + fp) else 0 end p, case when tp + fn > 0 then tp / (tp + fn) else 0 end q from c)
 select e.run_id, experiment_name, true_positives, round(p, 4) "precision", round(q, 4) recall, round(case when p + q > 0 then 2 * p * q / (p + q) when p is not null then 0 end, 4) f1 from (select distinct on (run_id) * from experiment_runs) e left join m using (run_id)""",
 }
+SQL["streamed_merge"] = SQL["property_merge"]
