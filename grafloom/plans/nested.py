@@ -76,6 +76,11 @@ def p3_nodes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of the extractions by type and depth."""
+    return video_nodes(spark, d).groupBy("type", "depth").agg(F.count("*").alias("n"), F.count_if("is_null").alias("n_null"))
+
+
 def p3_actions(spark: SparkSession, d: str) -> DataFrame:
     """The actions of all extractions as a flat table, with their actor."""
     nodes = materialize(video_nodes(spark, d, types=["actions", "actor"]))
@@ -106,7 +111,7 @@ def p3_steps(spark: SparkSession, d: str) -> DataFrame:
     return steps.drop("pre", "post", "parent_pre")
 
 
-QUERIES = {"p3_found": p3_found, "p3_nodes": p3_nodes, "p3_actions": p3_actions, "p3_parameters": p3_parameters, "p3_steps": p3_steps}
+QUERIES = {"p3_found": p3_found, "p3_nodes": p3_nodes, "p3_counts": p3_counts, "p3_actions": p3_actions, "p3_parameters": p3_parameters, "p3_steps": p3_steps}
 
 _WORDS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0]+"
 _NAME = f"trim(regexp_replace(lower({{}}), '{_WORDS}', ' ', 'g'))"
@@ -118,7 +123,24 @@ cut as (select record_id, record_type, rtrim(regexp_replace(substr(p, strpos(p,
 j as (select record_id, record_type, p::json j from cut where json_valid(p)),
 """
 
+#: What the elements of a list contain.
+_INSIDE = {
+    "actions": ["actor", "scene", "provenance"], "uses_tool": ["action", "tool", "provenance"], "acts_on_object": ["action", "object"], "action_order": ["before", "after"], "action_causes": ["cause", "effect"],
+    "part_of_procedure": ["action", "procedure"], "observed_in_scene": ["action", "scene"],
+}
+_COUNTS = ["select '' as \"type\", 0 as depth, count(*) n, 0 n_null from v"] + [
+    part for name in LISTS for part in [
+        f"select '{name}', 1, count(*), count(*) filter (x is null) from e_{name}",
+        *(f"select '{inner}', 2, count(*), 0 from e_{name} where x.\"{inner}\" is not null" for inner in _INSIDE.get(name, [])),
+        *(["select 'parameters', 2, count(*), count(*) filter (y is null) from (select unnest(x.parameters) y from e_actions)"] if name == "actions" else []),
+    ]
+]
+
 SQL = {
+    "p3_counts": f"""
+with v as (select distinct on (extraction_id) * from video_extractions), {", ".join(f"e_{name} as (select unnest({name}) x from v)" for name in LISTS)},
+c as ({" union all ".join(_COUNTS)})
+select "type", depth, cast(sum(n) as bigint) n, cast(sum(n_null) as bigint) n_null from c group by all having sum(n) > 0""",
     "p3_actions": """
 with v as (select distinct on (extraction_id) * from video_extractions), a as (select extraction_id, cast(generate_subscripts(actions, 1) - 1 as int) pos, unnest(actions) x from v)
 select extraction_id, pos, x.name, x.action_type, x.sequence_index, x.timestamp_start_seconds, x.timestamp_end_seconds, x.confidence, x.actor.name actor from a where x is not null""",
