@@ -192,8 +192,9 @@ def common_units(
     slice is decoded with the states at its ends fixed. The path is that of the
     whole sequence.
 
-    df        one row for each record_id; kind is the type of the parameter; at
-              orders the rows (timestamp); value and others are doubles
+    df        kind is the type of the parameter; at orders the rows (timestamp);
+              value and others are doubles; of rows with the same record_id the
+              earliest counts
     returns   record_id, kind, unit, unit_from ('named'; 'chosen' of several that
               a text names; 'decoded'; null where unknown), confidence, value
               and others, in the common unit
@@ -229,7 +230,10 @@ def common_units(
 
     kept = [f for f in rows.schema.fields if f.name not in texts]
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    rows = materialize(rows.mapInPandas(name_units, f"{shape}, _units bigint"))  # read several times below
+    lean = rows.mapInPandas(name_units, f"{shape}, _units bigint")
+    # Repeats are removed once the texts are gone; of a record its first arrival stays. The result is read several times below.
+    first = F.min(F.struct("_at", *(c for c in lean.columns if c not in ("_id", "_at")))).alias("_r")
+    rows = materialize(lean.groupBy("_id").agg(first).select("_id", "_r.*"))
     fixed = F.bit_count("_units") == 1
     state = F.log2("_units").cast("int")
 

@@ -11,9 +11,7 @@ from ..sources.tables import table
 
 
 def _common(spark: SparkSession, d: str) -> DataFrame:
-    # Of a record that was delivered again, its first arrival.
     rows = table(spark, d, "process_parameters")
-    rows = rows.groupBy("param_id").agg(F.min_by(F.struct(*(c for c in rows.columns if c != "param_id")), "ingested_at").alias("r")).select("param_id", "r.*")
     return common_units(
         rows, "param_id", device=["source_system"], kind="parameter_type", name="name", unit="unit", description="description", source_text="source_text",
         value="nominal_value", others=["min_value", "max_value"], at="ingested_at",
