@@ -177,8 +177,8 @@ w as (select doc_id, i, md5(substr(text, i + 1, 200)) h from (select doc_id, tex
 s as (select h from w group by h having min(doc_id) < max(doc_id)), k as (select distinct w.* from w join s using (h))"""
 
 SQL = {
-    "p7_check": "select container_kind, 0 n_overfull, 0 n_overlapping, 0 n_twice from containers",
-    "p8_check": "select source, count(distinct doc_id) n_documents, 0 n_beyond, false uneven from documents group by 1",
+    "p7_check": "select container_kind, 0::bigint n_overfull, 0::bigint n_overlapping, 0::bigint n_twice from containers",
+    "p8_check": "select source, count(distinct doc_id) n_documents, 0::bigint n_beyond, false uneven from documents group by 1",
     "p9_found": f"with {_WINDOWS}, d as (select distinct h, doc_id from k) select distinct a.doc_id doc_a, b.doc_id doc_b from d a join d b on a.h = b.h and a.doc_id < b.doc_id",
     "p9_shared": f"""with {_WINDOWS}, g as (select doc_id, lead(i) over (partition by doc_id order by i) - i gap from k),
 c as (select doc_id, count(*) filter (gap is null or gap > 200) n_spans, cast(sum(least(coalesce(gap, 200), 200)) as bigint) shared_chars from g group by 1),
@@ -198,7 +198,7 @@ with sizes as (
 limits as (
   select run_id, max(cast(regexp_extract(x, '[0-9.]+') as double) * case when x like '%k' then 1000 else 1 end) size from sizes where x not like '%\%' escape '\' group by 1),
 r as (select distinct on (result_id) result_id, run_id, source_chunk from extraction_results)
-select result_id, 0 n_over, 0 n_unlike_overlap, length(source_chunk) n_chars, md5(source_chunk) text_md5 from r join limits using (run_id) where length(source_chunk) > size""",
+select result_id, 0::bigint n_over, 0::bigint n_unlike_overlap, length(source_chunk) n_chars, md5(source_chunk) text_md5 from r join limits using (run_id) where length(source_chunk) > size""",
     "p5_found": f"""
 with r as (
   select 'Tool' record, tool_id group_key, tool_rec_id rec, origin, observed_at, unnest(['model', 'tool_type']) field, unnest([model, tool_type]) value from tools
