@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from ..functions.matching import MatchStrategy, match
 from ..functions.text import normal
-from .assign import candidates
+from ..session import materialize
+from .assign import candidates, components
 
 # Fixed values. Sections of an extraction in the order in which they enter the
 # graph, with the label of their elements.
@@ -21,6 +22,8 @@ RELATION_SECTIONS = [
     ("action_order", "BEFORE", ("before", "Action"), ("after", "Action")), ("action_causes", "CAUSES", ("cause", "Action"), ("effect", "Action")),
     ("part_of_procedure", "PART_OF", ("action", "Action"), ("procedure", "Procedure")), ("observed_in_scene", "OBSERVED_IN", ("action", "Action"), ("scene", "Scene")),
 ]
+#: Mentions of a graph and label beyond which clustering is done by components.
+CLUSTER_LIMIT = 2_000
 _NODE = "struct<label:string,name:string,properties:map<string,string>,ord:bigint>"
 _EDGE = "struct<type:string,source_label:string,source:string,target_label:string,target:string,properties:map<string,string>,ord:bigint>"
 
@@ -193,17 +196,37 @@ def exact_node_ids(mentions: DataFrame) -> DataFrame:
     return rows.select("graph_id", F.when(nth == 1, base).otherwise(F.concat(base, F.lit(":"), nth)).alias("node_id"), "label", "name", "ord")
 
 
-def cluster_nodes(mentions: DataFrame, strategy: MatchStrategy | str, threshold: float = 0.85) -> DataFrame:
+def cluster_nodes(mentions: DataFrame, strategy: MatchStrategy | str, threshold: float = 0.85, *, fold_limit: int = CLUSTER_LIMIT) -> DataFrame:
     """Mentions with the ord of the node they join (node_ord), where names
     match by a strategy that is no equivalence, as token overlap: each mention,
     in order, joins the best node made so far (ties: the oldest) that scores at
     least threshold, or makes a new one.
 
-    The order decides, so that the mentions of one graph and label are passed
-    one after another; graphs and labels are independent.
+    The order decides, so that mentions are passed one after another; graphs and
+    labels are independent. By token overlap, more than fold_limit mentions of a
+    graph and label fall into components first, of mentions that may join each
+    other directly or over others, which are independent too; the result is the
+    same.
     """
-    lists = mentions.where("name is not null").select("graph_id", "label", "name", "ord").distinct()
-    lists = lists.groupBy("graph_id", "label").agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("ms"))
+    keys = ["graph_id", "label"]
+    rows = mentions.where("name is not null").select(*keys, "name", "ord").distinct()
+    if strategy != MatchStrategy.TOKEN_OVERLAP or threshold <= 0:
+        return _fold_clusters(rows, keys, strategy, threshold)
+    rows = materialize(rows)
+    large = materialize(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > fold_limit).select(*keys))
+    if large.isEmpty():
+        return _fold_clusters(rows, keys, strategy, threshold)
+    those = rows.join(large, keys, "left_semi").withColumn("_g", F.struct(*keys))
+    # Names without a token join each other alone.
+    worded = those.where(normal(F.col("name")) != "")
+    pairs = candidates(worded, worded, "_g", "name", "ord", strategy, least=threshold).where("x <= e")
+    parts = components(pairs, "_g").select("_g", F.col("e").alias("ord"), "comp")
+    parted = those.join(parts, ["_g", "ord"], "left").withColumn("comp", F.coalesce(F.col("comp").cast("string"), F.lit("none"))).drop("_g")
+    return _fold_clusters(rows.join(large, keys, "left_anti"), keys, strategy, threshold).unionByName(_fold_clusters(parted, [*keys, "comp"], strategy, threshold))
+
+
+def _fold_clusters(rows: DataFrame, keys: list[str], strategy: MatchStrategy | str, threshold: float) -> DataFrame:
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "name"))).alias("ms"))
     start = F.struct(F.array().cast("array<struct<ord:bigint,name:string>>").alias("made"), F.array().cast("array<struct<ord:bigint,name:string,node_ord:bigint>>").alias("log"))
 
     def step(acc, m):

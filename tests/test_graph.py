@@ -125,6 +125,17 @@ def test_clustering_depends_on_order(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4}
 
 
+def test_clusters_of_components_are_those_of_the_whole(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(g, "T", " ".join(rng.choices("a b c d e f".split(), k=rng.randint(0, 4))), i) for g in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "graph_id bigint, label string, name string, ord bigint")
+    for threshold in (0.5, 0.85):
+        whole, parts = (sorted(map(tuple, cluster_nodes(df, MatchStrategy.TOKEN_OVERLAP, threshold, fold_limit=n).collect())) for n in (10**9, 0))
+        assert whole == parts and len({r[4] for r in whole}) > 3
+
+
 def test_clusters_are_merged(spark):
     rows = [(1, "T", "a b c", {"x": "1"}, 0), (1, "T", "a b", {"x": "2", "y": None}, 1), (1, "T", "c d", {"x": "3"}, 2), (1, "T", "A  b c", {"y": "4"}, 3), (1, "T", "zz", None, 4), (1, "T", None, {"x": "9"}, 5), (1, "T", "a b", {"x": "2"}, 1)]
     df = spark.createDataFrame(rows, "graph_id bigint, label string, name string, properties map<string,string>, ord bigint")
