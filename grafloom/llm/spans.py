@@ -2,23 +2,25 @@
 
 Phrases that recur in several documents are confirmed by counting (winnowing
 picks them, so that every window of min_chars characters holds one), compiled
-into sharded Aho-Corasick automata, and all documents are streamed through all
-shards, which locates every occurrence. The surroundings of the occurrences
-decide which documents share a span of min_chars characters or more.
+into sharded Aho-Corasick automata, and the documents are streamed through the
+shards (through all, or through those that can hold something of theirs), which
+locates every occurrence. The surroundings of the occurrences decide which
+documents share a span of min_chars characters or more.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, qualified, scratch_path, shared_files, whole_groups
@@ -123,44 +125,69 @@ def winnow(texts: list[str], min_chars: int = MIN_CHARS, phrase_chars: int = PHR
     return index[first], pos[first], hashes[first]
 
 
-def _texts_once(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(doc, text) with one document of each group of equal texts, the one with
-    the smallest id, and (doc, rep) of all members of such groups."""
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where((F.length("text") >= min_chars) & F.col("doc").isNotNull())
-    keyed = rows.select("doc", F.md5("text").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("top")).where("rep < top").drop("top")
-    members = materialize(keyed.join(groups, "key").select("doc", "rep", "key").distinct())
-    others = members.where("doc <> rep").select("doc", "key")
-    return rows.withColumn("key", F.md5("text")).join(others, ["doc", "key"], "left_anti").drop("key"), members.select("doc", "rep")
+def _texts(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, text) of all texts that are long enough, with a hash of the
+    text, and (doc, rep, key) of the documents whose texts are equal: rep is
+    the one with the smallest id."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).where((F.length("text") >= min_chars) & F.col("doc").isNotNull()).withColumn("key", F.xxhash64("text"))
+    keyed = rows.select("doc", "key", F.md5("text").alias("same"))
+    groups = keyed.groupBy("same").agg(F.min("doc").alias("rep"), F.max("doc").alias("top")).where("rep < top").drop("top")
+    return rows, materialize(keyed.join(groups, "same").select("doc", "rep", "key").distinct())
 
 
-def _phrases(texts: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
+def _phrases(rows: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
+    """(key, phrase) of the phrases of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            index, pos, hashes = winnow(batch.column(1).to_pylist(), min_chars, phrase_chars)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[index], pa.int64()), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64())], names=["doc", "pos", "phrase"])
-
-    return texts.mapInArrow(run, "doc bigint, pos int, phrase bigint")
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            index, _, hashes = winnow(batch.column(1).to_pylist(), min_chars, phrase_chars)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[index], pa.int64()), pa.array(hashes, pa.int64())], names=["key", "phrase"])
+
+    return rows.select("key", "text").mapInArrow(run, "key bigint, phrase bigint")
+
+
+def _recurring(phrases: DataFrame) -> DataFrame:
+    """(phrase, key, first) of the phrases that stand in more than one text, with
+    the first of these."""
+    same = Window.partitionBy("phrase")
+    rows = phrases.select("phrase", "key", F.min("key").over(same).alias("first"), F.max("key").over(same).alias("last"))
+    return rows.where("first < last").select("phrase", "key", "first").distinct()
+
+
+def _holders(rows: DataFrame, members: DataFrame, recurring: DataFrame, shards: int, shard_phrases: int, routed: bool) -> DataFrame:
+    """(doc, text, wanted, shards) of the texts from which passages are taken,
+    each once: wanted are their phrases and the shards these belong to. With
+    routed, of all texts that hold a recurring phrase: shards are those of all
+    phrases they hold. Phrases taken from one text go to one shard, so that
+    texts which share much are in few; those of a text that would fill a large
+    part of a shard are spread in blocks."""
+    block = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("phrase")) - 1) / max(1, shard_phrases // 8))
+    placed = recurring.where("key = first").select("phrase", "key", F.pmod(F.xxhash64("key", block), F.lit(max(1, shards))).cast("int").alias("shard"))
+    if routed:
+        placed = recurring.join(placed.select("phrase", "shard"), "phrase").withColumn("own", F.col("key") == F.col("first"))
+    else:
+        placed = placed.withColumn("own", F.lit(True))
+    held = placed.groupBy("key").agg(F.collect_list(F.when(F.col("own"), F.struct("phrase", "shard"))).alias("wanted"), F.collect_set("shard").alias("shards"))
+    # Written, so that its size is known when the join with the texts is planned.
+    held = materialize(held.join(members.select("key", "rep").distinct(), "key", "left"))
+    return rows.join(held, "key").where("rep is null or doc = rep").select("doc", "text", "wanted", "shards")
 
 
-def _passages(texts: DataFrame, phrases: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
-    """(phrase, passage) of every phrase that stands in more than one document:
-    its hash and its text, taken from the first of them."""
-    recurring = phrases.groupBy("phrase").agg(F.min("doc").alias("doc"), F.max("doc").alias("other")).where("doc < other").select("phrase", "doc")
-    # Written, so that its size is known when the join with the texts is planned.
-    wanted = materialize(recurring.groupBy("doc").agg(F.collect_list("phrase").alias("wanted")))
+def _passages(holders: DataFrame, min_chars: int, phrase_chars: int) -> DataFrame:
+    """(phrase, passage, shard) of every wanted phrase: its hash and its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, asked = batch.column(0).to_pylist(), [set(w) for w in batch.column(1).to_pylist()]
-            out: dict[int, str] = {}
+            found, asked = batch.column(0).to_pylist(), [{w["phrase"]: w["shard"] for w in own} for own in batch.column(1).to_pylist()]
+            out: dict[int, tuple[str, int]] = {}
             for i, p, h in zip(*(x.tolist() for x in winnow(found, min_chars, phrase_chars))):
                 if h in asked[i]:
-                    out[h] = found[i][p : p + phrase_chars]
-            yield pa.RecordBatch.from_arrays([pa.array(out.keys(), pa.int64()), pa.array(out.values(), pa.string())], names=["phrase", "passage"])
+                    out[h] = found[i][p : p + phrase_chars], asked[i][h]
+            columns = [pa.array(out.keys(), pa.int64()), pa.array([t for t, _ in out.values()], pa.string()), pa.array([s for _, s in out.values()], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["phrase", "passage", "shard"])
 
-    return texts.join(wanted, "doc").select("text", "wanted").mapInArrow(run, "phrase bigint, passage string")
+    return holders.where(F.size("wanted") > 0).select("text", "wanted").mapInArrow(run, "phrase bigint, passage string, shard int")
 
 
 def start_letters(passages: list[str], sample: int = 2_000) -> dict[str, int]:
@@ -218,22 +245,28 @@ def _occurrences(texts: DataFrame, path: str, shards: int, min_chars: int, phras
     """(phrase, doc, pos, before, around) of every occurrence of a passage in any
     text: around is it with up to min_chars - phrase_chars characters on either
     side, before of them in front. Every text passes through every shard; a
-    worker holds one automaton and a buffer of texts at a time."""
+    worker holds one automaton and a buffer of texts at a time. Texts with a
+    column shard pass through that one, and all of one follow each other."""
     margin = min_chars - phrase_chars
     names = ["phrase", "doc", "pos", "before", "around"]
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string())
 
-    def stream(held: list[tuple[int, str]], order: range) -> Iterator[pa.RecordBatch]:
+    def stream(held: Iterable[tuple], order: Iterable[int]) -> Iterator[pa.RecordBatch]:
         for shard in order:
             passages = _shard(path, shard)
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in held:
+            for doc, text, *_ in held:
                 for phrase, pos, length in passages.find(text):
                     at = max(0, pos - margin)
                     for column, x in zip(out, (phrase, doc, pos, pos - at, text[at : pos + length + margin])):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=names)
 
+    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, rows in groupby(zip(*(batch.column(i).to_pylist() for i in range(3))), key=lambda row: row[2]):
+                yield from stream(rows, [shard])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
         size, order = 0, range(shards)
@@ -246,7 +279,10 @@ def _occurrences(texts: DataFrame, path: str, shards: int, min_chars: int, phras
                     held, size, order = [], 0, order[::-1]  # the shard loaded last comes first
         yield from stream(held, order)
 
-    return texts.select("doc", "text").mapInArrow(run, "phrase bigint, doc bigint, pos int, before int, around string")
+    schema = "phrase bigint, doc bigint, pos int, before int, around string"
+    if "shard" in texts.columns:
+        return texts.select("doc", "text", "shard").mapInArrow(run_own, schema)
+    return texts.select("doc", "text").mapInArrow(run, schema)
 
 
 def shared_stretch(a: np.ndarray, b: np.ndarray, before: int, after: int) -> tuple[np.ndarray, np.ndarray]:
@@ -338,12 +374,14 @@ def _window_links(windows: DataFrame) -> DataFrame:
     return one.withColumnRenamed("doc", "doc_a").join(one.withColumnRenamed("doc", "doc_b"), "window").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
 
 
-def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS, direct_limit: int = DIRECT_LIMIT, shard_phrases: int = SHARD_PHRASES, routed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MIN_CHARS, phrase_chars: int = PHRASE_CHARS, direct_limit: int = DIRECT_LIMIT, shard_phrases: int = SHARD_PHRASES, routed: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verbatim spans of min_chars or more characters that stand in more than
     one document.
 
     docs      doc_id (bigint) and text; other columns are ignored
-    routed    stream only documents that hold a recurring phrase (see below)
+    routed    whether a document passes only through the shards that hold a
+              phrase of its own (see below); by default, where there are
+              several shards
     returns   links (doc_a, doc_b), doc_a < doc_b: representatives whose texts
               share such a span; members (doc, rep): documents whose whole text
               occurs more than once, and their representative (the smallest
@@ -356,38 +394,45 @@ def shared_spans(docs: DataFrame, doc_id: str, text: str, *, min_chars: int = MI
     the passages of the automata, which locate all their occurrences in all
     documents; their surroundings are compared character by character (or, for
     a passage with more than direct_limit occurrences, by 128-bit hashes of all
-    windows around it, grouped by Spark; the result is the same). Phrases are
-    told apart by 64-bit hashes.
-
-    Automata are sharded by passage, so that none outgrows a worker; every
-    document passes through all shards, and the work is the text times the
-    number of shards. Documents without a recurring phrase share no span; with
-    routed they are found by their phrases' hashes and left out of the stream.
+    windows around it, grouped by Spark; the result is the same). Phrases, and
+    the texts they stand in, are told apart by 64-bit hashes.
+
+    Automata are sharded by passage, so that none outgrows a worker. Where every
+    document passes through all shards, the work is the text times the number
+    of shards, which grows with the text as well. With routed, a document passes
+    through each shard that holds one of the phrases winnowing picks in it. The
+    result is the same, since of every shared span a phrase is picked in all
+    documents that hold it, and these meet in that phrase's shard. The work is
+    then the text times the number of shards that a document has a part in,
+    which no longer grows with the number of documents.
 
     Texts that are null or shorter than min_chars share nothing. Repeated rows
     count once, equal texts under different ids are members of one group. An
     empty input gives empty results.
     """
-    texts, members = _texts_once(docs, doc_id, text, min_chars)
-    phrases = _phrases(texts, min_chars, phrase_chars)
+    rows, members = _texts(docs, doc_id, text, min_chars)
+    recurring = materialize(_recurring(_phrases(rows, min_chars, phrase_chars)))
+    shards = -(-recurring.where("key = first").count() // shard_phrases)
+    routed = shards > 1 if routed is None else routed
+    holders = _holders(rows, members, recurring, shards, shard_phrases, routed)
     if routed:
-        phrases = materialize(phrases)
-    passages = materialize(_passages(texts, phrases, min_chars, phrase_chars))
-    shards = -(-passages.count() // shard_phrases)
+        holders = materialize(holders)
     path = qualified(docs.sparkSession, scratch_path(docs.sparkSession))
-    passages.withColumn("shard", F.pmod(F.xxhash64("passage"), F.lit(max(1, shards))).cast("int")).repartition("shard").write.partitionBy("shard").parquet(path)
-    streamed = texts.join(phrases.join(passages, "phrase", "left_semi").select("doc").distinct(), "doc", "left_semi") if routed else texts
+    _passages(holders, min_chars, phrase_chars).repartition("shard").write.partitionBy("shard").parquet(path)
+    if routed:  # a shard's texts may be split between tasks, where there are many
+        streamed = holders.select("doc", "text", F.explode("shards").alias("shard")).hint("rebalance", F.col("shard")).sortWithinPartitions("shard")
+    else:
+        streamed = rows.join(members.where("doc <> rep").select("doc", "key"), ["doc", "key"], "left_anti")
     occurrences = materialize(_occurrences(streamed, path, shards, min_chars, phrase_chars))
-    counts = occurrences.groupBy("phrase").agg(F.count("*").alias("n"))
-    many = counts.where(F.col("n") > direct_limit).select("phrase")
-    few = counts.where(F.col("n").between(2, direct_limit)).select("phrase")
-    found = materialize(_compare(occurrences.join(few, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars, phrase_chars).distinct())
+    # Written, so that its size is known when the joins with the occurrences are planned.
+    many = materialize(occurrences.groupBy("phrase").agg(F.count("*").alias("n")).where(F.col("n") > direct_limit).select("phrase"))
+    found = materialize(_compare(occurrences.join(many, "phrase", "left_anti").select("phrase", "doc", "pos", "before", "around"), min_chars, phrase_chars).distinct())
     windows = _windows(occurrences.join(many, "phrase").select("phrase", "doc", "pos", "before", "around"), min_chars)
     frequent = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("window")
     windows = materialize(windows.join(frequent, "window"))
     links = found.where("doc < other").select(F.col("doc").alias("doc_a"), F.col("other").alias("doc_b")).unionByName(_window_links(windows)).distinct()
     spans = found.select("doc", "start", "end").unionByName(windows.select("doc", "start", (F.col("start") + min_chars).alias("end"))).distinct()
-    return links, members, spans
+    return links, members.select("doc", "rep").distinct(), spans
 
 
 def linked_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -104,6 +104,39 @@ def test_occurrences_come_from_the_automata(spark, monkeypatch):
     assert shared_spans(df, "doc_id", "text")[0].count() == 0
 
 
+def test_documents_pass_only_through_the_shards_of_their_phrases(spark, monkeypatch):
+    rng = random.Random(11)
+    passages = [random_text(rng, 150) for _ in range(40)]
+    docs = [(i, random_text(rng, rng.randint(0, 30)) + passages[i % 40] + random_text(rng, 30)) for i in range(120)] + [(200 + i, random_text(rng, 200)) for i in range(80)]
+    docs.append((300, docs[0][1]))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    streams, limits = [], dict(min_chars=40, phrase_chars=16, shard_phrases=32)
+
+    def noted(texts, path, shards, *rest):
+        streams.append((texts.select("doc", *({"shard"} & set(texts.columns))).collect(), shards))
+        return spans_before(texts, path, shards, *rest)
+
+    monkeypatch.setattr(spans, "_occurrences", noted)
+    links, members, _ = shared_spans(df, "doc_id", "text", **limits)
+    assert {tuple(r) for r in linked_pairs(links, members).collect()} == brute(docs, 40)[0]
+    [(visits, shards)] = streams
+    assert shards > 10  # each of 200 texts passed through all of them
+    assert len(visits) == len(set(visits)) and {r[0] for r in visits} == {*range(120)}
+    assert len(visits) < 120 * 5
+
+
+def test_blocks_of_a_text_and_equal_texts_in_shards(spark):
+    rng = random.Random(12)
+    whole = random_text(rng, 6_000)
+    docs = [(1, whole), (2, whole), (3, "x" + whole), (4, whole[2_000:2_300]), (4, whole[3_000:3_300]), (5, whole[2_990:3_310])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for routed in (None, False):
+        links, members, found = shared_spans(df, "doc_id", "text", min_chars=40, phrase_chars=16, shard_phrases=24, routed=routed)
+        assert {tuple(r) for r in linked_pairs(links, members).collect()} == brute(docs, 40)[0]
+        amounts = {r["doc_id"]: r["shared_chars"] for r in shared_amount(df.where("doc_id <> 4"), "doc_id", "text", members, found, min_chars=40).collect()}
+        assert amounts == {1: 6_000, 2: 6_000, 3: 6_000, 5: 320}
+
+
 def test_nothing_shared(spark):
     df = spark.createDataFrame([(1, "x" * 10), (2, None)], "doc_id bigint, text string")
     for rows in (df, df.limit(0)):
